@@ -91,3 +91,13 @@ def click_x(action: Column) -> Column:
 
 def click_y(action: Column) -> Column:
     return F.regexp_extract(action, r"\([^,()]+,([^,()]+)\)", 1).try_cast("double")
+
+
+def event_text(kind: Column, x: Column, y: Column, dx: Column, dy: Column, end_x: Column, end_y: Column, text: Column) -> Column:
+    """Recorded text of an input event: scroll with deltas, drag with both ends, click, or key."""
+    return (
+        F.when(is_scroll(kind), F.format_string("scroll(%.1f, %.1f, dx=%.2f, dy=%.2f)", x, y, dx, dy))
+        .when(is_drag(kind), F.format_string("%s(start_x=%.1f, start_y=%.1f, end_x=%.1f, end_y=%.1f)", kind, x, y, end_x, end_y))
+        .when(is_click(kind), F.format_string("%s(%.1f, %.1f)", kind, x, y))
+        .otherwise(F.concat(kind, F.lit("("), text, F.lit(")")))
+    )
