@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from sessionloom.functions.bind import let
+
 # Fixed values of the grounding rules.
 MAX_AREA_RATIO = 0.20
 MAX_SIDE_RATIO = 0.85
@@ -33,28 +35,23 @@ def action_points(action: Column) -> Column:
     """Labelled points of a drag (two), click or move (one); empty for other actions."""
     none = F.array().cast(f"array<{POINT}>")
     lower = F.lower(action)
+    extract = lambda pattern, group: F.regexp_extract(action, pattern, group).try_cast("double")
+    ends = F.array(*[extract(rf"{key}\s*=\s*({NUMBER})", 1) for key in ("start_x", "start_y", "end_x", "end_y")])
+    numbers = F.transform(F.regexp_extract_all(action, F.lit(f"({NUMBER})"), F.lit(1)), lambda n: n.cast("double"))
 
-    def named(key: str) -> Column:
-        return F.regexp_extract(action, rf"{key}\s*=\s*({NUMBER})", 1)
-
-    numbers = F.regexp_extract_all(action, F.lit(f"({NUMBER})"), F.lit(1))
-    at = lambda i: F.try_element_at(numbers, F.lit(i))
-    all_named = (named("start_x") != "") & (named("start_y") != "") & (named("end_x") != "") & (named("end_y") != "")
-    drag = (
-        F.when(all_named, F.array(_point("drag start", named("start_x").try_cast("double"), named("start_y").try_cast("double")),
-                                  _point("drag end", named("end_x").try_cast("double"), named("end_y").try_cast("double"))))
-        .when(F.size(numbers) >= 4, F.array(_point("drag start", at(1), at(2)), _point("drag end", at(3), at(4))))
-        .when(F.size(numbers) >= 2, F.array(_point("drag", at(1), at(2))))
-        .otherwise(none)
+    def two_points(n: Column) -> Column:
+        return F.array(_point("drag start", F.get(n, 0), F.get(n, 1)), _point("drag end", F.get(n, 2), F.get(n, 3)))
+
+    by_place = let(
+        numbers,
+        lambda n: F.when(F.size(n) >= 4, two_points(n)).when(F.size(n) >= 2, F.array(_point("drag", F.get(n, 0), F.get(n, 1)))).otherwise(none),
     )
-    click = F.when(
-        action.rlike(CLICK),
-        F.array(_point("click", F.regexp_extract(action, CLICK, 1).try_cast("double"), F.regexp_extract(action, CLICK, 2).try_cast("double"))),
-    ).otherwise(none)
+    by_name = let(ends, lambda n: F.when(F.forall(n, lambda v: v.isNotNull()), two_points(n)))
+    click = F.when(action.rlike(CLICK), F.array(_point("click", extract(CLICK, 1), extract(CLICK, 2)))).otherwise(none)
     xs, ys = (F.regexp_extract_all(action, F.lit(MOVE), F.lit(i)) for i in (1, 2))
-    move = F.when(F.size(xs) > 0, F.array(_point("move", F.try_element_at(xs, F.lit(-1)), F.try_element_at(ys, F.lit(-1))))).otherwise(none)
+    move = F.when(action.rlike(MOVE), F.array(_point("move", F.try_element_at(xs, F.lit(-1)), F.try_element_at(ys, F.lit(-1))))).otherwise(none)
     return (
-        F.when(lower.contains("drag"), drag)
+        F.when(lower.contains("drag"), F.when(action.contains("start_x"), F.coalesce(by_name, by_place)).otherwise(by_place))
         .when(lower.contains("click"), click)
         .when(lower.contains("move_to(") | lower.rlike(r"\bmove\("), move)
         .otherwise(none)
@@ -75,21 +72,6 @@ def box_from_json(text: Column) -> Column:
     )
 
 
-def normalize_box(box: Column, width: Column, height: Column) -> Column:
-    """Pixels, sorted and clamped; null when empty or incomplete.  Small values are fractions."""
-    raw = [box[k] for k in ("x1", "y1", "x2", "y2")]
-    relative = F.greatest(*[F.abs(v) for v in raw]) <= RELATIVE_LIMIT
-    w, h = width.cast("double"), height.cast("double")
-    x1, y1, x2, y2 = (F.when(relative, v * s).otherwise(v) for v, s in zip(raw, (w, h, w, h)))
-    clamp = lambda v, top: F.greatest(F.lit(0.0), F.least(v, top))
-    left, right = clamp(F.least(x1, x2), w), clamp(F.greatest(x1, x2), w)
-    top, bottom = clamp(F.least(y1, y2), h), clamp(F.greatest(y1, y2), h)
-    complete = F.lit(True)
-    for v in raw:
-        complete = complete & v.isNotNull()
-    return F.when(complete & (right > left) & (bottom > top), box_struct(left, top, right, bottom))
-
-
 def box_area(box: Column) -> Column:
     return (box["x2"] - box["x1"]) * (box["y2"] - box["y1"])
 
@@ -115,14 +97,14 @@ def to_image(value: Column, screen: Column, image: Column) -> Column:
 
 def centered_rect(cx: Column, cy: Column, crop_w: Column, crop_h: Column, img_w: Column, img_h: Column) -> Column:
     """Integer rectangle around a point, shifted to lie inside the image."""
-
-    def axis(center: Column, size: Column, image: Column) -> tuple[Column, Column]:
-        side = F.greatest(F.lit(1), F.least(F.bround(size).cast("int"), image))
-        start = F.greatest(F.lit(0), F.least(F.bround(center - side / 2).cast("int"), image - side))
-        return start, start + side
-
-    (x1, x2), (y1, y2) = axis(cx, crop_w, img_w), axis(cy, crop_h, img_h)
-    return F.struct(x1.alias("x1"), y1.alias("y1"), x2.alias("x2"), y2.alias("y2"))
+    side = lambda size, image: F.greatest(F.lit(1), F.least(F.bround(size).cast("int"), image))
+    start = lambda center, size, image: F.greatest(F.lit(0), F.least(F.bround(center - size / 2).cast("int"), image - size))
+    size = F.struct(side(crop_w, img_w).alias("w"), side(crop_h, img_h).alias("h"))
+    corner = lambda s: F.struct(
+        start(cx, s["w"], img_w).alias("x1"), start(cy, s["h"], img_h).alias("y1"), s["w"].alias("w"), s["h"].alias("h")
+    )
+    whole = lambda r: F.struct(r["x1"], r["y1"], (r["x1"] + r["w"]).alias("x2"), (r["y1"] + r["h"]).alias("y2"))
+    return let(let(size, corner), whole)
 
 
 def crop_rect(x: Column, y: Column, box: Column, img_w: Column, img_h: Column) -> Column:
@@ -137,8 +119,8 @@ def crop_rect(x: Column, y: Column, box: Column, img_w: Column, img_h: Column) -
 
 def _overlay(x_low: Column, y_low: Column, x_high: Column, y_high: Column, w: Column, h: Column) -> Column:
     edge = lambda v, size: F.bround(F.greatest(F.lit(0.0), F.least(v.cast("double"), (size - 1).cast("double")))).cast("int")
-    x1, y1, x2, y2 = edge(x_low, w), edge(y_low, h), edge(x_high, w), edge(y_high, h)
-    return F.when((x2 > x1) & (y2 > y1), F.struct(x1.alias("x1"), y1.alias("y1"), x2.alias("x2"), y2.alias("y2")))
+    box = box_struct(edge(x_low, w), edge(y_low, h), edge(x_high, w), edge(y_high, h))
+    return let(box, lambda b: F.when((b["x2"] > b["x1"]) & (b["y2"] > b["y1"]), b))
 
 
 def point_overlay(x: Column, y: Column, w: Column, h: Column) -> Column:

@@ -7,18 +7,27 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-SPACE = r"(?U)[\s\x1c-\x1f]"  # white space as Python's str methods and regular expressions see it
+from sessionloom.functions.bind import let
+
+# White space as Python's str methods and regular expressions see it.
+SPACE_CHARS = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+SPACE = r"[\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
 
 # Words that name a user-interface control rather than a result.
 CONTROL_WORDS = ["button", "checkbox", "dialog", "dropdown", "field", "icon", "link", "menu", "tab", "toolbar"]
 
 
+_NOT_BLANK = SPACE.replace(r"\x1c-\x20", r"\x1c-\x1f")
+# Runs that are not already one blank; single blanks, the common case, are left alone.
+_UNEVEN_SPACE = f"(?: {SPACE}+|{_NOT_BLANK}{SPACE}*)"
+
+
 def strip(c: Column) -> Column:
-    return F.regexp_replace(c, rf"^{SPACE}+|{SPACE}+$", "")
+    return F.btrim(c, F.lit(SPACE_CHARS))
 
 
 def collapse(c: Column) -> Column:
-    return strip(F.regexp_replace(c, f"{SPACE}+", " "))
+    return F.trim(F.regexp_replace(c, _UNEVEN_SPACE, " "))
 
 
 def text_or_null(c: Column) -> Column:
@@ -34,22 +43,25 @@ def filled(c: Column) -> Column:
     return c.isNotNull() & (c != "")
 
 
+# The limits below name the text once, so a long text is cleaned once however it is used.
+
+
 def truncate(c: Column, max_chars: int = 180) -> Column:
     text = strip(F.replace(or_empty(c), F.lit("\n"), F.lit(" ")))
-    return F.when(F.length(text) <= max_chars, text).otherwise(F.concat(F.substring(text, 1, max_chars - 3), F.lit("...")))
+    return F.regexp_replace(text, rf"(?s)^(.{{{max_chars - 3}}}).{{4,}}$", "$1...")
 
 
 def clip(c: Column, max_chars: int) -> Column:
-    text = collapse(or_empty(c))
-    cut = F.regexp_replace(F.substring(text, 1, max(0, max_chars - 3)), rf"{SPACE}+$", "")
-    return F.when(F.length(text) <= max_chars, text).otherwise(F.concat(cut, F.lit("...")))
+    """Collapsed text; when cut, the part before the dots ends in no space."""
+    keep = max(1, max_chars - 3)
+    return F.regexp_replace(collapse(or_empty(c)), rf"^(?=.{{{max_chars + 1}}})((?:.{{0,{keep - 1}}}[^ ])?).*$", "$1...")
 
 
 def limit_sentences(c: Column, max_sentences: int, max_chars: int) -> Column:
-    cleaned = collapse(or_empty(c))
-    sentences = F.slice(F.split(cleaned, rf"(?<=[.!?]){SPACE}+"), 1, max_sentences)
-    limited = F.array_join(F.filter(sentences, lambda s: s != ""), " ")
-    return F.when(cleaned == "", "").otherwise(truncate(F.when(limited == "", cleaned).otherwise(limited), max_chars))
+    """First sentences, then truncated.  Text past the limit cannot show, so sentences are split before it only."""
+    head = F.substring(collapse(or_empty(c)), 1, max_chars + 2)
+    sentences = F.slice(F.split(head, r"(?<=[.!?]) +"), 1, max_sentences)
+    return truncate(F.array_join(F.filter(sentences, lambda s: s != ""), " "), max_chars)
 
 
 def normalize(c: Column) -> Column:
@@ -86,33 +98,40 @@ def ordered_distinct(order: Column | str, value: Column | str) -> Column:
 
 def _distinct_by_norm(items: Column) -> Column:
     """First item for every normalized text, order kept."""
-    norms = F.transform(items, normalize)
-    keep = F.transform(items, lambda x, i: (F.array_position(norms, normalize(x)) == i + 1) & (normalize(x) != ""))
-    return F.transform(
-        F.filter(F.arrays_zip(items.alias("item"), keep.alias("keep")), lambda p: p["keep"]), lambda p: p["item"]
+    pairs = F.transform(items, lambda x: F.struct(x.alias("item"), normalize(x).alias("norm")))
+    first = lambda ps: F.filter(
+        ps, lambda p, i: (p["norm"] != "") & (F.array_position(ps["norm"], p["norm"]) == i + 1)
     )
+    return let(pairs, first)["item"]
 
 
 def concise_anchors(items: Column, max_items: int = 5) -> Column:
     """Cleaned anchors of at most 80 characters, distinct by normalized text."""
-    cleaned = F.transform(
-        unique_texts(items), lambda x: F.regexp_replace(F.regexp_replace(x, f"{SPACE}+", " "), "^[ ,;]+|[ ,;]+$", "")
-    )
+    cleaned = F.transform(unique_texts(items), lambda x: F.btrim(F.regexp_replace(x, f"{SPACE}+", " "), F.lit(" ,;")))
     return F.slice(_distinct_by_norm(F.filter(cleaned, lambda x: (x != "") & (F.length(x) <= 80))), 1, max_items)
 
 
+JOINED_WORDS = r"(?U)\b[A-Za-z0-9]+(?:[-_/][A-Za-z0-9]+){1,}\b"
+CAMEL_WORDS = r"(?U)\b[A-Z][A-Za-z0-9]+(?:[A-Z][A-Za-z0-9]+)+\b"
+
+
 def infer_anchors(objective: Column, summary: Column, entities: Column, ocr_texts: Column, max_items: int = 3) -> Column:
     """Joined tokens (a-b, a_b, a/b) first, then CamelCase words, then entities until full."""
-    text = F.array_join(
-        F.filter(F.concat(F.array(or_empty(objective), or_empty(summary)), entities, F.slice(ocr_texts, 1, 2)), filled), " "
+    parts = F.concat(F.array(or_empty(objective), or_empty(summary)), entities, F.slice(ocr_texts, 1, 2))
+    text = F.array_join(F.filter(parts, filled), " ")
+    found = let(
+        text,
+        lambda t: F.array_distinct(
+            F.concat(F.regexp_extract_all(t, F.lit(JOINED_WORDS), F.lit(0)), F.regexp_extract_all(t, F.lit(CAMEL_WORDS), F.lit(0)))
+        ),
     )
-    joined = F.regexp_extract_all(text, F.lit(r"(?U)\b[A-Za-z0-9]+(?:[-_/][A-Za-z0-9]+){1,}\b"), F.lit(0))
-    camel = F.regexp_extract_all(text, F.lit(r"(?U)\b[A-Z][A-Za-z0-9]+(?:[A-Z][A-Za-z0-9]+)+\b"), F.lit(0))
-    found = F.array_distinct(F.concat(joined, camel))
-    short = F.filter(F.transform(entities, lambda e: truncate(e, 60)), lambda e: e != "")
-    extra = F.array_except(F.array_distinct(short), found)
-    room = F.greatest(F.lit(0), F.lit(max_items) - F.size(found))
-    return concise_anchors(F.concat(found, F.slice(extra, F.lit(1), room)), max_items)
+    short = F.array_distinct(F.filter(F.transform(entities, lambda e: truncate(e, 60)), lambda e: e != ""))
+
+    def top_up(f: Column) -> Column:
+        room = F.greatest(F.lit(0), F.lit(max_items) - F.size(f))
+        return F.concat(f, F.slice(F.array_except(short, f), F.lit(1), room))
+
+    return concise_anchors(let(found, top_up), max_items)
 
 
 def deliverable(entities: Column, objective: Column) -> Column:
@@ -125,12 +144,13 @@ def deliverable(entities: Column, objective: Column) -> Column:
 
 
 def success_criterion(entities: Column, objective: Column, ocr_texts: Column) -> Column:
-    base = F.concat(
+    seen = F.concat(F.lit(' Use visible text such as "'), truncate(F.try_element_at(ocr_texts, F.lit(-1)), 100), F.lit('" as evidence.'))
+    criterion = F.concat(
         F.lit('Verify in the post-action UI that "'), deliverable(entities, objective),
         F.lit('" reflects the intended result "'), truncate(objective, 140), F.lit('".'),
+        F.when(F.size(ocr_texts) > 0, seen).otherwise(F.lit("")),
     )
-    seen = F.concat(F.lit(' Use visible text such as "'), truncate(F.element_at(ocr_texts, -1), 100), F.lit('" as evidence.'))
-    return truncate(F.when(F.size(ocr_texts) > 0, F.concat(base, seen)).otherwise(base), 260)
+    return truncate(criterion, 260)
 
 
 def _labelled(pairs: list[tuple[str, Column]]) -> Column:
@@ -161,16 +181,18 @@ def representative_samples(items: Column, max_items: int) -> Column:
 
     Positions whose normalized text was already taken are made up from the front of the list.
     """
-    unique = unique_texts(items)
-    last = F.size(unique) - 1
     if max_items <= 1:
-        return F.slice(unique, 1, max(max_items, 0))
-    spaced = F.transform(
-        F.array(*[F.lit(i) for i in range(max_items)]),
-        lambda i: F.element_at(unique, (F.bround(i * last / F.lit(max_items - 1)) + 1).cast("int")),
-    )
-    picked = F.slice(_distinct_by_norm(F.concat(spaced, unique)), 1, max_items)
-    return F.when(F.size(unique) <= max_items, unique).otherwise(picked)
+        return F.slice(unique_texts(items), 1, max(max_items, 0))
+    places = F.array(*[F.lit(i) for i in range(max_items)])
+
+    def pick(unique: Column) -> Column:
+        last = F.size(unique) - 1
+        place = lambda i: (F.bround(i * last / F.lit(max_items - 1)) + 1).cast("int")
+        spaced = F.transform(places, lambda i: F.try_element_at(unique, place(i)))
+        sample = F.slice(_distinct_by_norm(F.concat(spaced, unique)), 1, max_items)
+        return F.when(F.size(unique) <= max_items, unique).otherwise(sample)
+
+    return let(unique_texts(items), pick)
 
 
 def uniq_truncated(items: Column, max_items: int, max_chars: int) -> Column:

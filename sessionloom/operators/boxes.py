@@ -1,11 +1,41 @@
-"""Which detected box an action points at."""
+"""Detected boxes: normalization, and which box an action points at."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sessionloom.functions import geometry
+from sessionloom.functions.bind import let
+
+
+def normalize_boxes(df: DataFrame, raw: Column, width: int, height: int, name: str = "box") -> DataFrame:
+    """Add a pixel box: fractions scaled, corners sorted, clamped to the image; null when empty or incomplete.
+
+    Written as a chain of projections, so that every intermediate value is computed once in generated code.
+    """
+    corners = ("x1", "y1", "x2", "y2")
+    df = df.withColumns({f"_{c}": raw[c].cast("double") for c in corners})
+    relative = F.greatest(*[F.abs(f"_{c}") for c in corners]) <= geometry.RELATIVE_LIMIT
+    df = df.withColumns(
+        {"_sx": F.when(relative, float(width)).otherwise(1.0), "_sy": F.when(relative, float(height)).otherwise(1.0)}
+    )
+    df = df.withColumns({f"_{c}": F.col(f"_{c}") * F.col("_sx" if c[0] == "x" else "_sy") for c in corners})
+    clamp = lambda v, top: F.greatest(F.lit(0.0), F.least(v, F.lit(float(top))))
+    df = df.withColumns(
+        {
+            "_left": clamp(F.least("_x1", "_x2"), width),
+            "_right": clamp(F.greatest("_x1", "_x2"), width),
+            "_top": clamp(F.least("_y1", "_y2"), height),
+            "_bottom": clamp(F.greatest("_y1", "_y2"), height),
+        }
+    )
+    complete = F.lit(True)
+    for c in corners:
+        complete = complete & F.col(f"_{c}").isNotNull()
+    box = geometry.box_struct(F.col("_left"), F.col("_top"), F.col("_right"), F.col("_bottom"))
+    usable = complete & (F.col("_right") > F.col("_left")) & (F.col("_bottom") > F.col("_top"))
+    return df.withColumn(name, F.when(usable, box)).drop(*[f"_{c}" for c in corners], "_sx", "_sy", "_left", "_right", "_top", "_bottom")
 
 
 def smallest_box(points: DataFrame, candidates: DataFrame, key: str, width: int, height: int) -> DataFrame:
@@ -15,7 +45,8 @@ def smallest_box(points: DataFrame, candidates: DataFrame, key: str, width: int,
     The joined rows are reduced before the last shuffle, so an image with many boxes is safe.
     """
     box = F.col("box")
-    usable = candidates.where(box.isNotNull() & geometry.is_reasonable(box, F.lit(width), F.lit(height)))
+    sensible = let(box, lambda b: F.when(geometry.is_reasonable(b, F.lit(width), F.lit(height)), b))
+    usable = candidates.withColumn("box", sensible)
     inside = points.join(usable, key).where(geometry.contains_point(box, F.col("px"), F.col("py")))
     point = [c for c in points.columns]
     best = inside.groupBy(*point).agg(F.min_by("box", F.struct(geometry.box_area(box), "entry")).alias("box"))

@@ -60,23 +60,21 @@ def _boxes(spark: SparkSession, folder: str) -> DataFrame:
         F.when(relative, F.lit(0.5)).otherwise((F.col("l_suppkey") % 100) * 15.0),
         F.when(relative, F.lit(0.9)).otherwise(top + (F.col("l_suppkey") % 7) * 40.0),
     )
-    rows = table(spark, folder, "lineitem")
-    return rows.withColumn("box", geometry.normalize_box(raw, F.lit(1440), F.lit(900)))
+    rows = table(spark, folder, "lineitem").withColumn("raw", raw)
+    return boxes.normalize_boxes(rows, F.col("raw"), 1440, 900)
 
 
 @query(
     "box_normalize",
     with_ctes(BOXES_SQL)
-    + """SELECT l_orderkey, l_linenumber, l_partkey, round(x1, 3) AS x1, round(y1, 3) AS y1, round(x2, 3) AS x2, round(y2, 3) AS y2,
-  (x2 - x1) * (y2 - y1) / (1440.0 * 900.0) <= 0.2 AND x2 - x1 <= 0.85 * 1440 AND y2 - y1 <= 0.85 * 900 AS visible
-FROM pixel_boxes WHERE x2 > x1 AND y2 > y1""",
+    + """SELECT l_orderkey, l_linenumber, l_partkey, CASE WHEN ok THEN x1 END AS x1, CASE WHEN ok THEN y1 END AS y1, CASE WHEN ok THEN x2 END AS x2, CASE WHEN ok THEN y2 END AS y2,
+  ok AND (x2 - x1) * (y2 - y1) / (1440.0 * 900.0) <= 0.2 AND x2 - x1 <= 0.85 * 1440 AND y2 - y1 <= 0.85 * 900 AS visible
+FROM (SELECT *, x2 > x1 AND y2 > y1 AS ok FROM pixel_boxes)""",
 )
 def box_normalize(spark: SparkSession, folder: str) -> DataFrame:
-    rows = _boxes(spark, folder).where(F.col("box").isNotNull())
-    return rows.select(
-        "l_orderkey", "l_linenumber", "l_partkey",
-        *[F.round(f"box.{c}", 3).alias(c) for c in ("x1", "y1", "x2", "y2")],
-        geometry.is_reasonable(F.col("box"), F.lit(1440), F.lit(900)).alias("visible"),
+    visible = F.coalesce(geometry.is_reasonable(F.col("box"), F.lit(1440), F.lit(900)), F.lit(False))
+    return _boxes(spark, folder).select(
+        "l_orderkey", "l_linenumber", "l_partkey", *[F.col(f"box.{c}") for c in ("x1", "y1", "x2", "y2")], visible.alias("visible")
     )
 
 
@@ -113,11 +111,11 @@ def _hit(spark: SparkSession, folder: str) -> DataFrame:
 @query(
     "point_in_box",
     with_ctes(BOXES_SQL, POINTS_SQL)
-    + """SELECT o_orderkey AS image_id, round(x1, 3) AS x1, round(y1, 3) AS y1, round(x2, 3) AS x2, round(y2, 3) AS y2 FROM hits WHERE rn = 1""",
+    + """SELECT o_orderkey AS image_id, x1, y1, x2, y2 FROM hits WHERE rn = 1""",
 )
 def point_in_box(spark: SparkSession, folder: str) -> DataFrame:
     rows = _hit(spark, folder).where(F.col("box").isNotNull())
-    return rows.select("image_id", *[F.round(f"box.{c}", 3).alias(c) for c in ("x1", "y1", "x2", "y2")])
+    return rows.select("image_id", *[F.col(f"box.{c}") for c in ("x1", "y1", "x2", "y2")])
 
 
 @query(
