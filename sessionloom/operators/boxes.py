@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sessionloom.functions import geometry
-from sessionloom.functions.bind import let
 
 
 def normalize_boxes(df: DataFrame, raw: Column, width: int, height: int, name: str = "box") -> DataFrame:
@@ -42,12 +41,9 @@ def smallest_box(points: DataFrame, candidates: DataFrame, key: str, width: int,
     """Each point with the smallest sensible box of its image that contains it, or null.
 
     points: key, px, py.  candidates: key, box (pixels), entry (order of detection; breaks ties).
-    The joined rows are reduced before the last shuffle, so an image with many boxes is safe.
+    One equi-join and one aggregate on the same key: no pair survives past the partial aggregate.
     """
     box = F.col("box")
-    sensible = let(box, lambda b: F.when(geometry.is_reasonable(b, F.lit(width), F.lit(height)), b))
-    usable = candidates.withColumn("box", sensible)
-    inside = points.join(usable, key).where(geometry.contains_point(box, F.col("px"), F.col("py")))
-    point = [c for c in points.columns]
-    best = inside.groupBy(*point).agg(F.min_by("box", F.struct(geometry.box_area(box), "entry")).alias("box"))
-    return points.join(best, point, "left")
+    hit = geometry.is_reasonable(box, F.lit(width), F.lit(height)) & geometry.contains_point(box, F.col("px"), F.col("py"))
+    rank = F.when(hit, F.struct(geometry.box_area(box), "entry"))
+    return points.join(candidates, key, "left").groupBy(*points.columns).agg(F.min_by("box", rank).alias("box"))

@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sessionloom.operators.sequence import SLICE, SessionOrder, order_sessions
 from sessionloom.plans.base import table
 
 HOUR = 3600.0
@@ -116,3 +117,96 @@ def screenshots(spark: SparkSession, folder: str) -> DataFrame:
     """Screenshot listing: the paths of ``states``, one per row."""
     rows = states(spark, folder).select("session_id", F.explode(F.array("before", "after")).alias("path"))
     return rows.where(F.col("path").isNotNull())
+
+
+STEPS_SQL = """
+steps AS (
+  SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY ts, line_no) - 1 AS idx, count(*) OVER (PARTITION BY session_id) AS n,
+    concat('a', line_no) AS action_id, concat('App ', event_type) AS app, CASE WHEN k % 5 = 0 THEN '' ELSE concat('panel ', k % 7) END AS entity,
+    CASE WHEN k % 3 <> 0 THEN concat('text ', k % 11) END AS ocr
+  FROM states
+)
+"""
+
+
+def steps(spark: SparkSession, folder: str) -> SessionOrder:
+    """Grounded action rows: dense position, application, visible content, screen text, states."""
+    k = F.col("k")
+    rows = states(spark, folder).withColumns(
+        {
+            "action_id": F.concat(F.lit("a"), F.col("line_no").cast("string")),
+            "app": F.concat(F.lit("App "), "event_type"),
+            "entity": F.when(k % 5 == 0, "").otherwise(F.concat(F.lit("panel "), (k % 7).cast("string"))),
+            "ocr": F.when(k % 3 != 0, F.concat(F.lit("text "), (k % 11).cast("string"))),
+            "state_before": F.col("before"),
+            "state_after": F.col("after"),
+        }
+    )
+    return order_sessions(rows, "session_id", ("ts", "line_no")).index("idx")
+
+
+def totals(rows: DataFrame) -> DataFrame:
+    return rows.groupBy("session_id").agg(F.count(F.lit(1)).alias("n"))
+
+
+SEGMENT_ROWS = 5
+
+SEGMENTS_SQL = """
+segments AS (
+  SELECT session_id, idx // 5 AS seg_idx, min(idx) AS start_action_idx, max(idx) AS end_action_idx,
+    concat('do ', arg_min(event_type, idx)) AS label, concat('k', CAST(sum(k) AS BIGINT)) AS context, arg_min(k, idx) AS k0
+  FROM steps GROUP BY session_id, idx // 5
+),
+merge_ranges AS (
+  SELECT session_id, seg_idx AS range_order, seg_idx AS start_idx, seg_idx + 1 + k0 % 2 AS end_idx, concat('merge ', k0) AS label
+  FROM (SELECT *, max(seg_idx) OVER (PARTITION BY session_id) AS last_seg FROM segments) WHERE k0 % 3 = 0 AND seg_idx + 1 + k0 % 2 <= last_seg
+)
+"""
+
+
+def segments(so: SessionOrder) -> SessionOrder:
+    """Candidate segments: five consecutive steps each."""
+    idx = F.col("idx")
+    extra = [F.min(SLICE).alias(SLICE)] if so.sliced else []
+    rows = so.rows.groupBy("session_id", F.floor(idx / SEGMENT_ROWS).alias("seg_idx")).agg(
+        F.min(idx).alias("start_action_idx"), F.max(idx).alias("end_action_idx"),
+        F.concat(F.lit("do "), F.min_by("event_type", idx)).alias("label"),
+        F.concat(F.lit("k"), F.sum("k").cast("string")).alias("context"), F.min_by("k", idx).alias("k0"), *extra,
+    )
+    return so.derive(rows, order=("seg_idx",))
+
+
+def merge_ranges(candidates: SessionOrder) -> DataFrame:
+    """Merge answers: some segments ask to be joined with the next one or two."""
+    rows = candidates.df
+    last = rows.groupBy("session_id").agg(F.max("seg_idx").alias("last_seg"))
+    end = F.col("seg_idx") + 1 + F.col("k0") % 2
+    asked = rows.where(F.col("k0") % 3 == 0).join(last, "session_id").where(end <= F.col("last_seg"))
+    return asked.select(
+        "session_id", F.col("seg_idx").alias("range_order"), F.col("seg_idx").alias("start_idx"), end.alias("end_idx"),
+        F.concat(F.lit("merge "), F.col("k0").cast("string")).alias("label"),
+    )
+
+
+ANSWERS_SQL = """
+batches AS (SELECT session_id, idx // 10 AS batch_no, count(*) AS batch_size FROM steps GROUP BY session_id, idx // 10),
+answers AS (
+  SELECT session_id, idx // 10 AS batch_no, idx % 10 AS range_order, idx % 10 - CASE WHEN k % 19 = 0 THEN 20 ELSE 0 END AS start_idx,
+    idx % 10 + k % 4 - CASE WHEN k % 17 = 0 THEN 2 ELSE 0 END AS end_idx, CASE WHEN k % 23 = 0 THEN ' ' ELSE concat('g', k) END AS label
+  FROM steps WHERE k % 4 <> 1
+)
+"""
+
+
+def answer_batches(so: SessionOrder) -> tuple[DataFrame, DataFrame]:
+    """Batches of ten steps and imperfect grouping answers for them."""
+    k, place, batch = F.col("k"), F.col("idx") % 10, F.floor(F.col("idx") / 10).alias("batch_no")
+    rows = so.df
+    batches = rows.groupBy("session_id", batch).agg(F.count(F.lit(1)).alias("batch_size"))
+    answers = rows.where(k % 4 != 1).select(
+        "session_id", batch, place.alias("range_order"),
+        (place - F.when(k % 19 == 0, 20).otherwise(0)).alias("start_idx"),
+        (place + k % 4 - F.when(k % 17 == 0, 2).otherwise(0)).alias("end_idx"),
+        F.when(k % 23 == 0, " ").otherwise(F.concat(F.lit("g"), k.cast("string"))).alias("label"),
+    )
+    return batches, answers
