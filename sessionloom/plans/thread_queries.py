@@ -61,7 +61,7 @@ def assigned(rows: DataFrame) -> DataFrame:
 @query(
     "thread_map",
     with_ctes(*BASE)
-    + """SELECT a.session_id, a.leaf_idx, a.provisional_root_id, a.canonical_root_id, coalesce(concat('thread ', p.provisional_root_id), '') AS canonical_root_label
+    + """SELECT a.session_id, a.leaf_idx, a.provisional_root_id, a.canonical_root_id, coalesce('thread ' || p.provisional_root_id, '') AS canonical_root_label
 FROM assigned a LEFT JOIN provisional p ON a.session_id = p.session_id AND a.canonical_root_id = p.canonical_root_id""",
 )
 def thread_map(spark: SparkSession, folder: str) -> DataFrame:
