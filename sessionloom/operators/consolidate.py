@@ -184,6 +184,29 @@ def merge_double_clicks(
     return so.derive(so.rows.drop("_i", "_x", "_y", *following, "_pairs", "_prev_pairs", "_island", "_closes"))
 
 
+def press_release(events: DataFrame, min_distance: float = 5.0) -> DataFrame:
+    """Mouse presses paired with their release: a drag on the same monitor, else a click at the press point.
+
+    A press replaces an open one, so the first matching release after the latest press is its own.
+    events: kind (press, release), button, x, y, monitor.
+    """
+    so = order_sessions(events, SESSION, ("ts", "line_no"))
+    so = so.running(_press=("sum", (F.col("kind") == "press").cast("bigint"))).where(F.col("_press") > 0)
+    place = F.struct("ts", "line_no")
+    here = F.struct("line_no", "x", "y", "button", "monitor")
+    is_press = F.col("kind") == "press"
+    pairs = so.rows.groupBy(SESSION, "_press", "button").agg(
+        F.min(F.when(is_press, here)).alias("p"), F.min_by(F.when(~is_press, here), F.when(~is_press, place)).alias("r")
+    ).where(F.col("p").isNotNull() & F.col("r").isNotNull())
+    dx, dy = F.col("r.x") - F.col("p.x"), F.col("r.y") - F.col("p.y")
+    drag = (F.col("p.monitor") == F.col("r.monitor")) & (F.sqrt(dx * dx + dy * dy) > min_distance)
+    return pairs.select(
+        SESSION, F.col("p.line_no").alias("press_line"), F.col("r.line_no").alias("release_line"),
+        F.concat(F.when(drag, "drag_").otherwise("click_"), F.col("button")).alias("action"), F.col("p.x").alias("x"), F.col("p.y").alias("y"),
+        F.when(drag, F.col("r.x")).alias("end_x"), F.when(drag, F.col("r.y")).alias("end_y"),
+    )
+
+
 def session_duration(events: DataFrame, ts: str = "ts", line: str = "line_no") -> DataFrame:
     """Whole seconds between the first and last numeric timestamp in file order; 0 if not rising."""
     numeric = events.where(F.col(ts).isNotNull())
