@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from sessionloom import schemas
 from sessionloom.functions.text import filled, text_or_null
@@ -46,7 +45,7 @@ def json_objects(lines: DataFrame, strict: bool = True) -> tuple[DataFrame, Data
     return checked, kept.where(F.lit(False))
 
 
-def parse_objects(lines: DataFrame, schema: T.StructType | str) -> DataFrame:
+def parse_objects(lines: DataFrame, schema: str) -> DataFrame:
     """Fields of the given schema beside the line's own columns."""
     return lines.withColumn("_o", F.from_json("value", schema)).select("*", "_o.*").drop("_o", "value")
 
