@@ -5,6 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from sessionloom.functions import text
 from sessionloom.operators.online import WEIGHTS
@@ -15,7 +16,7 @@ SMALL_THREAD = 12
 MARGIN = 0.35
 MIN_SIMILARITY = 0.33
 BLOCK = 64
-SCORED = "array<struct<root: string, score: double>>"
+SCORED = T.ArrayType(T.StructType([T.StructField("root", T.StringType()), T.StructField("score", T.DoubleType())]))
 
 
 def root_profiles(threads: DataFrame) -> DataFrame:
