@@ -29,15 +29,17 @@ def grounding(nodes: DataFrame, body: str = "body") -> DataFrame:
 
     nodes: objective, refs (fallback evidence), body (JSON).
     """
-    have = F.get_json_object(body, "$.objective_grounding")
-    source = F.coalesce(F.when(F.ltrim(have).startswith("{"), have), F.col(body))
-    get = lambda doc, name: F.get_json_object(doc, f"$.{name}")
+    fields = ["objective_grounding", "evidence_refs", "deliverables", "success_criteria", "observed_outcome", "deliverable"]
+    schema = ", ".join(f"{f} string" for f in fields)  # nested values stay JSON text until they are needed
+    rows = nodes.withColumn("_b", F.from_json(body, schema))
+    nested = F.ltrim(F.col("_b.objective_grounding")).startswith("{")
+    rows = rows.withColumn("_s", F.when(nested, F.from_json("_b.objective_grounding", schema)).otherwise(F.col("_b")))
     spread = F.array_distinct(F.flatten(F.transform("refs", lambda r: F.coalesce(ids.expand_range(r), F.array(r)))))
-    given = F.coalesce(F.from_json(get(source, "evidence_refs"), "array<string>"), F.array().cast("array<string>"))
-    rows = nodes.withColumn("_ev", _refs(given, spread))
+    given = F.coalesce(F.from_json("_s.evidence_refs", "array<string>"), F.array().cast("array<string>"))
+    rows = rows.withColumn("_ev", let(given, lambda g: _refs(g, spread)))
     is_list = lambda c: F.ltrim(c).startswith("[")
-    old_text = lambda name: F.when(~is_list(get(body, name)) & ~F.ltrim(get(body, name)).startswith("{"), text.text_or_null(get(body, name)))
-    target = F.coalesce(old_text("deliverable"), text.text_or_null(get(source, "deliverable")), text.text_or_null(F.col("objective")), F.lit("Objective outcome"))
+    old_text = lambda name: F.when(~F.ltrim(f"_b.{name}").rlike(r"^[\[{]"), text.text_or_null(F.col(f"_b.{name}")))
+    target = F.coalesce(old_text("deliverable"), text.text_or_null(F.col("_s.deliverable")), text.text_or_null(F.col("objective")), F.lit("Objective outcome"))
     complete = lambda t: F.concat(F.lit("The "), t, F.lit(" is complete."))
     rows = rows.withColumn("_target", target)
     rows = rows.withColumn("_state", F.coalesce(old_text("success_criteria"), complete(F.col("_target"))))
@@ -57,11 +59,12 @@ def grounding(nodes: DataFrame, body: str = "body") -> DataFrame:
         )
 
     keep = lambda items, field: F.filter(items, lambda x: text.filled(text.strip(x[field])))
-    items = F.transform(keep(_list(F.when(is_list(get(source, "deliverables")), get(source, "deliverables")), DELIVERABLE), "target"), item)
-    criteria = F.transform(keep(_list(F.when(is_list(get(source, "success_criteria")), get(source, "success_criteria")), CRITERION), "predicate"), criterion)
+    items = F.transform(keep(_list(F.when(is_list(F.col("_s.deliverables")), F.col("_s.deliverables")), DELIVERABLE), "target"), item)
+    criteria = F.transform(keep(_list(F.when(is_list(F.col("_s.success_criteria")), F.col("_s.success_criteria")), CRITERION), "predicate"), criterion)
     one_item = F.array(F.struct(F.lit(DEFAULT_KIND).alias("kind"), F.col("_target").alias("target"), F.col("_state").alias("expected_state"), ev.alias("evidence_refs")))
     one_criterion = F.array(F.struct(F.col("_state").alias("predicate"), F.lit("unknown").alias("verifier"), ev.alias("evidence_refs"), F.lit(None).cast("double").alias("confidence")))
-    outcome = F.from_json(get(source, "observed_outcome"), OUTCOME)
+    rows = rows.withColumn("_o", F.from_json("_s.observed_outcome", OUTCOME))
+    outcome = F.col("_o")
     status = text.strip(F.coalesce(outcome["status"], F.lit("unknown")))
     out = rows.withColumns(
         {
@@ -75,7 +78,7 @@ def grounding(nodes: DataFrame, body: str = "body") -> DataFrame:
             "evidence_refs": ev,
         }
     )
-    return out.drop("_ev", "_target", "_state")
+    return out.drop("_ev", "_target", "_state", "_b", "_s", "_o")
 
 
 def position_ids(nodes: DataFrame, root_ids: DataFrame) -> DataFrame:

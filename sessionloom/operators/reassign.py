@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -33,28 +34,38 @@ def root_profiles(threads: DataFrame) -> DataFrame:
     )
 
 
+def _histogram(value: str) -> np.ndarray:
+    """Character counts in 128 bins; comparing bins can only overstate how much two texts share."""
+    return np.bincount(np.frombuffer(value.encode("utf-32-le"), dtype=np.uint32) % 128, minlength=128)
+
+
 @F.pandas_udf(SCORED)
 def _best_two(leaf: pd.DataFrame, threads: pd.Series) -> pd.Series:
-    """Two best threads of a block for each leaf that pass the margin; bounds spare most comparisons."""
+    """Two best threads of a block for each leaf that pass the margin; an upper bound spares most comparisons."""
     from difflib import SequenceMatcher
 
-    out = []
+    out, known = [], {}
     for row, block in zip(leaf.itertuples(index=False), threads):
-        found, floor = [], row.current_score + MARGIN
-        matcher = SequenceMatcher(None, "", "")
-        matcher.set_seq1(row.profile)
         for t in block:
-            shared = [len(set(mine) & set(theirs)) for mine, theirs in ((row.apps, t["apps"]), (row.items, t["items"]), (row.anchors, t["anchors"]))]
-            base = WEIGHTS["apps"] * shared[0] + WEIGHTS["entities"] * shared[1] + WEIGHTS["anchors"] * shared[2]
-            matcher.set_seq2(t["text"])
-            bound = WEIGHTS["similarity"] * matcher.quick_ratio() + base
-            if bound < floor - 1e-9 or t["root"] == row.current_root:
+            if t["root"] not in known or known[t["root"]][0] != t["text"]:
+                known[t["root"]] = (t["text"], _histogram(t["text"]), set(t["apps"]), set(t["items"]), set(t["anchors"]))
+        packed = [known[t["root"]] for t in block]
+        shared = np.array([[len(s & set(mine)) for s, mine in zip(p[2:], (row.apps, row.items, row.anchors))] for p in packed])
+        base = shared @ np.array([WEIGHTS["apps"], WEIGHTS["entities"], WEIGHTS["anchors"]])
+        common = np.minimum(np.stack([p[1] for p in packed]), _histogram(row.profile)).sum(axis=1)
+        lengths = np.array([len(p[0]) for p in packed]) + len(row.profile)
+        floor, found = row.current_score + MARGIN, []
+        for i in np.flatnonzero(WEIGHTS["similarity"] * 2 * common / np.maximum(lengths, 1) + base >= floor - 1e-9):
+            root = block[i]["root"]
+            if root == row.current_root:
                 continue
-            alike = 1.0 if row.profile == t["text"] else matcher.ratio()
-            score = WEIGHTS["similarity"] * alike + base
-            if score >= floor and (alike >= MIN_SIMILARITY or any(shared)):
-                found.append((t["root"], score))
+            alike = 1.0 if row.profile == packed[i][0] else SequenceMatcher(None, row.profile, packed[i][0]).ratio()
+            score = WEIGHTS["similarity"] * alike + base[i]
+            if score >= floor and (alike >= MIN_SIMILARITY or shared[i].any()):
+                found.append((root, float(score)))
         out.append([{"root": r, "score": s} for r, s in sorted(found, key=lambda f: (-f[1], f[0]))[:2]])
+        if len(known) > 4096:
+            known.clear()
     return pd.Series(out)
 
 
@@ -66,7 +77,9 @@ def _score(similarity: Column, shared: list[Column]) -> Column:
     return total
 
 
-def candidates(prepared: DataFrame, assigned: DataFrame, profiles: DataFrame, per_session: int = 20) -> DataFrame:
+def candidates(
+    prepared: DataFrame, assigned: DataFrame, profiles: DataFrame, per_session: int = 20, small_thread: int = SMALL_THREAD
+) -> DataFrame:
     """Up to two better threads for a leaf, first ``per_session`` such leaves of a session (the report's size).
 
     prepared: leaf columns of ``online.prepare``.  Small threads travel in blocks of 64, so a leaf meets
@@ -75,10 +88,10 @@ def candidates(prepared: DataFrame, assigned: DataFrame, profiles: DataFrame, pe
     names = {"app_norms": "apps", "entity_norms": "items", "anchor_norms": "anchors"}
     leaves = prepared.select(SESSION, "leaf_idx", "profile", *[F.col(a).alias(b) for a, b in names.items()])
     owner = profiles.select(SESSION, ROOT, "leaf_count", "text", *[F.col(c).alias(f"_{c}") for c in ("apps", "items", "anchors")])
-    large = leaves.join(assigned.select(SESSION, "leaf_idx", ROOT), [SESSION, "leaf_idx"]).join(owner.where(F.col("leaf_count") > SMALL_THREAD), [SESSION, ROOT])
+    large = leaves.join(assigned.select(SESSION, "leaf_idx", ROOT), [SESSION, "leaf_idx"]).join(owner.where(F.col("leaf_count") > small_thread), [SESSION, ROOT])
     shared = [F.size(F.array_intersect(c, f"_{c}")) for c in ("apps", "items", "anchors")]
     large = large.withColumn("current_score", _score(text.text_similarity(F.col("profile"), F.col("text")), shared))
-    small = profiles.where(F.col("leaf_count") <= SMALL_THREAD)
+    small = profiles.where(F.col("leaf_count") <= small_thread)
     block = F.pmod(F.xxhash64(ROOT), F.ceil(F.col("_n") / BLOCK))
     sized = small.join(small.groupBy(SESSION).agg(F.count(F.lit(1)).alias("_n")), SESSION).withColumn("_block", block)
     blocks = sized.groupBy(SESSION, "_block").agg(F.collect_list(F.struct(F.col(ROOT).alias("root"), "text", "apps", "items", "anchors")).alias("_threads"))

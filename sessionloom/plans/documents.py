@@ -290,15 +290,10 @@ def root_profiles(spark: SparkSession, folder: str) -> DataFrame:
 
 @query("reassignment_candidates")
 def reassignment_candidates(spark: SparkSession, folder: str) -> DataFrame:
-    """Leaves of threads of more than twelve leaves that fit a small thread better.
-
-    Sessions here are groups of ten users, so that threads grow past twelve leaves.
-    """
-    rows = leaves(spark, folder).withColumns(
-        {"leaf_idx": F.col(SESSION).cast("bigint") * 100000 + F.col("leaf_idx"), SESSION: F.floor(F.col(SESSION).cast("bigint") / 10).cast("string")}
-    )
-    root = F.when(F.col("k0") < 70, F.col("objective")).otherwise(F.concat(F.lit("T"), F.col("k0").cast("string"))).alias("canonical_root_id")
+    """Leaves of threads of more than three leaves that fit a smaller thread of their session better."""
+    rows = leaves(spark, folder)
+    root = F.when(F.col("k0") < 70, F.lit("T")).otherwise(F.col("objective")).alias("canonical_root_id")
     placed = rows.select(SESSION, "leaf_idx", root)
     profiles = reassign.root_profiles(threads.roll_up(rows, placed))
-    out = reassign.candidates(online.prepare(rows), placed, profiles)
+    out = reassign.candidates(online.prepare(rows), placed, profiles, small_thread=3)
     return out.select(SESSION, "leaf_idx", "current_root_id", F.array_join("alternatives", "|").alias("alternatives"))
