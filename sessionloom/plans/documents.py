@@ -11,6 +11,7 @@ from sessionloom.plans.base import query, table
 from sessionloom.plans.models import TREE_SQL, source_activities, tree_nodes
 from sessionloom.plans.standins import ACTIONS_SQL, with_ctes
 from sessionloom.plans.thread_queries import assigned, leaves
+from sessionloom.session import cut_lineage
 from sessionloom.sources import logs, sinks
 
 SESSION = "session_id"
@@ -283,7 +284,7 @@ def merged_output(spark: SparkSession, folder: str) -> DataFrame:
 @query("root_profiles")
 def root_profiles(spark: SparkSession, folder: str) -> DataFrame:
     """Comparison text of every finished thread."""
-    rows = leaves(spark, folder)
+    rows = cut_lineage(leaves(spark, folder))
     out = reassign.root_profiles(threads.roll_up(rows, assigned(rows)))
     return out.select(SESSION, "canonical_root_id", "leaf_count", "text", F.array_join("apps", "|").alias("apps"), F.array_join("items", "|").alias("entities"))
 
@@ -291,9 +292,9 @@ def root_profiles(spark: SparkSession, folder: str) -> DataFrame:
 @query("reassignment_candidates")
 def reassignment_candidates(spark: SparkSession, folder: str) -> DataFrame:
     """Leaves of threads of more than three leaves that fit a smaller thread of their session better."""
-    rows = leaves(spark, folder)
+    rows = cut_lineage(leaves(spark, folder))  # read by every step below
     root = F.when(F.col("k0") < 70, F.lit("T")).otherwise(F.col("objective")).alias("canonical_root_id")
     placed = rows.select(SESSION, "leaf_idx", root)
     profiles = reassign.root_profiles(threads.roll_up(rows, placed))
-    out = reassign.candidates(online.prepare(rows), placed, profiles, small_thread=3)
+    out = reassign.candidates(cut_lineage(online.prepare(rows)), placed, cut_lineage(profiles), small_thread=3)
     return out.select(SESSION, "leaf_idx", "current_root_id", F.array_join("alternatives", "|").alias("alternatives"))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from sessionloom.operators import online, segments, threads, windows
 from sessionloom.plans import standins
 from sessionloom.plans.base import query, table
+from sessionloom.session import cut_lineage
 from sessionloom.plans.standins import ACTIONS_SQL, SEGMENTS_SQL, STATES_SQL, STEPS_SQL, with_ctes
 
 SESSION, ROOT = "session_id", "canonical_root_id"
@@ -103,8 +104,8 @@ LEFT JOIN (SELECT session_id, canonical_root_id, string_agg(v, '|' ORDER BY p) A
 JOIN (SELECT session_id, canonical_root_id, count(*) AS n_episodes FROM episodes GROUP BY ALL) ep USING (session_id, canonical_root_id)""",
 )
 def thread_rollup(spark: SparkSession, folder: str) -> DataFrame:
-    rows = leaves(spark, folder)
-    out = threads.roll_up(rows, assigned(rows))
+    rows = cut_lineage(leaves(spark, folder))  # read by every part of the roll-up
+    out = threads.roll_up(rows, cut_lineage(assigned(rows)))
     lists = {"apps": "apps_used", "entities": "entities", "samples": "sample_leaf_objectives"}
     return out.select(
         SESSION, ROOT, "leaf_count", "first_leaf_idx", "last_leaf_idx", "start_node_idx", "end_node_idx", "n_episodes",
