@@ -120,13 +120,9 @@ def trim_to_complete(so: SessionOrder, before: str = "before", after: str = "aft
     """Keep the rows from the first to the last one that has both states; keep all if none has."""
     complete = _present(F.col(before)) & _present(F.col(after))
     position = F.col(so.order[0])
-    bounds = so.rows.groupBy(*so.key).agg(
-        F.min(F.when(complete, position)).alias("_from"), F.max(F.when(complete, position)).alias("_to")
-    )
-    rows = so.rows.join(bounds, list(so.key)).where(
-        F.col("_from").isNull() | position.between(F.col("_from"), F.col("_to"))
-    )
-    return so.derive(rows.drop("_from", "_to"))
+    at = F.when(complete, position)
+    so = so.totals(_from=("min", at), _to=("max", at)).where(F.col("_from").isNull() | position.between(F.col("_from"), F.col("_to")))
+    return so.derive(so.rows.drop("_from", "_to"))
 
 
 def merge_double_clicks(

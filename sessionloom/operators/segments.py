@@ -57,8 +57,15 @@ def collapse_groups(members: SessionOrder, labels: DataFrame, max_context: int =
         F.max("end_action_idx").alias("end_action_idx"),
         F.min_by("label", order).alias("_first"),
         F.max_by("label", order).alias("_last"),
-        text.clip(F.array_join(text.ordered_collect(order, F.when(text.filled(F.col("context")), F.col("context"))), " "), max_context).alias("context"),
     )
+    # Every non-blank context gives at least one character and a blank, so the first ``max_context`` of
+    # them decide the clipped text; a group of any size is cut to that many rows before it is collected.
+    told = members.rows.where(text.filled(text.strip(F.col("context")))).select(SESSION, "group_no", "seg_idx", "context")
+    told = top_ranked(told, [SESSION, "group_no"], [order], max_context)
+    joined = told.groupBy(SESSION, "group_no").agg(
+        text.clip(F.array_join(text.ordered_collect(order, F.col("context")), " "), max_context).alias("context")
+    )
+    grouped = grouped.join(joined, [SESSION, "group_no"], "left").withColumn("context", F.coalesce("context", F.lit("")))
     best = F.coalesce(text.text_or_null(F.col("merge_label")), text.text_or_null(F.col("_last")), text.text_or_null(F.col("_first")))
     out = grouped.join(labels, [SESSION, "group_no"], "left")
     return out.withColumn("label", F.coalesce(best, F.lit("Unclassified semantic action"))).drop("_first", "_last", "merge_label")

@@ -119,6 +119,19 @@ class SessionOrder:
                 merged[name] = F.least(base, inner)
         return self.derive(cut_lineage(out.withColumns(merged).drop(*carried)))
 
+    def totals(self, **columns: tuple[str, Column]) -> "SessionOrder":
+        """Add whole-session aggregates to every row: name=('sum'|'max'|'min', expression).
+
+        Sliced sessions are combined from one row per slice and joined on (session, slice), so that a
+        large session's rows never meet in one task.
+        """
+        whole = Window.partitionBy(*self.key)
+        if not self.sliced:
+            return self.derive(self.rows.withColumns({n: _COMBINE[how](expr).over(whole) for n, (how, expr) in columns.items()}))
+        parts = self.rows.groupBy(*self.group_keys()).agg(*[_COMBINE[how](expr).alias(n) for n, (how, expr) in columns.items()])
+        summary = parts.withColumns({n: _COMBINE[how](n).over(whole) for n, (how, _) in columns.items()})
+        return self.derive(cut_lineage(self.rows.join(summary, self.group_keys(), "left")))
+
     def index(self, name: str, start: int = 0) -> "SessionOrder":
         """Dense position of each row in its session."""
         counted = self.running(**{name: ("sum", F.lit(1).cast("bigint"))})

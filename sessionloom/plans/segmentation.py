@@ -46,8 +46,7 @@ def count_windows(spark: SparkSession, folder: str) -> DataFrame:
 ON s.session_id = w.session_id AND idx >= window_start AND idx < window_end""",
 )
 def window_rows(spark: SparkSession, folder: str) -> DataFrame:
-    rows = standins.steps(spark, folder).df
-    counted = rows.join(standins.totals(rows), SESSION)
+    counted = standins.steps(spark, folder).totals(n=("sum", F.lit(1).cast("bigint"))).df
     return windows.assign_windows(counted, 12, 5).select(SESSION, "idx", "window_no", "in_core")
 
 
