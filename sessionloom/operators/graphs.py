@@ -1,7 +1,7 @@
 """Procedure graphs as edge tables: reachability, cycles, parents, dangling references.
 
 edges: session_id, root_id, parent_id, child_id.  Searches run in rounds of joins over all models at
-once; every round is checkpointed, so the plan stays short and a lost executor costs one round.
+once; every round is written to the shared folder, so the plan stays short and a lost executor costs one round.
 """
 
 from __future__ import annotations
