@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+import shutil
 import tempfile
 import uuid
 
@@ -45,3 +47,15 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     path = f"{checkpoint_dir(df.sparkSession).rstrip('/')}/stages/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the Python workers once per application, so tasks can import it anywhere."""
+    context = spark.sparkContext
+    if getattr(context, "_sessionloom_shipped", False):
+        return
+    package = os.path.dirname(os.path.abspath(__file__))
+    target = os.path.join(tempfile.mkdtemp(prefix="spark-", dir="/tmp"), "sessionloom")
+    archive = shutil.make_archive(target, "zip", os.path.dirname(package), "sessionloom")
+    context.addPyFile(archive)
+    context._sessionloom_shipped = True
