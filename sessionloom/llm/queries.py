@@ -6,7 +6,6 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from sessionloom.llm import substrings, tokens
 
@@ -30,5 +29,5 @@ def op1_token_counts(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def op3_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
-    kept = substrings.remove_repeats(table(spark, folder, "documents"), window=50)
-    return kept.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+    kept = substrings.remove_repeats(table(spark, folder, "documents"), window=50, with_text=False)
+    return kept.select("doc_id", "n_words", "n_removed", "kept_sha256")

@@ -10,10 +10,11 @@ starts in a document with a smaller id. Steps, all distributed:
 2. *Hits.* Per key, the smallest document with a block and the largest with a probe (map-side combined). A probe stays if a smaller
    document has a block there, a block if a larger document probes it.
 3. *Extension.* Around each hit the whole windows are hashed, the smallest document of each hash is found, and windows that start in
-   a larger document are removed. Neighbouring windows join into maximal repeats.
+   a larger document are removed. Neighbouring windows join into maximal repeats. Whole copies of an earlier text need no extension:
+   all their windows start there, so they are told by the digest of the text.
 
 No pairs are made: a passage held by a third of all documents costs one row per occurrence, and both joins have one row per key on
-one side, so Spark can split a hot key.
+one side, so Spark can split a hot key. Only texts with a hit are carried on; they travel compressed.
 
 Defined results: null or empty text has no words; a null id neither removes nor loses words; rows with equal ids never remove each
 other's words, and each is judged by its own text; texts shorter than a window stay whole.
@@ -22,10 +23,12 @@ other's words, and each is judged by its own text; texts shorter than a window s
 from __future__ import annotations
 
 from collections.abc import Iterator
+from hashlib import sha256
 from itertools import compress
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -69,11 +72,34 @@ def _anchor_rows(window: int):
     return rows
 
 
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    pack = zstandard.ZstdCompressor(level=3).compress
+    for batch in batches:
+        texts = batch.column(2).cast(pa.binary())
+        yield pa.RecordBatch.from_arrays(
+            [batch.column(0), batch.column(1), pa.array([pack(x.as_buffer()) for x in texts], pa.binary())], names=["doc_id", "check", "packed"]
+        )
+
+
+def _unpacked(batches: Iterator[pa.RecordBatch], limit: int = 4_000_000) -> Iterator[pa.RecordBatch]:
+    """Batches with the column `packed` opened as `text`, of about `limit` bytes each."""
+    unpack = zstandard.ZstdDecompressor().decompress
+    for batch in batches:
+        at = batch.schema.get_field_index("packed")
+        begin, held, texts = 0, 0, []
+        for i, value in enumerate(batch.column(at)):
+            texts.append(unpack(value.as_buffer()))
+            held += len(texts[-1])
+            if held >= limit or i + 1 == len(batch):
+                yield batch.slice(begin, len(texts)).set_column(at, "text", pa.array(texts, pa.binary()).cast(pa.string()))
+                begin, held, texts = i + 1, 0, []
+
+
 def _window_rows(window: int):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _unpacked(batches):
             for part in words.slices(batch, "text"):
-                data, offsets = words.text_buffer(part.column(1))
+                data, offsets = words.text_buffer(part.column(2))
                 starts, ends, first = words.word_bounds(data, offsets)
                 whole = words.grams(words.word_hashes(data, starts, ends), window)
                 if not len(whole):
@@ -93,7 +119,7 @@ def _window_rows(window: int):
                 if not len(at):
                     continue
                 text = np.searchsorted(first, at, side="right") - 1
-                check = part.column(2).to_numpy(zero_copy_only=False)[text]
+                check = part.column(1).to_numpy(zero_copy_only=False)[text]
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(whole[at].view(np.int64)),
@@ -106,52 +132,47 @@ def _window_rows(window: int):
     return rows
 
 
-def _kept_rows(window: int):
+def _cut_rows(window: int):
+    """Texts with their removed window starts -> spans removed and the words kept."""
+
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in words.slices(batch, "text"):
-                ids, texts, n_words, n_removed, spans = [], [], [], [], []
-                places = part.column(2)
-                for i, text in enumerate(part.column(1)):
-                    own = (text.as_py() or "").encode().split()
-                    gone = places[i].values
-                    ids.append(part.column(0)[i].as_py())
-                    n_words.append(len(own))
-                    if gone is None or not len(gone):
-                        n_removed.append(0)
-                        spans.append([])
-                    else:
-                        mark = np.zeros(len(own) + 1, np.int64)
-                        begin = gone.to_numpy(zero_copy_only=False)
-                        np.add.at(mark, begin, 1)
-                        np.add.at(mark, begin + window, -1)
-                        out = np.cumsum(mark)[:-1] > 0
-                        edge = np.flatnonzero(np.diff(np.concatenate([[False], out, [False]]).astype(np.int8)))
-                        spans.append([{"first": int(a), "end": int(b)} for a, b in zip(edge[::2], edge[1::2], strict=True)])
-                        n_removed.append(int(out.sum()))
-                        own = list(compress(own, ~out))
-                    texts.append(b" ".join(own).decode())
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(ids, pa.int64()),
-                        pa.array(n_words, pa.int64()),
-                        pa.array(n_removed, pa.int64()),
-                        pa.array(spans, pa.list_(pa.struct([("first", pa.int64()), ("end", pa.int64())]))),
-                        pa.array(texts, pa.string()),
-                    ],
-                    names=["doc_id", "n_words", "n_removed", "repeats", "kept_text"],
-                )
+        for batch in _unpacked(batches):
+            spans, texts, digests, gone = [], [], [], []
+            for text, places in zip(batch.column(2), batch.column(3), strict=True):
+                own = text.as_py().encode().split()
+                mark = np.zeros(len(own) + 1, np.int64)
+                begin = places.values.to_numpy(zero_copy_only=False)
+                np.add.at(mark, begin, 1)
+                np.add.at(mark, begin + window, -1)
+                out = np.cumsum(mark)[:-1] > 0
+                edge = np.flatnonzero(np.diff(np.concatenate([[False], out, [False]]).astype(np.int8)))
+                spans.append([{"first": int(a), "end": int(b)} for a, b in zip(edge[::2], edge[1::2], strict=True)])
+                kept = b" ".join(compress(own, ~out))
+                gone.append(int(out.sum()))
+                texts.append(kept.decode())
+                digests.append(sha256(kept).hexdigest())
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(1), pa.array(gone, pa.int64()), pa.array(spans, _SPANS), pa.array(digests), pa.array(texts)],
+                names=["doc_id", "check", "gone", "spans", "sha", "kept"],
+            )
 
     return rows
 
 
-def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", window: int = 50) -> DataFrame:
-    """One row per row of `docs`: doc_id, n_words, n_removed, repeats (maximal spans of removed words), kept_text."""
+_SPANS = pa.list_(pa.struct([("first", pa.int64()), ("end", pa.int64())]))
+
+
+def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", window: int = 50, with_text: bool = True) -> DataFrame:
+    """One row per row of `docs`: doc_id, n_words, n_removed, repeats (maximal spans of removed words), kept_sha256 and, if asked for, kept_text."""
     if window < 4 * GRAM:
         raise ValueError("the window must hold at least twenty words")
-    own = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    named = own.where("doc_id is not null and text is not null")
-    anchors = cut_lineage(named.mapInArrow(_anchor_rows(window), "key long, doc_id long, run long"))
+    own = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    own = own.withColumn("check", F.crc32(F.col("text").cast("binary")))
+    named = own.where("doc_id is not null")
+    contents = named.select("doc_id", "check", F.unhex(F.md5(F.col("text").cast("binary"))).alias("content"))
+    firsts = contents.groupBy("content").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last")
+    copies = cut_lineage(contents.join(firsts, "content").where("doc_id > first").select("doc_id", "check").distinct())
+    anchors = named.select("doc_id", "text").mapInArrow(_anchor_rows(window), "key long, doc_id long, run long")
     block = window // 2
     # A run of probes starting at `place` holds a block if a multiple of the block length lies in it.
     place = F.expr(f"run div {_RUN}")
@@ -163,8 +184,8 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     )
     hits = anchors.join(keys, "key").where((F.col("doc_id") > F.col("low")) | (holds & (F.col("doc_id") < F.col("high"))))
     runs = hits.groupBy("doc_id").agg(F.collect_list("run").alias("runs"))
-    check = F.crc32(F.col("text").cast("binary"))
-    candidates = named.join(runs, "doc_id").select("doc_id", "text", check.alias("check"), "runs")
+    packed = named.select("doc_id", "check", "text").mapInArrow(_packed, "doc_id long, check long, packed binary")
+    candidates = cut_lineage(packed.join(runs, "doc_id").join(copies, ["doc_id", "check"], "left_anti").select("doc_id", "check", "packed", "runs"))
     windows = cut_lineage(candidates.mapInArrow(_window_rows(window), "hash long, doc_id long, place long"))
     lowest = windows.groupBy("hash").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high")
     gone = (
@@ -173,8 +194,26 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         .groupBy("doc_id", F.expr("place & 4294967295L").alias("check"))
         .agg(F.collect_list(F.expr("shiftright(place, 32)")).alias("places"))
     )
-    whole = own.withColumn("check", check)
-    return whole.join(gone, ["doc_id", "check"], "left").select("doc_id", "text", "places").mapInArrow(
-        _kept_rows(window),
-        "doc_id long, n_words long, n_removed long, repeats array<struct<first: long, end: long>>, kept_text string",
+    cut = candidates.select("doc_id", "check", "packed").join(gone, ["doc_id", "check"]).mapInArrow(
+        _cut_rows(window), "doc_id long, check long, gone long, spans array<struct<first: long, end: long>>, sha string, kept string"
+    )
+    cut = cut.dropDuplicates(["doc_id", "check"])
+    tidy = F.trim(F.regexp_replace("text", r"[\x20\x09-\x0D]+", " "))
+    plain = own.select("doc_id", "check", tidy.alias("tidy"))
+    plain = plain.select(
+        "doc_id", "check", F.sha2("tidy", 256).alias("own_sha"),
+        F.when(F.col("tidy") == "", F.lit(0)).otherwise(F.length("tidy") - F.length(F.replace("tidy", F.lit(" "))) + 1).cast("long").alias("n_words"),
+        *(["tidy"] if with_text else []),
     )
+    found = plain.join(copies.withColumn("copied", F.lit(True)), ["doc_id", "check"], "left").join(cut, ["doc_id", "check"], "left")
+    whole = F.col("copied") & (F.col("n_words") >= window)
+    empty = F.sha2(F.lit(""), 256)
+    columns = [
+        "doc_id", "n_words",
+        F.when(whole, F.col("n_words")).otherwise(F.coalesce("gone", F.lit(0))).cast("long").alias("n_removed"),
+        F.when(whole, F.array(F.struct(F.lit(0).cast("long").alias("first"), F.col("n_words").alias("end")))).otherwise(F.coalesce("spans", F.array())).alias("repeats"),
+        F.when(whole, empty).otherwise(F.coalesce("sha", "own_sha")).alias("kept_sha256"),
+    ]
+    if with_text:
+        columns.append(F.when(whole, F.lit("")).otherwise(F.coalesce("kept", "tidy")).alias("kept_text"))
+    return found.select(*columns)
