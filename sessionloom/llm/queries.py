@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from sessionloom.llm import substrings, tokens
+from sessionloom.llm import orderminhash, substrings, tokens, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -31,3 +32,14 @@ def op1_token_counts(spark: SparkSession, folder: str) -> DataFrame:
 def op3_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
     kept = substrings.remove_repeats(table(spark, folder, "documents"), window=50, with_text=False)
     return kept.select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
+@query
+def op10_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    return toxicity.toxicity(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
+@query
+def op9_order_minhash(spark: SparkSession, folder: str) -> DataFrame:
+    classes = orderminhash.near_duplicates(table(spark, folder, "documents"), similarity=0.8)
+    return classes.select("doc_id", "class_id", F.coalesce(F.col("doc_id") == F.col("class_id"), F.lit(True)).alias("kept"))
