@@ -7,9 +7,10 @@ starts in a document with a smaller id. Steps, all distributed:
    length probes it. Any repeated window holds one whole block of the earlier document, so no repeat is missed. Both sides are
    looked up by the smallest 5-word hash inside (a function of the content, so equal runs meet); neighbouring probes with the same
    key travel as one row, about one row per eleven words.
-2. *Hits.* Per key, the smallest document with a block and the largest with a probe (map-side combined). A probe stays if a smaller
-   document has a block there, a block if a larger document probes it.
-3. *Extension.* Around each hit the whole windows are hashed, the smallest document of each hash is found, and windows that start in
+2. *Hits.* Per key, the smallest and the largest document and the smallest with a block (map-side combined). Runs of probes whose key
+   no other document has are gone; a run is a hit if a smaller document has a block there, or if it holds a block that a larger
+   document probes.
+3. *Extension.* Whole windows that hold a hit, and all of whose probes some other document shares, are hashed, the smallest document of each hash is found, and windows that start in
    a larger document are removed. Neighbouring windows join into maximal repeats. Whole copies of an earlier text need no extension:
    all their windows start there, so they are told by the digest of the text.
 
@@ -95,6 +96,15 @@ def _unpacked(batches: Iterator[pa.RecordBatch], limit: int = 4_000_000) -> Iter
                 begin, held, texts = i + 1, 0, []
 
 
+def _covered(begin: np.ndarray, end: np.ndarray, wanted: np.ndarray, n: int, width: int) -> np.ndarray:
+    """How many of the `width` places from each place on lie in a wanted interval."""
+    edge = np.zeros(n + width + 1, np.int64)
+    np.add.at(edge, begin[wanted], 1)
+    np.add.at(edge, end[wanted], -1)
+    inside = np.concatenate([[0], np.cumsum(np.cumsum(edge) > 0)])
+    return inside[width : width + n] - inside[:n]
+
+
 def _window_rows(window: int):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _unpacked(batches):
@@ -107,14 +117,12 @@ def _window_rows(window: int):
                 runs = part.column(3)
                 text = np.repeat(np.arange(len(part)), runs.value_lengths().to_numpy(zero_copy_only=False))
                 run = runs.flatten().to_numpy(zero_copy_only=False)
-                place, long = run // _RUN, run % _RUN + 1
-                begin = np.clip(place - (window - window // 2), 0, None) + first[text]
-                end = np.minimum(place + long + first[text], first[text + 1])
-                open_ = np.zeros(len(starts) + 1, np.int64)
-                some = end > begin
-                np.add.at(open_, begin[some], 1)
-                np.add.at(open_, end[some], -1)
-                near = np.cumsum(open_)[: len(whole)] > 0
+                flags, run = run % 8, run // 8
+                begin = np.minimum(run // _RUN + first[text], first[text + 1])
+                end = np.minimum(begin + run % _RUN + 1, first[text + 1])
+                probes = window - window // 2 + 1
+                below, above, hit = (_covered(begin, end, flags & bit > 0, len(starts), probes)[: len(whole)] for bit in (1, 2, 4))
+                near = ((below == probes) | (above == probes)) & (hit > 0)
                 at = np.flatnonzero(near & words.inside(first, window, len(whole)))
                 if not len(at):
                     continue
@@ -179,11 +187,15 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     holds = (F.expr(f"((run div {_RUN} + run % {_RUN}) div {block}) * {block}")) >= place
     keys = (
         anchors.groupBy("key")
-        .agg(F.min(F.when(holds, F.col("doc_id"))).alias("low"), F.max("doc_id").alias("high"))
+        .agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.min(F.when(holds, F.col("doc_id"))).alias("block"))
         .where("low < high")
     )
-    hits = anchors.join(keys, "key").where((F.col("doc_id") > F.col("low")) | (holds & (F.col("doc_id") < F.col("high"))))
-    runs = hits.groupBy("doc_id").agg(F.collect_list("run").alias("runs"))
+    found = anchors.join(keys, "key")
+    below, above = F.col("doc_id") > F.col("low"), F.col("doc_id") < F.col("high")
+    hit = F.coalesce(F.col("doc_id") > F.col("block"), F.lit(False)) | (holds & above)
+    flags = below.cast("long") + 2 * above.cast("long") + 4 * hit.cast("long")
+    # The lowest three bits of a run now say: shared with a smaller, with a larger document, hit.
+    runs = found.groupBy("doc_id").agg(F.collect_list(F.col("run") * 8 + flags).alias("runs"), F.max(hit).alias("hit")).where("hit").drop("hit")
     packed = named.select("doc_id", "check", "text").mapInArrow(_packed, "doc_id long, check long, packed binary")
     candidates = cut_lineage(packed.join(runs, "doc_id").join(copies, ["doc_id", "check"], "left_anti").select("doc_id", "check", "packed", "runs"))
     windows = cut_lineage(candidates.mapInArrow(_window_rows(window), "hash long, doc_id long, place long"))
