@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sessionloom.llm import orderminhash, substrings, tokens, toxicity
+from sessionloom.llm import orderminhash, pii, substrings, tokens, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -43,3 +43,8 @@ def op10_toxicity(spark: SparkSession, folder: str) -> DataFrame:
 def op9_order_minhash(spark: SparkSession, folder: str) -> DataFrame:
     classes = orderminhash.near_duplicates(table(spark, folder, "documents"), similarity=0.8)
     return classes.select("doc_id", "class_id", F.coalesce(F.col("doc_id") == F.col("class_id"), F.lit(True)).alias("kept"))
+
+
+@query
+def op2_pii(spark: SparkSession, folder: str) -> DataFrame:
+    return pii.digest(pii.find(table(spark, folder, "documents")))

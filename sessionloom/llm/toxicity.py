@@ -103,7 +103,7 @@ def _counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     yield pd.DataFrame({"bucket": at, "clean": seen[0][at], "toxic": seen[1][at]})
 
 
-def train(docs: DataFrame, labels: DataFrame, per_class: int = 3_000, least_ratio: float = 1.0, least_docs: int = 4, rounds: int = 60, ridge: float = 2e-3,
+def train(docs: DataFrame, labels: DataFrame, per_class: int = 3_000, least_ratio: float = 2.0, least_docs: int = 8, rounds: int = 60, ridge: float = 2e-3,
           doc_id: str = "doc_id", text: str = "text") -> Model:
     """Fit on a sample of at most `2 * per_class` labelled rows; `least_ratio` and `least_docs` leave out features that tell nothing."""
     sample = cut_lineage(training_rows(docs, labels, per_class, doc_id, text))
