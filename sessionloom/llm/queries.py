@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sessionloom.llm import orderminhash, pii, substrings, tokens, toxicity
+from sessionloom.llm import ann, decontam, mixing, orderminhash, pii, substrings, templates, tokens, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -48,3 +48,24 @@ def op9_order_minhash(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def op2_pii(spark: SparkSession, folder: str) -> DataFrame:
     return pii.digest(pii.find(table(spark, folder, "documents")))
+
+
+@query
+def op5_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    kept = templates.drop_lines(table(spark, folder, "documents").select("doc_id", "text"))
+    return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
+
+
+@query
+def op4_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    return decontam.contaminated(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
+@query
+def op8_mixing(spark: SparkSession, folder: str) -> DataFrame:
+    return mixing.mix(table(spark, folder, "documents")).select("doc_id", "size", "source_size", "target", "taken", "copies", "rate")
+
+
+@query
+def op7_inverted_multi_index(spark: SparkSession, folder: str) -> DataFrame:
+    return ann.search(table(spark, folder, "embeddings"), F.col("id") % 20 == 0, k=20)
