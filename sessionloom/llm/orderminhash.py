@@ -13,12 +13,12 @@ share k-mers in the same order (small edit distance), not merely the same words.
    k-mers survive. Where that proves a similarity of `similarity` or more the pair is linked; otherwise the exact Jaccard
    similarity of the k-mer sets decides. Nothing is collected; edges and classes are tables.
 
-With the defaults (32 sketches, depth 4) a pair of similarity 0.8 shares no bucket with probability about 5e-8 before order is
-considered; the chance falls quickly above.
+With the defaults (64 sketches, depth 8) a pair of similarity 0.8 shares no bucket with probability about 8e-6, one of 0.85 with 2e-9
+before order is considered; texts of similarity 0.5, such as those that only share a common passage, share a given bucket with 0.4 %.
 
 Defined results: null text counts as empty. Texts of fewer than five words (empty ones too) are near duplicates of equal texts only.
-Rows with a null id are a class of their own (class_id null). Rows that repeat id and text are one document. Ties do not arise:
-the class is named by its smallest id.
+Rows with a null id are a class of their own (class_id null). Rows that repeat id and text are one document; of several texts under one id, the one of smallest digest is compared, the
+others are matched to equal texts only. Ties do not arise: the class is named by its smallest id.
 """
 
 from __future__ import annotations
@@ -58,7 +58,7 @@ def order_sketch(shingles: np.ndarray, sketches: int, depth: int) -> np.ndarray:
     seeds = _SEEDS[:sketches]
     out = np.empty(sketches, np.uint64)
     step = max(1, min(sketches, 400_000 // n))
-    cut = np.uint64(min(1.0, 6.0 * (depth + 4) / n) * (2.0**64 - 2048))
+    cut = np.uint64(min(1.0, (3.0 * depth + 8) / n) * (2.0**64 - 2048))
     for a in range(0, sketches, step):
         values = marked[None, :] * seeds[a : a + step, None]
         row, place = np.nonzero(values <= cut)
@@ -189,7 +189,7 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def near_duplicates(
-    docs: DataFrame, doc_id: str = "doc_id", text: str = "text", similarity: float = 0.8, sketches: int = 32, depth: int = 4
+    docs: DataFrame, doc_id: str = "doc_id", text: str = "text", similarity: float = 0.8, sketches: int = 64, depth: int = 8
 ) -> DataFrame:
     """doc_id, content (digest of the text) and class_id (smallest doc_id of its near duplicates) of each distinct document."""
     own = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
@@ -197,55 +197,43 @@ def near_duplicates(
     named = own.where("doc_id is not null")
     rows = cut_lineage(named.mapInArrow(_sketch_rows(sketches, depth), "doc_id long, content binary, keys array<long>, size long"))
     texts = cut_lineage(rows.groupBy("content").agg(F.min("doc_id").alias("rep"), F.min_by("keys", "doc_id").alias("keys"), F.min("size").alias("size")))
-    # A representative is named by id; rows that reuse an id for another text get a name of their own only through their content.
-    buckets = texts.where("size > 0").select("rep", "content", F.posexplode("keys").alias("band", "key"))
-    buckets = buckets.select(F.xxhash64("band", "key").alias("bucket"), F.struct("rep", "content").alias("who"))
-    leaders = buckets.groupBy("bucket").agg(F.min("who").alias("lead"), F.count("*").alias("n")).where("n > 1")
-    shared = cut_lineage(buckets.join(leaders, "bucket").select("bucket", "who", "lead"))
-    needed = shared.select("who.content").distinct()
-    wanted = texts.join(needed, "content", "left_semi").select("content", F.col("rep").alias("doc_id"))
-    bodies = own.where("doc_id is not null").join(wanted, ["content", "doc_id"]).groupBy("content").agg(F.first("text").alias("text"))
-    bodies = cut_lineage(bodies)
+    nodes = texts.where("size > 0").join(texts.groupBy("rep").agg(F.min("content").alias("content")), ["rep", "content"])
+    buckets = nodes.select("rep", F.posexplode("keys").alias("band", "key")).select(F.xxhash64("band", "key").alias("bucket"), "rep")
+    leaders = buckets.groupBy("bucket").agg(F.min("rep").alias("lead"), F.max("rep").alias("last")).where("lead < last").select("bucket", "lead")
+    shared = cut_lineage(buckets.join(leaders, "bucket").select("bucket", "rep", "lead"))
+    wanted = nodes.select("rep", "content").join(shared.select("rep").distinct(), "rep").select(F.col("rep").alias("doc_id"), "content")
+    bodies = cut_lineage(
+        own.where("doc_id is not null").join(wanted, ["doc_id", "content"]).groupBy(F.col("doc_id").alias("rep")).agg(F.first("text").alias("text"))
+    )
 
     def verified(pairs: DataFrame) -> DataFrame:
-        """Distinct pairs of contents with the verdict."""
+        """Distinct pairs of representatives with the verdict."""
         texted = (
             pairs.select("a", "b").distinct()
-            .join(bodies.select(F.col("content").alias("b"), F.col("text").alias("text_b")), "b")
-            .join(bodies.select(F.col("content").alias("a"), F.col("text").alias("text_a")), "a")
+            .join(bodies.select(F.col("rep").alias("b"), F.col("text").alias("text_b")), "b")
+            .join(bodies.select(F.col("rep").alias("a"), F.col("text").alias("text_a")), "a")
         )
-        return cut_lineage(texted.select("a", "b", "text_a", "text_b").mapInArrow(_verified(similarity), "a binary, b binary, linked boolean"))
+        return cut_lineage(texted.select("a", "b", "text_a", "text_b").mapInArrow(_verified(similarity), "a long, b long, linked boolean"))
 
-    met = shared.where("who <> lead").select("bucket", "who", F.col("lead.content").alias("a"), F.col("who.content").alias("b"))
+    met = shared.where("rep <> lead").select("bucket", F.col("lead").alias("a"), F.col("rep").alias("b"))
     first = verified(met)
     # Those that failed meet the smallest of them.
-    failed = met.join(first.where("not linked"), ["a", "b"]).select("bucket", "who")
-    second_lead = failed.groupBy("bucket").agg(F.min("who").alias("lead"), F.count("*").alias("n")).where("n > 1")
-    again = failed.join(second_lead, "bucket").where("who <> lead").select(F.col("lead.content").alias("a"), F.col("who.content").alias("b"))
-    second = verified(again)
-    links = first.unionByName(second).where("linked").select("a", "b")
-    seen = first.unionByName(second).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    names = texts.select("content", "rep")
-
-    def numbered(pairs: DataFrame) -> DataFrame:
-        """Links between contents as links between representatives."""
-        return pairs.join(names.select(F.col("content").alias("a"), F.col("rep").alias("x")), "a").join(
-            names.select(F.col("content").alias("b"), F.col("rep").alias("y")), "b"
-        ).select(F.col("x").alias("a"), F.col("y").alias("b"))
-
-    edges = cut_lineage(numbered(links))
+    failed = cut_lineage(met.join(first.where("not linked"), ["a", "b"]).select("bucket", "b"))
+    second_lead = failed.groupBy("bucket").agg(F.min("b").alias("a"), F.max("b").alias("last")).where("a < last").select("bucket", "a")
+    second = verified(failed.join(second_lead, "bucket").where("a < b"))
+    seen = first.unionByName(second)
+    edges = seen.where("linked").select("a", "b")
     roots = components(edges)
-    placed = shared.select("bucket", F.col("who.rep").alias("rep"), F.col("who.content").alias("content"))
-    placed = placed.join(roots.withColumnRenamed("node", "rep"), "rep", "left").select("bucket", "content", F.coalesce("root", "rep").alias("root"))
+    placed = shared.select("bucket", "rep").join(roots.withColumnRenamed("node", "rep"), "rep", "left").select("bucket", "rep", F.coalesce("root", "rep").alias("root"))
     sizes = placed.groupBy("bucket", "root").agg(F.count("*").alias("n"))
     major = sizes.groupBy("bucket").agg(F.max(F.struct("n", "root")).alias("top"), F.count("*").alias("classes")).where("classes > 1")
     split = cut_lineage(placed.join(major.select("bucket", F.col("top.root").alias("main")), "bucket"))
-    minor = split.where("root <> main").select("bucket", F.col("content").alias("c"), F.col("root").alias("r"), "main")
-    wide = split.select("bucket", F.col("content").alias("d"), F.col("root").alias("s"))
+    minor = split.where("root <> main").select("bucket", F.col("rep").alias("c"), F.col("root").alias("r"), "main")
+    wide = split.select("bucket", F.col("rep").alias("d"), F.col("root").alias("s"))
     cross = minor.join(wide, "bucket").where("(s = main) or (r < s)").select(F.least("c", "d").alias("a"), F.greatest("c", "d").alias("b"))
-    third = verified(cross.distinct().join(seen.distinct(), ["a", "b"], "left_anti"))
-    roots = components(edges.unionByName(numbered(third.where("linked").select("a", "b"))))
-    classes = names.join(roots.withColumnRenamed("node", "rep"), "rep", "left").select("content", F.coalesce("root", "rep").alias("class_id"))
+    third = verified(cross.distinct().join(seen.select("a", "b"), ["a", "b"], "left_anti"))
+    roots = components(edges.unionByName(third.where("linked").select("a", "b")))
+    classes = texts.select("content", "rep").join(roots.withColumnRenamed("node", "rep"), "rep", "left").select("content", F.coalesce("root", "rep").alias("class_id"))
     result = rows.select("doc_id", "content").distinct().join(classes, "content")
     unnamed = own.where("doc_id is null").select("doc_id", "content", F.lit(None).cast("long").alias("class_id"))
     return result.select("doc_id", "content", "class_id").unionByName(unnamed)
