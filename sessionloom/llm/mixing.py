@@ -7,8 +7,8 @@ within [0, `limit`], those closest in relative entropy to one copy of each. They
 steps for all sources at once, each step one distributed aggregate.
 
 A rate depends only on source and size, so the steps run on the counts of (source, size), not on the documents. Rates become copies by systematic
-rounding along the sizes: documents in order of size carry their fractions on, so a source's words miss its target by about one
-document. The order is cut into bins of neighbouring sizes, large ones also by a hash, and bins hand on their sums; no task orders a
+rounding along the sizes: documents in order of size carry their fractions on, so a source's words miss its target by a fraction
+of one document. The order is cut into bins of neighbouring sizes, large ones also by a hash, and bins hand on their sums; no task orders a
 whole source. Sums are of integers (units of 2**-30), so reruns agree bit for bit.
 
 Defined results: a null text has size 0; a null source is a source of its own, last in the order; documents of size 0 are taken 0 words
@@ -25,6 +25,8 @@ from sessionloom.session import cut_lineage
 
 UNIT = 1 << 30
 WEIGHTS = (5, 2, 1)
+#: Starting points tried for the rounding of each source.
+PHASES = 16
 
 
 def size_of(text: Column) -> Column:
@@ -126,8 +128,22 @@ def mix(
     placed = rows.withColumn("along", F.sum("part").over(inner)).join(
         bins, F.col("source").eqNullSafe(F.col("s")) & (F.col("band") == F.col("b")) & (F.col("cut") == F.col("c"))
     )
-    extra = F.expr(f"(offset + along + {UNIT // 2}) div {UNIT} - (offset + along - part + {UNIT // 2}) div {UNIT}")
-    copies = F.floor("rate").cast("long") + extra
+    placed = cut_lineage(placed.drop("s", "b", "c"))
+
+    def extra(phase: Column | int) -> Column:
+        upto = F.col("offset") + F.col("along") + phase
+        return (upto.cast("decimal(38,0)") - F.pmod(upto, F.lit(UNIT)) - (upto - F.col("part")) + F.pmod(upto - F.col("part"), F.lit(UNIT))) / UNIT
+
+    def copied(phase: Column | int) -> Column:
+        return F.floor("rate").cast("long") + extra(phase).cast("long")
+
+    # Of a few starting phases, each source takes the one that comes nearest to its target.
+    phases = [i * (UNIT // PHASES) for i in range(PHASES)]
+    misses = [F.abs(F.sum(copied(p) * F.col("size")) - F.first("target")).alias(f"p{i}") for i, p in enumerate(phases)]
+    tried = placed.groupBy("source").agg(*misses)
+    best = F.array_min(F.array(*(F.struct(F.col(f"p{i}").alias("miss"), F.lit(p).cast("long").alias("phase")) for i, p in enumerate(phases))))["phase"]
+    placed = placed.join(tried.select(F.col("source").alias("s"), best.alias("phase")), F.col("source").eqNullSafe(F.col("s")))
+    copies = copied(F.col("phase"))
     return placed.select(
         "doc_id", "source", "size", "source_size", "target", "rate", copies.alias("copies"), (copies * F.col("size")).alias("taken"), "check"
     )
