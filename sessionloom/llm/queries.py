@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sessionloom.llm import ann, decontam, mixing, orderminhash, pii, substrings, templates, tokens, toxicity
+from sessionloom.llm import ann, decontam, mixing, orderminhash, pages, pii, substrings, templates, tokens, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -69,3 +69,9 @@ def op8_mixing(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def op7_inverted_multi_index(spark: SparkSession, folder: str) -> DataFrame:
     return ann.search(table(spark, folder, "embeddings"), F.col("id") % 20 == 0, k=20)
+
+
+@query
+def op6_main_text(spark: SparkSession, folder: str) -> DataFrame:
+    pages_table = table(spark, folder, "pages")
+    return pages.extract(pages_table, pages.train(pages_table))
