@@ -90,7 +90,7 @@ def search(
     vectors: DataFrame, queries: Column, k: int = 20, centroids: int = 64, share: float = 0.45, least: int = 2_000, sample: int = 10_000, block: int = 4_096,
     vec_id: str = "vec_id", embedding: str = "embedding",
 ) -> DataFrame:
-    """query_id, rank, vec_id, score: the k nearest other rows of every row for which `queries` (over vec_id) holds."""
+    """query_id, rank, vec_id, score: the k nearest other rows of every row for which `queries` (over the column id) holds."""
     spark = vectors.sparkSession
     schema = "query_id long, rank int, vec_id long, score double"
     own = cut_lineage(usable(vectors, vec_id, embedding).dropDuplicates(["key", "id"]))

@@ -48,11 +48,13 @@ _AGAINST = re.compile(
     r"(?i)(^|[-_ ])(ads?|advert\w*|banner|breadcrumbs?|comments?|cookies?|consent|disqus|footer|header|login|masthead|menu|modal|nav\w*|newsletter|notices?|"
     r"pager|pagination|popup|promo\w*|related|replies|reply|respond|search|share|sharing|sidebar|signup|skip|social|sponsor\w*|subscribe|tags?|toolbar|widgets?)($|[-_ ])"
 )
+#: What a page has or lacks doesn't name the element.
+_ABOUT = re.compile(r"(?i)\b(has|with|without|no|is)-\S+")
 _FOR = re.compile(r"(?i)(^|[-_ ])(article\w*|body|content|entry|main|post|story|text)($|[-_ ])")
 
 STATES = ("frame", "content", "boilerplate")
 #: Prior weights of (feature, value) by state, 1 where none is given; each feature's weights are scaled to one. An element that names
-#: itself boilerplate is never content, whatever it holds; it may be a frame (a page's body or form).
+#: itself boilerplate is never content, whatever it holds; a form may be a frame.
 NEVER = 1e-100
 PRIOR = {
     **{("tag", t): (0.05, NEVER, 30.0) for t in ("nav", "footer", "aside", "menu", "fieldset")},
@@ -61,7 +63,7 @@ PRIOR = {
     **{("tag", t): (0.1, 20.0, 60.0) for t in ("p", "blockquote", "pre", "h1", "h2", "h3")},
     **{("tag", t): (30.0, 0.1, 0.1) for t in ("html", "body")},
     **{("tag", t): (30.0, 10.0, 30.0) for t in ("div", "section", "table", "tbody", "tr", "td", "ul", "ol", "li")},
-    ("class", "against"): (0.3, NEVER, 3.0), ("class", "for"): (2.0, 3.0, 0.1),
+    ("class", "against"): (NEVER, NEVER, 3.0), ("class", "for"): (2.0, 3.0, 0.1),
 }
 #: How much of a state's tables is prior: boilerplate looks like anything, also like text.
 SHARE = (0.1, 0.1, 0.5)
@@ -142,6 +144,7 @@ class Page(HTMLParser):
         elif tag not in INLINE:
             self.flush()
             names = " ".join(v for k, v in attrs if k in ("class", "id", "role") and v)
+            names = "" if tag in ("html", "body") else _ABOUT.sub(" ", names)
             mark = "against" if _AGAINST.search(names) else "for" if _FOR.search(names) else "none"
             self.at = self._node(self.at, tag, mark, None, 0)
 

@@ -97,21 +97,31 @@ def boilerplate(
 
 
 def drop_lines(
-    docs: DataFrame, doc_id: str = "doc_id", text: str = "text", depth: int = 3, least_docs: int = 8, least_spread: float = 0.5, least_match: float = 0.7
+    docs: DataFrame, doc_id: str = "doc_id", text: str = "text", depth: int = 3, least_docs: int = 8, least_spread: float = 0.5, least_match: float = 0.7,
+    length: str | None = None, counts: bool = True,
 ) -> DataFrame:
-    """Every row and column of `docs`, its text without boilerplate lines, and n_lines and n_dropped."""
+    """Every row and column of `docs`, its text without boilerplate lines; `length` names a column that holds the text's length.
+
+    With `counts`, n_lines and n_dropped follow (and replace columns of these names).
+    """
     every = lines(docs, doc_id, text, depth)
     dropped = boilerplate(every, least_docs, least_spread, least_match)
     gone = (
         every.select("doc", "check", "place", "line").join(dropped, "line", "left_semi")
         .groupBy("doc", "check").agg(F.collect_set("place").alias("places"))
     )
-    gone = gone.select(F.col("doc").alias("__doc"), F.col("check").alias("__check"), F.col("places").alias("__places"))
-    met = docs.join(gone, F.col(doc_id).eqNullSafe(F.col("__doc")) & (F.xxhash64(F.coalesce(F.col(text), F.lit(""))) == F.col("__check")), "left")
-    parts = F.split(F.col(text), "\n", -1)
-    kept = F.array_join(F.filter(parts, lambda line, i: ~F.array_contains("__places", i)), "\n")
-    return met.select(
-        *(F.when(F.col("__places").isNull(), F.col(text)).otherwise(kept).alias(c) if c == text else F.col(c) for c in docs.columns),
-        F.when(F.col(text).isNull(), 0).otherwise(F.size(parts)).cast("long").alias("n_lines"),
-        F.coalesce(F.size("__places"), F.lit(0)).cast("long").alias("n_dropped"),
-    )
+    # The row travels as one value, so no name of its columns can clash.
+    rows = docs.select(F.struct(*docs.columns).alias("row"))
+    body = F.col("row")[text]
+    met = rows.join(gone, F.col("row")[doc_id].eqNullSafe(F.col("doc")) & (F.xxhash64(F.coalesce(body, F.lit(""))) == F.col("check")), "left")
+    parts = F.split(body, "\n", -1)
+    left = F.array_join(F.filter(parts, lambda line, i: ~F.array_contains("places", i)), "\n")
+    kept = F.when(F.col("places").isNull(), body).otherwise(left)
+    changed = {text: kept}
+    if length:
+        changed[length] = F.when(F.col("places").isNull(), F.col("row")[length]).otherwise(F.length(kept).cast(docs.schema[length].dataType))
+    columns = [changed.get(c, F.col("row")[c]).alias(c) for c in docs.columns if not (counts and c in ("n_lines", "n_dropped"))]
+    if counts:
+        columns.append(F.when(body.isNull(), 0).otherwise(F.size(parts)).cast("long").alias("n_lines"))
+        columns.append(F.coalesce(F.size("places"), F.lit(0)).cast("long").alias("n_dropped"))
+    return met.select(*columns)

@@ -17,7 +17,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sessionloom.llm.words import mix
@@ -141,22 +141,21 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = 3_000, least_rati
     return Model(weights.astype(np.float32), shift + float(np.log(known / (1 - known))) if 0 < known < 1 else shift)
 
 
-def score(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """Every column of `docs` with `toxic_score`, in one pass without a shuffle. The model has 2**BITS weights, whatever the data."""
-    held = docs.sparkSession.sparkContext.broadcast(model)
+def scorer(spark: SparkSession, model: Model):
+    """Column function text -> score. The model has 2**BITS weights, whatever the data."""
+    held = spark.sparkContext.broadcast(model)
 
     @F.pandas_udf("double")
     def scored(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for texts in batches:
             yield pd.Series([held.value.score(t) for t in texts], dtype=float)
 
-    return docs.withColumn("toxic_score", scored(F.coalesce(docs[text], F.lit(""))))
+    return lambda text: scored(F.coalesce(text, F.lit("")))
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, per_class: int = 3_000) -> DataFrame:
     """doc_id, held_out, score and predicted of every row."""
     own = docs.select("doc_id", "text")
-    scored = score(own, train(own, labels, per_class))
-    return scored.select(
-        "doc_id", held_out("doc_id").alias("held_out"), F.col("toxic_score").alias("score"), (F.col("toxic_score") >= 0.5).cast("int").alias("predicted")
-    )
+    score = scorer(docs.sparkSession, train(own, labels, per_class))
+    scored = own.select("doc_id", held_out("doc_id").alias("held_out"), score(F.col("text")).alias("score"))
+    return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
