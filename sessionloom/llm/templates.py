@@ -26,29 +26,41 @@ from pyspark.sql import functions as F
 from sessionloom.session import cut_lineage
 
 OPEN = "<*>"
-_VARIABLE = r"[^\x20]*[0-9][^\x20]*"
-_BLANK = r"[\x20\x09-\x0D]+"
+# A token with a digit; starts inside a token are skipped at once.
+_VARIABLE = r"(?<![^\x20\n])[^\x20\n0-9]*+[0-9][^\x20\n]*"
+_BLANKS = r"[\x20\x09\x0B-\x0D]{2,}|[\x09\x0B-\x0D]"
 
 
-def parsed(line: Column) -> Column:
-    """The line's tokens joined by one space, those with a digit opened."""
-    return F.regexp_replace(F.trim(F.regexp_replace(line, _BLANK, " ")), _VARIABLE, OPEN)
+def parsed(text: Column) -> Column:
+    """Each line's tokens joined by one space, those with a digit opened; as many entries as the text has lines."""
+    even = F.regexp_replace(text, _BLANKS, " ")
+    masked = F.when(even.rlike("[0-9]"), F.regexp_replace(even, _VARIABLE, OPEN)).otherwise(even)
+    return F.split(F.trim(masked), r"\x20?\n\x20?", -1)
+
+
+def tokens_of(masked: Column) -> Column:
+    return F.length(masked) - F.length(F.replace(masked, F.lit(" "))) + 1
 
 
 def leaf(masked: Column, depth: int) -> Column:
-    tokens = F.length(masked) - F.length(F.replace(masked, F.lit(" "))) + 1
-    return F.xxhash64(tokens, F.substring_index(masked, " ", depth))
+    return F.xxhash64(tokens_of(masked), F.substring_index(masked, " ", depth))
 
 
-def lines(docs: DataFrame, doc_id: str, text: str, depth: int) -> DataFrame:
-    """One row per line that isn't blank: doc, check, place, line (hash), leaf, masked, around (hash of both neighbours)."""
+def spelled(docs: DataFrame, doc_id: str, text: str, depth: int) -> DataFrame:
+    """One row per line that isn't blank: doc, check, place, masked, line (hash), tokens, leaf, around (hash of both neighbours' leaves).
+
+    Neighbours count by their leaves, so the edited copies of a document are one surrounding.
+    """
     body = F.coalesce(F.col(text), F.lit(""))
-    own = docs.select(F.col(doc_id).alias("doc"), F.xxhash64(body).alias("check"), F.transform(F.split(body, "\n", -1), parsed).alias("parts"))
-    own = own.select("doc", "check", "parts", F.transform("parts", lambda x: F.xxhash64(x)).alias("marks"))
-    rows = own.select("doc", "check", "marks", F.posexplode("parts").alias("place", "masked")).where("masked <> ''")
-    # Past the end get() is null, which hashes like any other value.
-    around = F.xxhash64(F.get("marks", F.col("place") - 1), F.lit(0), F.get("marks", F.col("place") + 1))
-    return rows.select("doc", "check", "place", "masked", F.xxhash64("masked").alias("line"), leaf(F.col("masked"), depth).alias("leaf"), around.alias("around"))
+    own = docs.select(F.col(doc_id).alias("doc"), F.xxhash64(body).alias("check"), parsed(body).alias("parts"))
+    own = own.withColumn("leaves", F.transform("parts", lambda x: leaf(x, depth)))
+    rows = own.select("doc", "check", "leaves", F.posexplode("parts").alias("place", "masked")).where("masked <> ''")
+    # Past either end the neighbour is null, which hashes like any other value.
+    before, after = (F.get("leaves", F.col("place") + d) for d in (-1, 1))
+    return rows.select(
+        "doc", "check", "place", "masked", F.xxhash64("masked").alias("line"), tokens_of(F.col("masked")).alias("tokens"),
+        F.get("leaves", F.col("place")).alias("leaf"), F.xxhash64(before, F.lit(0), after).alias("around"),
+    )
 
 
 def recurring(counted: DataFrame, key: str, least_docs: int, least_spread: float) -> DataFrame:
@@ -61,10 +73,13 @@ def recurring(counted: DataFrame, key: str, least_docs: int, least_spread: float
 
 
 def boilerplate(
-    every: DataFrame, least_docs: int = 8, least_spread: float = 0.5, least_match: float = 0.7, least_tokens: int = 3
+    every: DataFrame, texts: DataFrame, least_docs: int = 8, least_spread: float = 0.5, least_match: float = 0.7, least_tokens: int = 3
 ) -> DataFrame:
-    """line: hash of every line that belongs to a boilerplate template. every: as lines() gives it."""
-    known = every.where(F.length("masked") - F.length(F.replace("masked", F.lit(" "))) + 1 >= least_tokens)
+    """line: hash of every line that belongs to a boilerplate template.
+
+    every: spelled() without `masked`, written once; texts: spelled() itself, of which only lines of recurring leaves are read out.
+    """
+    known = every.where(F.col("tokens") >= least_tokens)
     # A line that a document repeats counts once for each of its surroundings there.
     counted = cut_lineage(known.groupBy("line", "leaf", "around").agg(F.count("*").alias("docs")))
 
@@ -78,8 +93,8 @@ def boilerplate(
     # Only leaves of several lines can open further fields; only their distinct lines are laid out token by token.
     several = counted.join(leaves, "leaf").groupBy("leaf", "line").agg(F.sum("docs").alias("docs"))
     several = cut_lineage(several.join(several.groupBy("leaf").agg(F.count("*").alias("kinds"), F.sum("docs").alias("all")).where("kinds > 1"), "leaf"))
-    spelled = known.select("line", "masked").join(several.select("line").distinct(), "line", "left_semi").groupBy("line").agg(F.min("masked").alias("masked"))
-    member = several.join(spelled, "line")
+    wording = texts.select("line", "masked").join(several.select("line").distinct(), "line", "left_semi").groupBy("line").agg(F.min("masked").alias("masked"))
+    member = several.join(wording, "line")
     tokens = cut_lineage(member.select("leaf", "line", "docs", "all", F.posexplode(F.split("masked", " ")).alias("at", "token")))
     constants = (
         tokens.groupBy("leaf", "at", "token").agg(F.sum("docs").alias("docs"), F.max("all").alias("all"))
@@ -104,8 +119,9 @@ def drop_lines(
 
     With `counts`, n_lines and n_dropped follow (and replace columns of these names).
     """
-    every = lines(docs, doc_id, text, depth)
-    dropped = boilerplate(every, least_docs, least_spread, least_match)
+    texts = spelled(docs, doc_id, text, depth)
+    every = cut_lineage(texts.drop("masked"))
+    dropped = boilerplate(every, texts, least_docs, least_spread, least_match)
     gone = (
         every.select("doc", "check", "place", "line").join(dropped, "line", "left_semi")
         .groupBy("doc", "check").agg(F.collect_set("place").alias("places"))
