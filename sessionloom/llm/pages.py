@@ -62,14 +62,16 @@ PRIOR = {
     **{("tag", t): (1e-9, 10.0, 0.05) for t in ("article", "main")},
     **{("tag", t): (0.1, 20.0, 60.0) for t in ("p", "blockquote", "pre", "h1", "h2", "h3")},
     **{("tag", t): (30.0, 0.1, 0.1) for t in ("html", "body")},
-    **{("tag", t): (30.0, 10.0, 30.0) for t in ("div", "section", "table", "tbody", "tr", "td", "ul", "ol", "li")},
-    **{("holder", t): (1.0, 10.0, 10.0) for t in ("p", "h1", "h2", "h3", "h4", "li", "td", "dd", "pre", "blockquote", "div")},
+    **{("tag", t): (30.0, 10.0, 30.0) for t in ("div", "section", "table", "tbody", "tr")},
+    **{("tag", t): (1.0, 30.0, 30.0) for t in ("ul", "ol", "li", "dl", "dd", "td")},
+    **{("holder", t): (1.0, 10.0, 10.0) for t in ("p", "h1", "h2", "h3", "h4", "pre", "blockquote", "div")},
+    **{("holder", t): (1.0, 30.0, 10.0) for t in ("li", "td", "dd")},
     ("class", "against"): (NEVER, NEVER, 3.0), ("class", "for"): (2.0, 3.0, 0.1),
 }
 #: How much of a state's tables is prior: boilerplate looks like anything, also like text.
 SHARE = (0.1, 0.3, 0.5)
 #: Prior of a child's state by its parent's, and how much of the counted moves it replaces.
-MOVES = ((0.3, 0.35, 0.35), (1e-9, 0.9995, 0.0005), (1e-12, 1e-12, 1.0))
+MOVES = ((0.3, 0.35, 0.35), (1e-9, 0.985, 0.015), (1e-12, 1e-12, 1.0))
 MOVED = 0.3
 SCOPES = ("element", "block")
 
