@@ -13,8 +13,8 @@ share k-mers in the same order (small edit distance), not merely the same words.
    k-mers survive. Where that proves a similarity of `similarity` or more the pair is linked; otherwise the exact Jaccard
    similarity of the k-mer sets decides. Nothing is collected; edges and classes are tables.
 
-With the defaults (64 sketches, depth 8) a pair of similarity 0.8 shares no bucket with probability about 8e-6, one of 0.85 with 2e-9
-before order is considered; texts of similarity 0.5, such as those that only share a common passage, share a given bucket with 0.4 %.
+With the defaults (64 sketches, depth 10) a pair of similarity 0.8 shares no bucket with probability about 7e-4, one of 0.85 with 8e-7
+before order is considered; of pairs with similarity 0.5, such as texts that only share a common passage, 6 % share one.
 
 Defined results: null text counts as empty. Texts of fewer than five words (empty ones too) are near duplicates of equal texts only.
 Rows with a null id are a class of their own (class_id null). Rows that repeat id and text are one document; of several texts under one id, the one of smallest digest is compared, the
@@ -189,7 +189,7 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def near_duplicates(
-    docs: DataFrame, doc_id: str = "doc_id", text: str = "text", similarity: float = 0.8, sketches: int = 64, depth: int = 8
+    docs: DataFrame, doc_id: str = "doc_id", text: str = "text", similarity: float = 0.8, sketches: int = 64, depth: int = 10
 ) -> DataFrame:
     """doc_id, content (digest of the text) and class_id (smallest doc_id of its near duplicates) of each distinct document."""
     own = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
