@@ -18,11 +18,11 @@ def id_number(ref: Column) -> Column:
     return F.regexp_extract(ref, r"_(\d+)$", 1).try_cast("int")
 
 
-def expand_range(ref: Column, prefixes: tuple[str, ...] = ACTIVITY_AND_SEGMENT, digits: str = "{4}") -> Column:
+def expand_range(ref: Column, prefixes: tuple[str, ...] = ACTIVITY_AND_SEGMENT, digits: str = "{4,}") -> Column:
     """Array of ids behind one reference; null when it is malformed or runs backwards.
 
     The prefix must be repeated on the right side.  ``digits`` is the regular-expression count of
-    the number ("+" accepts any width and pads the ids to the width of the left number).
+    the number: ids are padded to four digits, past 9999 they grow ("+" accepts any width and pads to the width of the left number).
     """
     pattern = rf"^({'|'.join(prefixes)})_(\d{digits})(?:-\1_(\d{digits}))?$"
     prefix, first, second = (F.regexp_extract(ref, pattern, i) for i in (1, 2, 3))

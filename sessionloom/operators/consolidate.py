@@ -119,9 +119,10 @@ def repair_states(so: SessionOrder, before: str = "before", after: str = "after"
 def trim_to_complete(so: SessionOrder, before: str = "before", after: str = "after") -> SessionOrder:
     """Keep the rows from the first to the last one that has both states; keep all if none has."""
     complete = _present(F.col(before)) & _present(F.col(after))
-    position = F.col(so.order[0])
+    position = F.struct(*so.order)
     at = F.when(complete, position)
-    so = so.totals(_from=("min", at), _to=("max", at)).where(F.col("_from").isNull() | position.between(F.col("_from"), F.col("_to")))
+    so = so.totals(_from=("min", at), _to=("max", at))
+    so = so.where(F.col("_from").isNull() | ((position >= F.col("_from")) & (position <= F.col("_to"))))
     return so.derive(so.rows.drop("_from", "_to"))
 
 

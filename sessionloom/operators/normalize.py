@@ -119,13 +119,13 @@ def requires_decomposition(sources: DataFrame) -> DataFrame:
 
 def dense_ids(activities: DataFrame, order: str) -> DataFrame:
     """Activity ids numbered 0, 1, 2 ... per model in order of first appearance."""
-    first = activities.where(F.col("activity_id").rlike(r"^(activity|subgoal_segment)_\d{4}$")).groupBy(*MODEL, "activity_id").agg(F.min(order).alias("_o"))
+    first = activities.where(F.col("activity_id").rlike(r"^(activity|subgoal_segment)_\d{4,}$")).groupBy(*MODEL, "activity_id").agg(F.min(order).alias("_o"))
     return order_sessions(first, MODEL, ("_o", "activity_id")).index("n").df.drop("_o")
 
 
 def compact_references(refs: DataFrame, numbers: DataFrame) -> DataFrame:
     """References as plain numbers for a prompt: 3 or 3-7; unknown ids keep their own number.  refs: ref."""
-    pattern = r"^((?:activity|subgoal_segment)_\d{4})(?:-((?:activity|subgoal_segment)_\d{4}))?$"
+    pattern = r"^((?:activity|subgoal_segment)_\d{4,})(?:-((?:activity|subgoal_segment)_\d{4,}))?$"
     left, right = F.regexp_extract("ref", pattern, 1), F.regexp_extract("ref", pattern, 2)
     rows = refs.withColumns({"_l": left, "_r": right})
     side = lambda c: numbers.select(*MODEL, F.col("activity_id").alias(c), F.col("n").alias(f"{c}n"))

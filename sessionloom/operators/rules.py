@@ -336,7 +336,7 @@ def expression_rules(exprs: DataFrame) -> DataFrame:
         ("V32", F.col("kind").isin("unknown", "mixed"), F.col("kind")),
         ("V32", (F.col("kind") == "step") & (blank(F.col("name")) | (F.coalesce(F.size("activity_refs"), F.lit(0)) <= 0)), F.lit("step")),
         ("V33", leaf & F.col("in_loop"), F.col("activity_id")),
-        ("V46", leaf & ~F.coalesce(F.col("activity_id").rlike(r"^activity_\d{4}$"), F.lit(False)), F.col("activity_id")),
+        ("V46", leaf & ~F.coalesce(F.col("activity_id").rlike(r"^activity_\d{4,}$"), F.lit(False)), F.col("activity_id")),
     ]
     return row_rules(exprs, tests)
 

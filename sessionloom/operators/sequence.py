@@ -15,7 +15,6 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from sessionloom.session import cut_lineage
 
@@ -55,6 +54,14 @@ class SessionOrder:
     def _window(self):
         return Window.partitionBy(*self.group_keys()).orderBy(*self.order)
 
+    def _beside(self, summary: DataFrame):
+        """Arguments of a left join with one row per slice; null keys meet."""
+        named = summary.select(*[F.col(c).alias(f"_of_{c}") for c in self.group_keys()], *[c for c in summary.columns if c not in self.group_keys()])
+        return named, [F.col(c).eqNullSafe(F.col(f"_of_{c}")) for c in self.group_keys()], "left"
+
+    def _of(self) -> list[str]:
+        return [f"_of_{c}" for c in self.group_keys()]
+
     def _slices(self):
         return Window.partitionBy(*self.key).orderBy(SLICE)
 
@@ -86,13 +93,13 @@ class SessionOrder:
         out = (
             self.rows.withColumns(added)
             .withColumns({"_is_first": F.row_number().over(w) == 1, "_is_last": F.lead(F.lit(1)).over(w).isNull()})
-            .join(summary, self.group_keys(), "left")
+            .join(*self._beside(summary))
         )
         out = out.withColumns(
             {name: F.when(F.col("_is_first"), F.col(f"_carry_prev.{src}")).otherwise(F.col(name)) for name, src in prev.items()}
             | {name: F.when(F.col("_is_last"), F.col(f"_carry_next.{src}")).otherwise(F.col(name)) for name, src in next.items()}
         )
-        return self.derive(cut_lineage(out.drop("_is_first", "_is_last", *carried)))
+        return self.derive(cut_lineage(out.drop("_is_first", "_is_last", *carried, *self._of())))
 
     def running(self, **columns: tuple[str, Column]) -> "SessionOrder":
         """Add inclusive running aggregates: name=('sum'|'max'|'min', expression)."""
@@ -107,7 +114,7 @@ class SessionOrder:
         )
         carried = {f"_base_{name}": _COMBINE[how](F.col(f"_total_{name}")).over(before) for name, (how, _) in columns.items()}
         summary = summary.withColumns(carried).select(*self.group_keys(), *carried)
-        out = self.rows.withColumns(added).join(summary, self.group_keys(), "left")
+        out = self.rows.withColumns(added).join(*self._beside(summary))
         merged = {}
         for name, (how, _) in columns.items():
             base, inner = F.col(f"_base_{name}"), F.col(name)
@@ -117,7 +124,7 @@ class SessionOrder:
                 merged[name] = F.greatest(base, inner)
             else:
                 merged[name] = F.least(base, inner)
-        return self.derive(cut_lineage(out.withColumns(merged).drop(*carried)))
+        return self.derive(cut_lineage(out.withColumns(merged).drop(*carried, *self._of())))
 
     def totals(self, **columns: tuple[str, Column]) -> "SessionOrder":
         """Add whole-session aggregates to every row: name=('sum'|'max'|'min', expression).
@@ -130,7 +137,7 @@ class SessionOrder:
             return self.derive(self.rows.withColumns({n: _COMBINE[how](expr).over(whole) for n, (how, expr) in columns.items()}))
         parts = self.rows.groupBy(*self.group_keys()).agg(*[_COMBINE[how](expr).alias(n) for n, (how, expr) in columns.items()])
         summary = parts.withColumns({n: _COMBINE[how](n).over(whole) for n, (how, _) in columns.items()})
-        return self.derive(cut_lineage(self.rows.join(summary, self.group_keys(), "left")))
+        return self.derive(cut_lineage(self.rows.join(*self._beside(summary)).drop(*self._of())))
 
     def index(self, name: str, start: int = 0) -> "SessionOrder":
         """Dense position of each row in its session."""
@@ -152,40 +159,37 @@ def order_sessions(
 ) -> SessionOrder:
     """Choose plain or sliced windows from the measured size of the largest session.
 
-    The first order column must be numeric; slices are equal stretches of its range.  The table of
-    large sessions has at most ``rows / limit`` entries, so sending it to every task is bounded.
+    The first order column must be numeric.  A large session is cut at quantiles of that column, so a
+    burst or an outlier does not fill one slice; rows without a value are the first slice, as they
+    come first in the windows.  Both ways give the same rows.
     """
     key = (key,) if isinstance(key, str) else tuple(key)
     order = (order,) if isinstance(order, str) else tuple(order)
     limit = limit or rows_per_slice(df)
-    lead = F.col(order[0]).cast("double")
-    large = (
-        df.groupBy(*key)
-        .agg(F.count(F.lit(1)).alias("_n"), F.min(lead).alias("_lo"), F.max(lead).alias("_hi"))
-        .where(F.col("_n") > limit)
-        .collect()
-    )
-    if not large:
+    large = df.groupBy(*key).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > limit)
+    most = large.agg(F.max("_n")).first()[0]
+    if most is None:
         return SessionOrder(df, key, order)
-    fields = [df.schema[c] for c in key] + [
-        T.StructField("_n", T.LongType()),
-        T.StructField("_lo", T.DoubleType()),
-        T.StructField("_hi", T.DoubleType()),
-    ]
-    large_df = df.sparkSession.createDataFrame([tuple(r) for r in large], T.StructType(fields))
-    slices = F.ceil(F.col("_n") / F.lit(float(limit)))
-    width = (F.col("_hi") - F.col("_lo")) / slices
-    slice_no = F.when((F.col("_n").isNull()) | (width <= 0), F.lit(0)).otherwise(
-        F.floor((lead - F.col("_lo")) / width)
-    )
-    rows = (
-        df.join(F.broadcast(large_df), list(key), "left")
-        .withColumn(SLICE, slice_no.cast("bigint"))
-        .drop("_n", "_lo", "_hi")
-    )
+    slices = -(-most // limit)
+    lead = F.col(order[0]).cast("double")
+    places = F.percentile_approx(lead, [i / slices for i in range(1, slices)], F.lit(max(10_000, 20 * slices))) if slices > 1 else F.array()
+    cuts = df.join(large, _same(df, large, key), "left_semi").groupBy(*key).agg(places.alias("_cuts"))
+    cuts = cut_lineage(cuts.select(*[F.col(c).alias(f"_k_{c}") for c in key], "_cuts"))
+    on = [F.col(c).eqNullSafe(F.col(f"_k_{c}")) for c in key]
+    # Rows without a place come first, as in the windows; equal places share a slice.
+    slice_no = F.coalesce(F.size(F.filter("_cuts", lambda c: c < lead)), F.lit(0)) + F.when(lead.isNull(), F.lit(-1)).otherwise(F.lit(0))
+    slice_no = F.when(F.col("_cuts").isNull(), F.lit(0)).otherwise(slice_no)
+    rows = df.join(cuts, on, "left").withColumn(SLICE, slice_no.cast("bigint")).drop("_cuts", *[f"_k_{c}" for c in key])
     return SessionOrder(rows, key, order, sliced=True)
 
 
+def _same(left: DataFrame, right: DataFrame, key: Sequence[str]) -> Column:
+    condition = F.lit(True)
+    for c in key:
+        condition = condition & left[c].eqNullSafe(right[c])
+    return condition
+
+
 def islands(order: SessionOrder, start: Column, name: str) -> SessionOrder:
     """Number the maximal runs of rows; ``start`` is true on the first row of each run (1-based)."""
     return order.running(**{name: ("sum", start.cast("bigint"))})

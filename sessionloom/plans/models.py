@@ -37,8 +37,8 @@ tree_nodes AS (
 source_acts AS (SELECT concat('C', rk + 1) AS root_id, act, printf('activity_%04d', act) AS activity_id FROM cust WHERE ck % 71 <> 2),
 cover AS (
   SELECT root_id, path, parent_path, node_id, depth, printf('activity_%04d', a) AS activity_id, a FROM (
-    SELECT *, unnest(range(CAST(substr(ref, 10, 4) AS BIGINT), 1 + CAST(CASE WHEN length(ref) > 13 THEN substr(ref, 24, 4) ELSE substr(ref, 10, 4) END AS BIGINT))) AS a
-    FROM tree_nodes WHERE regexp_matches(ref, '^activity_[0-9]{4}(-activity_[0-9]{4})?$'))
+    SELECT *, unnest(range(CAST(regexp_extract(ref, '^activity_([0-9]+)', 1) AS BIGINT), 1 + CAST(regexp_extract(ref, 'activity_([0-9]+)$', 1) AS BIGINT))) AS a
+    FROM tree_nodes WHERE regexp_matches(ref, '^activity_[0-9]{4,}(-activity_[0-9]{4,})?$'))
 )
 """
 MODEL = ["session_id", "root_id"]
@@ -265,7 +265,7 @@ def rule_child_ids(spark: SparkSession, folder: str) -> DataFrame:
 @query(
     "rule_references",
     with_ctes(TREE_SQL)
-    + """SELECT root_id, path, 'V14' AS rule_id, 'error' AS severity, ref AS detail FROM tree_nodes WHERE NOT regexp_matches(ref, '^activity_[0-9]{4}(-activity_[0-9]{4})?$')
+    + """SELECT root_id, path, 'V14' AS rule_id, 'error' AS severity, ref AS detail FROM tree_nodes WHERE NOT regexp_matches(ref, '^activity_[0-9]{4,}(-activity_[0-9]{4,})?$')
 UNION ALL SELECT root_id, path, 'V14', 'error', activity_id FROM cover c WHERE NOT EXISTS (SELECT 1 FROM source_acts s WHERE s.root_id = c.root_id AND s.activity_id = c.activity_id)""",
 )
 def rule_references(spark: SparkSession, folder: str) -> DataFrame:

@@ -74,12 +74,12 @@ def window_stitch(spark: SparkSession, folder: str) -> DataFrame:
 
 @query(
     "merge_batch_counts",
-    """WITH t AS (SELECT CAST(user_id AS VARCHAR) AS session_id, count(*) % 60 AS n FROM events GROUP BY user_id),
+    """WITH t AS (SELECT CAST(user_id AS VARCHAR) AS session_id, count(*) AS n FROM events GROUP BY user_id),
 b AS (SELECT *, CASE WHEN n <= 1 THEN 0 WHEN n <= 16 THEN 1 ELSE CAST(ceil((n - 16) / 14.0) AS BIGINT) + 1 END AS c FROM t)
 SELECT session_id, n, CAST(c AS BIGINT) AS semantic_batches, CAST(CASE WHEN c > 0 AND n - (c - 1) * 14 <= 1 THEN c - 1 ELSE c END AS BIGINT) AS activity_batches FROM b""",
 )
 def merge_batch_counts(spark: SparkSession, folder: str) -> DataFrame:
-    rows = standins.totals(standins.event_rows(spark, folder)).withColumn("n", F.col("n") % 60)
+    rows = standins.totals(standins.event_rows(spark, folder))
     return rows.select(
         SESSION, "n",
         windows.expected_merge_batches(F.col("n"), 16, 2, skip_single=False).alias("semantic_batches"),

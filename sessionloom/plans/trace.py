@@ -107,9 +107,10 @@ def trace_state_repair(spark: SparkSession, folder: str) -> DataFrame:
     "trace_trim",
     with_ctes(ACTIONS_SQL, STATES_SQL)
     + """SELECT session_id, line_no FROM (
-  SELECT session_id, line_no, ts, min(ts) FILTER (line_no % 5 = 0 AND before IS NOT NULL AND after IS NOT NULL) OVER (PARTITION BY session_id) AS lo,
-    max(ts) FILTER (line_no % 5 = 0 AND before IS NOT NULL AND after IS NOT NULL) OVER (PARTITION BY session_id) AS hi FROM states)
-WHERE lo IS NULL OR ts BETWEEN lo AND hi""",
+  SELECT session_id, line_no, i, min(i) FILTER (complete) OVER (PARTITION BY session_id) AS lo, max(i) FILTER (complete) OVER (PARTITION BY session_id) AS hi
+  FROM (SELECT session_id, line_no, line_no % 5 = 0 AND before IS NOT NULL AND after IS NOT NULL AS complete,
+          row_number() OVER (PARTITION BY session_id ORDER BY ts, line_no) AS i FROM states))
+WHERE lo IS NULL OR i BETWEEN lo AND hi""",
 )
 def trace_trim(spark: SparkSession, folder: str) -> DataFrame:
     rows = standins.states(spark, folder).withColumn("before", F.when(F.col("line_no") % 5 == 0, F.col("before")))

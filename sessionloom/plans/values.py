@@ -218,7 +218,7 @@ SELECT doc_id, CASE WHEN length(line) <= 180 THEN line ELSE concat(substr(line,
   CASE WHEN length(t) <= 160 THEN t ELSE concat(rtrim(substr(t, 1, 157)), '...') END AS clipped,
   md5(lower(t)) AS normalized_md5,
   CASE WHEN length(s) <= 320 THEN s ELSE concat(substr(s, 1, 317), '...') END AS two_sentences,
-  coalesce(nullif(substr(trim(regexp_replace(lower(substr(t, 1, 300)), '[^A-Za-z0-9]+', '_', 'g'), '_'), 1, 80), ''), 'session') AS slug
+  coalesce(nullif(substr(trim(regexp_replace(lower(t), '[^A-Za-z0-9]+', '_', 'g'), '_'), 1, 80), ''), 'session') AS slug
 FROM (SELECT *, regexp_extract(t, '^(?:.*?[.!?] .*?[.!?]) |^(.*)$') AS r,
         CASE WHEN regexp_matches(t, '^.*?[.!?] .*?[.!?] ') THEN rtrim(regexp_extract(t, '^.*?[.!?] .*?[.!?] ')) ELSE t END AS s FROM c)""",
 )
@@ -230,7 +230,7 @@ def text_limits(spark: SparkSession, folder: str) -> DataFrame:
         text.clip(t, 160).alias("clipped"),
         F.md5(text.normalize(t)).alias("normalized_md5"),
         text.limit_sentences(t, 2, 320).alias("two_sentences"),
-        text.slug(F.substring(text.collapse(t), 1, 300), F.lit("session")).alias("slug"),
+        text.slug(text.collapse(t), F.lit("session")).alias("slug"),
     )
 
 
