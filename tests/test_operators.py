@@ -198,3 +198,51 @@ def test_fingerprint_sees_order_and_content(spark):
         return segments.fingerprint(rows, ["idx", "v"]).first().input_fingerprint
 
     assert of("a", "b") == of("a", "b") != of("b", "a")
+
+
+def test_ids_past_four_digits(spark):
+    from sessionloom.functions import ids
+
+    row = spark.sql("select 'activity_9998-activity_10002' r, 'activity_12' s").select(ids.expand_range(F.col("r")), ids.expand_range(F.col("s"))).first()
+    assert row[0] == ["activity_9998", "activity_9999", "activity_10000", "activity_10001", "activity_10002"] and row[1] is None
+
+
+def test_slug_reads_whole_text(spark):
+    from sessionloom.functions import text
+
+    row = spark.createDataFrame([("-" * 301 + "report",)], "t string").select(text.slug(F.col("t"), F.lit("session"))).first()
+    assert row[0] == "report"
+
+
+def test_slices_are_even_and_change_nothing(spark):
+    from sessionloom.operators.sequence import SLICE, order_sessions
+
+    rows = [("a", float(1 if i else 1_000_000), i) for i in range(5)] + [("a", float(i), i) for i in range(10, 1_000)]
+    rows += [("a", None, i) for i in range(2_000, 2_010)] + [(None, float(i), i) for i in range(30)] + [("b", 1.0, 1)]
+    df = spark.createDataFrame(rows, "session_id string, ts double, line_no long")
+    made = []
+    for limit in (10_000_000, 100):
+        so = order_sessions(df, "session_id", ("ts", "line_no"), limit=limit)
+        if so.sliced:
+            largest = so.rows.groupBy("session_id", SLICE).count().agg(F.max("count")).first()[0]
+            assert largest <= 200
+        so = so.neighbours(prev={"p": "line_no"}, next={"n": "line_no"}).index("i").totals(t=("max", F.col("line_no")))
+        made.append(sorted(map(str, so.df.select("session_id", "ts", "line_no", "p", "n", "i", "t").collect())))
+    assert made[0] == made[1]
+
+
+def test_trim_goes_by_position(spark):
+    from sessionloom.operators.consolidate import trim_to_complete
+    from sessionloom.operators.sequence import order_sessions
+
+    rows = [("s", 1.0, 1, None, "x"), ("s", 1.0, 2, "b", "a"), ("s", 2.0, 3, "b", "a"), ("s", 2.0, 4, "b", None)]
+    so = order_sessions(spark.createDataFrame(rows, "session_id string, ts double, line_no long, before string, after string"), "session_id", ("ts", "line_no"))
+    assert sorted(r["line_no"] for r in trim_to_complete(so).df.collect()) == [2, 3]
+
+
+def test_evidence_is_found_at_any_depth(spark):
+    from sessionloom.operators import evidence
+
+    df = spark.sql("""select 's' session_id, 'r' root_id, 'activity_0001' activity_id, array('a1') raw_action_ids, 'sem_9' semantic_action_id,
+      array(named_struct('action_id', 'a2', 'inner', named_struct('action_ids', array('a3', ' ', null), 'other', 'a9'))) source_actions""")
+    assert {r["evidence_id"] for r in evidence.evidence_owners(df).collect()} == {"activity_0001", "a1", "sem_9", "a2", "a3"}
