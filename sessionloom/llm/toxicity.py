@@ -137,7 +137,8 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = 3_000, least_rati
         shift -= 0.1 * error.sum() / np.sqrt(memory_shift)
     weights[columns] = beta * scale_used
     # The sample holds both labels alike; the documents don't.
-    known = labels.where("toxic in (0, 1)").agg(F.avg(F.col("toxic").cast("double")).alias("p")).first()["p"]
+    learned = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out("doc_id"))
+    known = learned.agg(F.avg(F.col("toxic").cast("double")).alias("p")).first()["p"]
     return Model(weights.astype(np.float32), shift + float(np.log(known / (1 - known))) if 0 < known < 1 else shift)
 
 
