@@ -2,7 +2,8 @@
 
 A provider is a plain function ``request dict -> (text, usage dict)``.  Requests are spread over a fixed
 number of partitions, which bounds the calls in flight.  Every round's responses are written to a table
-before they are used, so a lost executor or a retried stage never asks the model twice for a used answer.
+before they are used, so a lost executor or a retried stage never asks the model twice for a used answer. A task lost before its
+round is written does ask again; calls of one partition run one after the other.
 """
 
 from __future__ import annotations
@@ -22,7 +23,16 @@ Provider = Callable[[dict], tuple[str, dict]]
 RESPONSES = (
     "request_id string, attempt int, response string, error string, input_tokens bigint, output_tokens bigint, total_tokens bigint, cache_read_tokens bigint"
 )
-TRANSIENT = ("ConnectError", "ReadTimeout", "502", "503", "429")
+# Errors that are worth another try, by the exception's own or inherited type name, and by status of the response.
+TRANSIENT_TYPES = ("ConnectError", "ConnectTimeout", "ReadTimeout", "PoolTimeout")
+TRANSIENT_STATUS = (502, 503, 429)
+
+
+def is_transient(error: Exception) -> bool:
+    """By type and status code, never by the message; any client library may have raised it."""
+    if any(kind.__name__ in TRANSIENT_TYPES for kind in type(error).__mro__):
+        return True
+    return getattr(getattr(error, "response", None), "status_code", None) in TRANSIENT_STATUS
 
 
 def _ask(provider: Provider, request: dict, retries: int, first_delay: float) -> tuple:
@@ -34,7 +44,7 @@ def _ask(provider: Provider, request: dict, retries: int, first_delay: float) ->
             return (response, None, *counts)
         except Exception as error:  # the failure is data: it becomes an error row
             text = f"{type(error).__name__}: {error}"
-            if turn + 1 >= retries or not any(mark in text for mark in TRANSIENT):
+            if turn + 1 >= retries or not is_transient(error):
                 return (None, text, 0, 0, 0, 0)
             time.sleep(first_delay * 2**turn)
     raise AssertionError("unreachable")
@@ -84,6 +94,9 @@ def rounds(
         judged = answers.join(verdict, "request_id", "left").withColumn(
             "valid", F.coalesce(F.col("valid"), F.lit(False)) & F.col("error").isNull()
         )
+        # Judged once: the next round and the result both read the written rows.
+        judged.write.mode("overwrite").parquet(f"{folder}/judged-{attempt}")
+        judged = spark.read.schema(judged.schema).parquet(f"{folder}/judged-{attempt}")
         last = attempt == max_attempts
         settled.append((judged if last else judged.where("valid")).drop("_feedback"))
         if not last:

@@ -34,13 +34,13 @@ def line_order() -> Column:
 def json_objects(lines: DataFrame, strict: bool = True) -> tuple[DataFrame, DataFrame]:
     """Lines that are JSON objects, and the others.  Blank lines are skipped.
 
-    Strict: reading a bad line fails and names its file.  Otherwise the second table lists bad lines.
+    Strict: reading a bad line fails and names its file and place (byte where the split starts, row within it).  Otherwise the second table lists bad lines.
     """
     kept = lines.where(F.length(F.trim("value")) > 0)
     is_object = F.coalesce(F.schema_of_variant(F.try_parse_json("value")).startswith("OBJECT"), F.lit(False))
     if not strict:
         return kept.where(is_object), kept.where(~is_object)
-    message = F.concat(F.lit("not a JSON object in "), F.col("file"), F.lit(": "), F.substring("value", 1, 200))
+    message = F.concat(F.lit("not a JSON object in "), F.col("file"), F.lit(" at "), F.concat_ws("+", F.col("split_start").cast("string"), F.col("split_row").cast("string")), F.lit(": "), F.substring("value", 1, 200))
     checked = kept.withColumn("value", F.when(is_object, F.col("value")).otherwise(F.raise_error(message)))
     return checked, kept.where(F.lit(False))
 

@@ -246,3 +246,18 @@ def test_evidence_is_found_at_any_depth(spark):
     df = spark.sql("""select 's' session_id, 'r' root_id, 'activity_0001' activity_id, array('a1') raw_action_ids, 'sem_9' semantic_action_id,
       array(named_struct('action_id', 'a2', 'inner', named_struct('action_ids', array('a3', ' ', null), 'other', 'a9'))) source_actions""")
     assert {r["evidence_id"] for r in evidence.evidence_owners(df).collect()} == {"activity_0001", "a1", "sem_9", "a2", "a3"}
+
+
+def test_transient_errors_go_by_type_and_status():
+    class ReadTimeout(Exception):
+        pass
+
+    class Slow(ReadTimeout):
+        pass
+
+    class Status(Exception):
+        def __init__(self, code):
+            self.response = type("R", (), {"status_code": code})()
+
+    assert provider.is_transient(ReadTimeout()) and provider.is_transient(Slow()) and provider.is_transient(Status(503))
+    assert not provider.is_transient(ValueError("row 4290 of 503")) and not provider.is_transient(Status(500))
