@@ -184,24 +184,36 @@ def size_rules(nodes: DataFrame, large: int = LARGE_NODE, small: int = SMALL_DEC
 
 
 def partition_rules(nodes: DataFrame) -> DataFrame:
-    """Children inside the parent (V19), siblings disjoint (V20), together the parent exactly."""
-    covered = coverage(nodes).select(*NODE, "activity_id").distinct()
-    child = covered.join(nodes.where(F.col("parent_path").isNotNull()).select(*NODE, "parent_path"), NODE)
-    as_parent = covered.withColumnRenamed("path", "parent_path").withColumn("_p", F.lit(1))
-    outside = child.join(as_parent, [*MODEL, "parent_path", "activity_id"], "left_anti")
-    union = child.groupBy(*MODEL, "parent_path", "activity_id").agg(F.count(F.lit(1)).alias("_c"))
-    overlap = union.where(F.col("_c") > 1).withColumnRenamed("parent_path", "path")
-    split = child.select(*MODEL, "parent_path").distinct()
-    both = as_parent.join(split, [*MODEL, "parent_path"], "left_semi").join(union, [*MODEL, "parent_path", "activity_id"], "full")
-    both = both.withColumnRenamed("parent_path", "path")
-    missing = both.where(F.col("_c").isNull())
-    extra = both.where(F.col("_p").isNull())
-    return union_all(
-        findings(outside, "V19", F.col("activity_id")),
-        findings(overlap, "V20", F.col("activity_id")),
-        findings(missing, "V21", F.concat(F.lit("missing "), F.col("activity_id"))),
-        findings(extra, "V21", F.concat(F.lit("extra "), F.col("activity_id"))),
+    """Children inside the parent (V19), siblings disjoint (V20), together the parent exactly.
+
+    References are expanded once: every activity of a node counts at the node itself and, as a child's, at the parent, so one
+    aggregate by (place, activity) holds all that the rules compare.
+    """
+    spread = F.flatten(F.transform("refs", lambda r: F.coalesce(ids.expand_range(r), F.array().cast("array<string>"))))
+    held = nodes.select(*NODE, "parent_path", F.array_distinct(spread).alias("items"))
+    roles = F.array(
+        F.struct(F.col("path").alias("at"), F.lit(None).cast("string").alias("child")), F.struct(F.col("parent_path").alias("at"), F.col("path").alias("child"))
+    )
+    rows = held.select(*MODEL, F.explode("items").alias("activity_id"), roles.alias("roles")).select(*MODEL, "activity_id", F.explode("roles").alias("_r"))
+    rows = rows.select(*MODEL, "_r.at", "_r.child", "activity_id").where(F.col("at").isNotNull())
+    grouped = rows.groupBy(*MODEL, "at", "activity_id").agg(F.max(F.col("child").isNull()).alias("own"), F.collect_set("child").alias("children"))
+    split = held.where(F.col("parent_path").isNotNull() & (F.size("items") > 0)).select(*MODEL, F.col("parent_path").alias("at")).distinct()
+    judged = grouped.join(split.withColumn("_split", F.lit(True)), [*MODEL, "at"], "left")
+    many, item = F.size("children"), F.col("activity_id")
+
+    def hit(bad: Column, rule: str, detail: Column) -> Column:
+        return F.when(bad, F.array(F.struct(F.col("at").alias("path"), F.lit(rule).alias("rule_id"), detail.alias("detail"))))
+
+    none = F.array().cast("array<struct<path: string, rule_id: string, detail: string>>")
+    outside = F.transform("children", lambda c: F.struct(c.alias("path"), F.lit("V19").alias("rule_id"), item.alias("detail")))
+    hits = F.concat(
+        F.when(~F.col("own"), outside).otherwise(none),
+        F.coalesce(hit(many > 1, "V20", item), none),
+        F.coalesce(hit(F.col("own") & (many == 0) & F.coalesce("_split", F.lit(False)), "V21", F.concat(F.lit("missing "), item)), none),
+        F.coalesce(hit(~F.col("own") & (many > 0), "V21", F.concat(F.lit("extra "), item)), none),
     )
+    found = judged.select(*MODEL, F.explode(hits).alias("_h"))
+    return found.select(*MODEL, "_h.path", "_h.rule_id", F.lit("error").alias("severity"), "_h.detail")
 
 
 def two_sided(left: DataFrame, right: DataFrame, keys: list[str], item: str, rule: str) -> DataFrame:
