@@ -5,10 +5,11 @@ A text's k-mers are its runs of five words, each labelled with its occurrence nu
 share k-mers in the same order (small edit distance), not merely the same words.
 
 1. Equal texts collapse first; one representative (smallest id) stands for them.
-2. In every bucket each representative is compared with the smallest one only, twice: those that fail meet the smallest that failed.
-   A bucket of n costs n comparisons, never n * n.
-3. Links make classes. Then, for every bucket that still spans several classes, the members outside its largest class are compared
-   with all members of other classes, so no link between texts of one bucket is lost; pairs inside a class need no look.
+2. Each representative is compared with the smallest one of its buckets. Links make classes. As long as that brings links, every bucket
+   that still spans several classes draws a leader, with which the members of other classes are compared; a text in the middle of a
+   group leads some of its 64 buckets, so groups close fast. A turn over a bucket of n costs n comparisons, never n * n.
+3. For buckets that then still span several classes, the members outside the largest class are compared with all members of other
+   classes, so no link between texts of one bucket is lost; pairs inside a class need no look.
 4. A pair is verified by banded alignment of words: the number of edits, found along the diagonals of a band, bounds how many
    k-mers survive. Where that proves a similarity of `similarity` or more the pair is linked; otherwise the exact Jaccard
    similarity of the k-mer sets decides. Nothing is collected; edges and classes are tables.
@@ -215,15 +216,25 @@ def near_duplicates(
         )
         return cut_lineage(texted.select("a", "b", "text_a", "text_b").mapInArrow(_verified(similarity), "a long, b long, linked boolean"))
 
-    met = shared.where("rep <> lead").select("bucket", F.col("lead").alias("a"), F.col("rep").alias("b"))
-    first = verified(met)
-    # Those that failed meet the smallest of them.
-    failed = cut_lineage(met.join(first.where("not linked"), ["a", "b"]).select("bucket", "b"))
-    second_lead = failed.groupBy("bucket").agg(F.min("b").alias("a"), F.max("b").alias("last")).where("a < last").select("bucket", "a")
-    second = verified(failed.join(second_lead, "bucket").where("a < b"))
-    seen = first.unionByName(second)
-    edges = seen.where("linked").select("a", "b")
+    # Everyone meets the smallest leader of all its buckets.
+    seen = verified(shared.groupBy("rep").agg(F.min("lead").alias("a")).where("a < rep").select("a", F.col("rep").alias("b")))
+    edges = cut_lineage(seen.where("linked").select("a", "b"))
     roots = components(edges)
+    turn = 0
+    while True:
+        # In buckets that still hold several classes, everyone meets a leader drawn anew, unless they are of one class or have met.
+        turn += 1
+        placed = shared.select("bucket", "rep").join(roots.withColumnRenamed("node", "rep"), "rep", "left").select("bucket", "rep", F.coalesce("root", "rep").alias("root"))
+        drawn = F.min_by(F.struct("rep", "root"), F.xxhash64("bucket", "rep", F.lit(turn))).alias("lead")
+        leads = placed.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high"), drawn).where("low < high").select("bucket", "lead")
+        pairs = placed.join(leads, "bucket").where("root <> lead.root").select(F.least("rep", "lead.rep").alias("a"), F.greatest("rep", "lead.rep").alias("b")).distinct()
+        fresh = verified(pairs.join(seen.select("a", "b"), ["a", "b"], "left_anti"))
+        linked = fresh.where("linked").select("a", "b")
+        seen = cut_lineage(seen.unionByName(fresh))
+        if linked.isEmpty():
+            break
+        edges = cut_lineage(edges.unionByName(linked))
+        roots = components(edges)
     placed = shared.select("bucket", "rep").join(roots.withColumnRenamed("node", "rep"), "rep", "left").select("bucket", "rep", F.coalesce("root", "rep").alias("root"))
     sizes = placed.groupBy("bucket", "root").agg(F.count("*").alias("n"))
     major = sizes.groupBy("bucket").agg(F.max(F.struct("n", "root")).alias("top"), F.count("*").alias("classes")).where("classes > 1")
