@@ -20,6 +20,8 @@ an empty text.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -33,9 +35,15 @@ _BLANKS = r"[\x20\x09\x0B-\x0D]{2,}|[\x09\x0B-\x0D]"
 
 def parsed(text: Column) -> Column:
     """Each line's tokens joined by one space, those with a digit opened; as many entries as the text has lines."""
-    even = F.regexp_replace(text, _BLANKS, " ")
-    masked = F.when(even.rlike("[0-9]"), F.regexp_replace(even, _VARIABLE, OPEN)).otherwise(even)
-    return F.split(F.trim(masked), r"\x20?\n\x20?", -1)
+    uneven = text.contains("  ")
+    for blank in "\t\r\x0b\x0c":
+        uneven = uneven | text.contains(blank)
+    even = F.when(uneven, F.regexp_replace(text, _BLANKS, " ")).otherwise(text)
+
+    def masked(line: Column) -> Column:
+        return F.trim(F.when(line.rlike("[0-9]"), F.regexp_replace(line, _VARIABLE, OPEN)).otherwise(line))
+
+    return F.transform(F.split(even, "\n", -1), masked)
 
 
 def tokens_of(masked: Column) -> Column:
@@ -72,12 +80,16 @@ def recurring(counted: DataFrame, key: str, least_docs: int, least_spread: float
     )
 
 
+#: A list of documents of at most so many rows (16 bytes each) is sent to all tasks; a longer one is joined by a shuffle.
+SENT_ROWS = 250_000
+
+
 def boilerplate(
-    every: DataFrame, texts: DataFrame, least_docs: int = 8, least_spread: float = 0.5, least_match: float = 0.7, least_tokens: int = 3
+    every: DataFrame, wording_of: Callable[[DataFrame], DataFrame], least_docs: int = 8, least_spread: float = 0.5, least_match: float = 0.7, least_tokens: int = 3
 ) -> DataFrame:
     """line: hash of every line that belongs to a boilerplate template.
 
-    every: spelled() without `masked`, written once; texts: spelled() itself, of which only lines of recurring leaves are read out.
+    every: spelled() without `masked`, written once; wording_of(doc, check): spelled() of those documents, to read out lines of recurring leaves.
     """
     known = every.where(F.col("tokens") >= least_tokens)
     # A line that a document repeats counts once for each of its surroundings there.
@@ -93,7 +105,11 @@ def boilerplate(
     # Only leaves of several lines can open further fields; only their distinct lines are laid out token by token.
     several = counted.join(leaves, "leaf").groupBy("leaf", "line").agg(F.sum("docs").alias("docs"))
     several = cut_lineage(several.join(several.groupBy("leaf").agg(F.count("*").alias("kinds"), F.sum("docs").alias("all")).where("kinds > 1"), "leaf"))
-    wording = texts.select("line", "masked").join(several.select("line").distinct(), "line", "left_semi").groupBy("line").agg(F.min("masked").alias("masked"))
+    # One document that holds the line tells its wording.
+    lines = several.select("line").distinct()
+    holders = cut_lineage(every.join(lines, "line", "left_semi").groupBy("line").agg(F.min(F.struct("doc", "check")).alias("at")).select("at.doc", "at.check").distinct())
+    wording = wording_of(F.broadcast(holders) if holders.count() <= SENT_ROWS else holders)
+    wording = wording.select("line", "masked").join(lines, "line", "left_semi").groupBy("line").agg(F.min("masked").alias("masked"))
     member = several.join(wording, "line")
     tokens = cut_lineage(member.select("leaf", "line", "docs", "all", F.posexplode(F.split("masked", " ")).alias("at", "token")))
     constants = (
@@ -119,9 +135,14 @@ def drop_lines(
 
     With `counts`, n_lines and n_dropped follow (and replace columns of these names).
     """
-    texts = spelled(docs, doc_id, text, depth)
-    every = cut_lineage(texts.drop("masked"))
-    dropped = boilerplate(every, texts, least_docs, least_spread, least_match)
+    every = cut_lineage(spelled(docs, doc_id, text, depth).drop("masked"))
+
+    def wording_of(holders: DataFrame) -> DataFrame:
+        own = docs.select(F.col(doc_id).alias("d"), F.col(text).alias("t"))
+        met = own.join(holders, F.col("d").eqNullSafe(F.col("doc")) & (F.xxhash64(F.coalesce("t", F.lit(""))) == F.col("check")), "left_semi")
+        return spelled(met, "d", "t", depth)
+
+    dropped = boilerplate(every, wording_of, least_docs, least_spread, least_match)
     gone = (
         every.select("doc", "check", "place", "line").join(dropped, "line", "left_semi")
         .groupBy("doc", "check").agg(F.collect_set("place").alias("places"))
