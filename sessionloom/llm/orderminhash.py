@@ -8,8 +8,9 @@ share k-mers in the same order (small edit distance), not merely the same words.
 2. Each representative is compared with the smallest one of its buckets. Links make classes. As long as that brings links, every bucket
    that still spans several classes draws a leader, with which the members of other classes are compared; a text in the middle of a
    group leads some of its 64 buckets, so groups close fast. A turn over a bucket of n costs n comparisons, never n * n.
-3. For buckets that then still span several classes, the members outside the largest class are compared with all members of other
-   classes, so no link between texts of one bucket is lost; pairs inside a class need no look.
+3. For buckets that then still span several classes, members of different classes are compared by 256-byte min-hash signatures, in
+   groups of at most two blocks of members, and what the signatures don't rule out is verified. So a link between texts of one bucket
+   is lost with a chance of one in 30,000; pairs inside a class need no look, and unlikely pairs never leave their task.
 4. A pair is verified by banded alignment of words: the number of edits, found along the diagonals of a band, bounds how many
    k-mers survive. Where that proves a similarity of `similarity` or more the pair is linked; otherwise the exact Jaccard
    similarity of the k-mer sets decides. Nothing is collected; edges and classes are tables.
@@ -35,6 +36,9 @@ from sessionloom.llm import words
 from sessionloom.session import cut_lineage
 
 SHINGLE = 5
+#: Bytes of a signature, and members of a bucket compared in one go.
+BINS = 256
+BLOCK = 1_000
 _SEEDS = words.mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xA0761D6478BD642F)) | np.uint64(1)
 
 
@@ -77,6 +81,48 @@ def order_sketch(shingles: np.ndarray, sketches: int, depth: int) -> np.ndarray:
     return out
 
 
+def signature(shingles: np.ndarray) -> bytes:
+    """One-permutation min-hash of the k-mer set: a byte for each of `BINS` ranges of hash values, 0 where the text has none."""
+    ranked = np.sort(shingles)
+    at = np.searchsorted(ranked, np.arange(BINS, dtype=np.uint64) << np.uint64(64 - BINS.bit_length() + 1))
+    some = at < np.append(at[1:], len(ranked))
+    out = np.zeros(BINS, np.uint8)
+    out[some] = words.mix(ranked[at[some]]) % np.uint64(255) + np.uint64(1)
+    return out.tobytes()
+
+
+def likely(signatures: np.ndarray, one: int, others: np.ndarray, similarity: float) -> np.ndarray:
+    """Which of the others are not ruled out: four standard errors below the similarity, so one pair in 30,000 at the bound is."""
+    a, b = signatures[one], signatures[others]
+    bins = ((a | b) != 0).sum(axis=1)
+    same = ((a == b) & (a != 0)).sum(axis=1)
+    return same >= similarity * bins - 4 * np.sqrt(similarity * (1 - similarity) * bins)
+
+
+def _likely_pairs(similarity: float):
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            left, right = [], []
+            for one_block, members in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                held = members.values
+                rep, root, block = (held.field(i).to_numpy(zero_copy_only=False) for i in range(3))
+                marks = np.frombuffer(b"".join(held.field(3).to_pylist()), np.uint8).reshape(-1, BINS)
+                for i in range(len(rep) - 1):
+                    others = np.arange(i + 1, len(rep))
+                    wanted = root[i + 1 :] != root[i]
+                    if not one_block:
+                        wanted &= block[i + 1 :] != block[i]
+                    others = others[wanted]
+                    if len(others):
+                        others = others[likely(marks, i, others, similarity)]
+                        left.append(np.minimum(rep[i], rep[others]))
+                        right.append(np.maximum(rep[i], rep[others]))
+            none = np.zeros(0, np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([none, *left])), pa.array(np.concatenate([none, *right]))], names=["a", "b"])
+
+    return rows
+
+
 def _sketch_rows(sketches: int, depth: int):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -91,7 +137,11 @@ def _sketch_rows(sketches: int, depth: int):
                 length[own] = sketches
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(length)]), pa.int32()), pa.array(flat))
                 size = np.maximum(np.diff(first) - SHINGLE + 1, 0)
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), lists, pa.array(size)], names=["doc_id", "content", "keys", "size"])
+                marks: list[bytes | None] = [None] * len(part)
+                for i in own:
+                    marks[i] = signature(words.grams(hashes[first[i] : first[i + 1]], SHINGLE))
+                columns = [part.column(0), part.column(1), lists, pa.array(size), pa.array(marks, pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "content", "keys", "size", "mark"])
 
     return rows
 
@@ -196,8 +246,9 @@ def near_duplicates(
     own = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     own = own.select("doc_id", F.unhex(F.md5(F.col("text").cast("binary"))).alias("content"), "text")
     named = own.where("doc_id is not null")
-    rows = cut_lineage(named.mapInArrow(_sketch_rows(sketches, depth), "doc_id long, content binary, keys array<long>, size long"))
-    texts = cut_lineage(rows.groupBy("content").agg(F.min("doc_id").alias("rep"), F.min_by("keys", "doc_id").alias("keys"), F.min("size").alias("size")))
+    rows = named.mapInArrow(_sketch_rows(sketches, depth), "doc_id long, content binary, keys array<long>, size long, mark binary")
+    firsts = [F.min("doc_id").alias("rep"), F.min_by(F.struct("keys", "mark"), "doc_id").alias("own"), F.min("size").alias("size")]
+    texts = cut_lineage(rows.groupBy("content").agg(*firsts).select("content", "rep", "own.keys", "own.mark", "size"))
     nodes = texts.where("size > 0").join(texts.groupBy("rep").agg(F.min("content").alias("content")), ["rep", "content"])
     buckets = nodes.select("rep", F.posexplode("keys").alias("band", "key")).select(F.xxhash64("band", "key").alias("bucket"), "rep")
     leaders = buckets.groupBy("bucket").agg(F.min("rep").alias("lead"), F.max("rep").alias("last")).where("lead < last").select("bucket", "lead")
@@ -236,16 +287,18 @@ def near_duplicates(
         edges = cut_lineage(edges.unionByName(linked))
         roots = components(edges)
     placed = shared.select("bucket", "rep").join(roots.withColumnRenamed("node", "rep"), "rep", "left").select("bucket", "rep", F.coalesce("root", "rep").alias("root"))
-    sizes = placed.groupBy("bucket", "root").agg(F.count("*").alias("n"))
-    major = sizes.groupBy("bucket").agg(F.max(F.struct("n", "root")).alias("top"), F.count("*").alias("classes")).where("classes > 1")
-    split = cut_lineage(placed.join(major.select("bucket", F.col("top.root").alias("main")), "bucket"))
-    minor = split.where("root <> main").select("bucket", F.col("rep").alias("c"), F.col("root").alias("r"), "main")
-    wide = split.select("bucket", F.col("rep").alias("d"), F.col("root").alias("s"))
-    cross = minor.join(wide, "bucket").where("(s = main) or (r < s)").select(F.least("c", "d").alias("a"), F.greatest("c", "d").alias("b"))
+    open_buckets = placed.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("n")).where("low < high")
+    parts = F.ceil(F.col("n") / BLOCK).cast("int")
+    split = placed.join(open_buckets.select("bucket", parts.alias("parts")), "bucket").join(nodes.select("rep", "mark"), "rep")
+    split = split.withColumn("block", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int"))
+    split = split.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    split = split.withColumns({"low": F.least("block", "other"), "high": F.greatest("block", "other")})
+    groups = split.groupBy("bucket", "low", "high").agg(F.collect_list(F.struct("rep", "root", "block", "mark")).alias("members"))
+    cross = groups.select((F.col("low") == F.col("high")).alias("one"), "members").mapInArrow(_likely_pairs(similarity), "a long, b long")
     third = verified(cross.distinct().join(seen.select("a", "b"), ["a", "b"], "left_anti"))
     roots = components(edges.unionByName(third.where("linked").select("a", "b")))
     classes = texts.select("content", "rep").join(roots.withColumnRenamed("node", "rep"), "rep", "left").select("content", F.coalesce("root", "rep").alias("class_id"))
-    result = rows.select("doc_id", "content").distinct().join(classes, "content")
+    result = named.select("doc_id", "content").distinct().join(classes, "content")
     unnamed = own.where("doc_id is null").select("doc_id", "content", F.lit(None).cast("long").alias("class_id"))
     return result.select("doc_id", "content", "class_id").unionByName(unnamed)
 
