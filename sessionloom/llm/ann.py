@@ -100,7 +100,9 @@ def search(
     distinct = cut_lineage(own.join(few.where("n = 1").select("key", "id"), ["key", "id"]).select(F.col("id").alias("rep"), "key", "vector"))
     asked = own.where(queries).select("key", F.col("id").alias("query_id"))
     asking = distinct.join(asked.select("key").distinct(), "key", "left_semi")
-    drawn = distinct.orderBy(F.xxhash64("key"), "rep").limit(sample).toPandas()
+    # Only ids are ordered; at most `sample` of them are sent back to the vectors.
+    chosen = F.broadcast(distinct.select("rep", F.xxhash64("key").alias("order")).orderBy("order", "rep").limit(sample).select("rep"))
+    drawn = distinct.join(chosen, "rep").toPandas()
     if not len(drawn):
         return spark.createDataFrame([], schema)
     points = np.array(drawn["vector"].tolist(), float)

@@ -324,8 +324,10 @@ def main_text(html: str | None, model: Model) -> str:
 
 def train(pages: DataFrame, sample: int = 2_000, html: str = "html") -> Model:
     """Tables from at most `sample` pages."""
-    drawn = pages.select(F.coalesce(F.col(html), F.lit("")).alias("html")).withColumn("order", F.xxhash64("html"))
-    drawn = cut_lineage(drawn.orderBy("order").limit(sample).repartition(16))
+    own = pages.select(F.coalesce(F.col(html), F.lit("")).alias("html")).withColumn("order", F.xxhash64("html"))
+    # Only hashes are ordered; at most `sample` of them are sent back to the pages.
+    chosen = F.broadcast(own.select("order").distinct().orderBy("order").limit(sample))
+    drawn = cut_lineage(own.join(chosen, "order").dropDuplicates(["order"]).repartition(16))
     rows = drawn.select("html").mapInPandas(_counts, "feature string, value string, label int, n long")
     counted = rows.groupBy("feature", "value", "label").agg(F.sum("n").alias("n")).collect()  # a fixed vocabulary
     return Model({(r["feature"], r["value"], r["label"]): r["n"] for r in counted})
