@@ -2,21 +2,22 @@
 
 A text's k-mers are its runs of five words, each labelled with its occurrence number. For each of `sketches` hash functions the
 `depth` smallest labelled k-mers are taken and kept *in text order*; their combined hash is a bucket key, so texts meet when they
-share k-mers in the same order (small edit distance), not merely the same words.
+share k-mers in the same order (small edit distance), not merely the same words. Texts of fewer than `SHORT` distinct k-mers meet their
+partners for certain instead: their keys are the first k-mers in one order for all texts, rare ones first, so many that two texts of
+`similarity` or more share one of them (texts that could be partners of a short one have these keys too).
 
 1. Equal texts collapse first; one representative (smallest id) stands for them.
 2. Each representative is compared with the smallest one of its buckets. Links make classes. As long as that brings links, every bucket
    that still spans several classes draws a leader, with which the members of other classes are compared; a text in the middle of a
    group leads some of its 64 buckets, so groups close fast. A turn over a bucket of n costs n comparisons, never n * n.
 3. For buckets that then still span several classes, members of different classes are compared by 256-byte min-hash signatures, in
-   groups of at most two blocks of members, and what the signatures don't rule out is verified. So a link between texts of one bucket
-   is lost with a chance of one in 30,000; pairs inside a class need no look, and unlikely pairs never leave their task.
-4. A pair is verified by banded alignment of words: the number of edits, found along the diagonals of a band, bounds how many
+   groups of at most two blocks of members. Pairs inside a class need no look, and unlikely pairs never leave their task.
+4. A pair that its signatures don't rule out (they do with a chance of one in 30,000 at the bound) is verified by banded alignment of words: the number of edits, found along the diagonals of a band, bounds how many
    k-mers survive. Where that proves a similarity of `similarity` or more the pair is linked; otherwise the exact Jaccard
    similarity of the k-mer sets decides. Nothing is collected; edges and classes are tables.
 
-With the defaults (64 sketches, depth 10) a pair of similarity 0.8 shares no bucket with probability about 7e-4, one of 0.85 with 8e-7
-before order is considered; of pairs with similarity 0.5, such as texts that only share a common passage, 6 % share one.
+With the defaults (64 sketches, depth 5) a pair of longer texts of similarity 0.8 shares no bucket with probability 1e-11 before order
+is considered.
 
 Defined results: null text counts as empty. Texts of fewer than five words (empty ones too) are near duplicates of equal texts only.
 Rows with a null id are a class of their own (class_id null). Rows that repeat id and text are one document; of several texts under one id, the one of smallest digest is compared, the
@@ -39,6 +40,11 @@ SHINGLE = 5
 #: Bytes of a signature, and members of a bucket compared in one go.
 BINS = 256
 BLOCK = 1_000
+#: Texts of fewer distinct k-mers find their partners by an exact prefix filter.
+SHORT = 100
+#: The filter's order puts k-mers last that recur in one of so many texts; at most so many are known by their count, the rest count as rare.
+SAMPLED = 8
+KNOWN = 100_000
 _SEEDS = words.mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xA0761D6478BD642F)) | np.uint64(1)
 
 
@@ -74,13 +80,32 @@ def order_sketch(shingles: np.ndarray, sketches: int, depth: int) -> np.ndarray:
         ranked = np.lexsort((place, values[row, place], row))
         first = np.concatenate([[0], np.cumsum(have)[:-1]])
         picked = np.sort(place[ranked][first[:, None] + np.arange(take)], axis=1)
-        key = np.full(len(values), np.uint64(n if n < depth else 0), np.uint64)
+        key = np.zeros(len(values), np.uint64)
         for j in range(take):
             key = words.mix(key * np.uint64(0x9E3779B97F4A7C15) + marked[picked[:, j]])
         out[a : a + step] = words.mix(key + seeds[a : a + step])
     return out
 
 
+def may_be_short(distinct: int, similarity: float) -> bool:
+    """Whether a text of so many k-mers can be alike to one of fewer than `SHORT`."""
+    return distinct * similarity < SHORT
+
+
+def prefix_keys(distinct: np.ndarray, similarity: float, common: np.ndarray, rank: np.ndarray) -> np.ndarray:
+    """The k-mers of which two sets of `similarity` or more share one, whatever the order: all but `similarity` of them, and one more.
+
+    distinct and common are sorted; rank tells the place of the common ones, which come after all others.
+    """
+    n = len(distinct)
+    take = min(n, n - int(np.ceil(similarity * n - 1e-9)) + 1)
+    late = np.zeros(n, np.int64)
+    if len(common):
+        at = np.minimum(np.searchsorted(common, distinct), len(common) - 1)
+        late = np.where(common[at] == distinct, rank[at] + 1, 0)
+    return words.mix(distinct[np.lexsort((distinct, late))[:take]] ^ np.uint64(0x8EBC6AF09C88C6E3))
+
+
 def signature(shingles: np.ndarray) -> bytes:
     """One-permutation min-hash of the k-mer set: a byte for each of `BINS` ranges of hash values, 0 where the text has none."""
     ranked = np.sort(shingles)
@@ -92,8 +117,11 @@ def signature(shingles: np.ndarray) -> bytes:
 
 
 def likely(signatures: np.ndarray, one: int, others: np.ndarray, similarity: float) -> np.ndarray:
-    """Which of the others are not ruled out: four standard errors below the similarity, so one pair in 30,000 at the bound is."""
-    a, b = signatures[one], signatures[others]
+    return alike(signatures[one], signatures[others], similarity)
+
+
+def alike(a: np.ndarray, b: np.ndarray, similarity: float) -> np.ndarray:
+    """Which pairs are not ruled out: four standard errors below the similarity, so one pair in 30,000 at the bound is."""
     bins = ((a | b) != 0).sum(axis=1)
     same = ((a == b) & (a != 0)).sum(axis=1)
     return same >= similarity * bins - 4 * np.sqrt(similarity * (1 - similarity) * bins)
@@ -123,7 +151,52 @@ def _likely_pairs(similarity: float):
     return rows
 
 
-def _sketch_rows(sketches: int, depth: int):
+def bucket_keys(shingles: np.ndarray, sketches: int, depth: int, similarity: float, common: np.ndarray, rank: np.ndarray) -> np.ndarray:
+    """Keys of one text. All partners of a short text are found by its prefix keys, so it needs no others."""
+    distinct = np.unique(shingles)
+    keys = []
+    if len(distinct) >= SHORT:
+        keys.append(order_sketch(shingles, sketches, depth))
+    if may_be_short(len(distinct), similarity):
+        keys.append(prefix_keys(distinct, similarity, common, rank))
+    return np.concatenate(keys)
+
+
+def _ruled(similarity: float):
+    """a, b and whether their signatures leave the pair open."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            a, b = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint8).reshape(-1, BINS) for i in (2, 3))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(alike(a, b, similarity))], names=["a", "b", "open"])
+
+    return rows
+
+
+def _short_grams(similarity: float):
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in words.slices(batch, "text"):
+                data, offsets = words.text_buffer(part.column(0))
+                starts, ends, first = words.word_bounds(data, offsets)
+                hashes = words.word_hashes(data, starts, ends)
+                sets = [np.unique(words.grams(hashes[a:b], SHINGLE)) for a, b in zip(first[:-1], first[1:], strict=True)]
+                flat = np.concatenate([np.zeros(0, np.uint64), *(x for x in sets if may_be_short(len(x), similarity))])
+                yield pa.RecordBatch.from_arrays([pa.array(flat.view(np.int64))], names=["gram"])
+
+    return rows
+
+
+def recurring_grams(texts: DataFrame, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """k-mers that recur in a sample of the short texts, sorted, and their places from the rarest on. They set an order only; no result depends on them."""
+    grams = texts.where(F.pmod(F.xxhash64("text"), F.lit(SAMPLED)) == 0).mapInArrow(_short_grams(similarity), "gram long")
+    counted = grams.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1").orderBy(F.desc("n"), "gram").limit(KNOWN).collect()
+    common = np.array([r["gram"] for r in counted], np.int64).view(np.uint64)
+    order = np.argsort(common)
+    return common[order], (len(common) - 1 - np.arange(len(common)))[order]
+
+
+def _sketch_rows(sketches: int, depth: int, similarity: float, recurring):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in words.slices(batch, "text"):
@@ -131,15 +204,17 @@ def _sketch_rows(sketches: int, depth: int):
                 starts, ends, first = words.word_bounds(data, offsets)
                 hashes = words.word_hashes(data, starts, ends)
                 own = np.flatnonzero(np.diff(first) >= SHINGLE)
-                keys = [order_sketch(words.grams(hashes[first[i] : first[i + 1]], SHINGLE), sketches, depth) for i in own]
-                flat = np.concatenate(keys).view(np.int64) if keys else np.zeros(0, np.int64)
-                length = np.zeros(len(part), np.int64)
-                length[own] = sketches
-                lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(length)]), pa.int32()), pa.array(flat))
-                size = np.maximum(np.diff(first) - SHINGLE + 1, 0)
+                flat, length = [np.zeros(0, np.uint64)], np.zeros(len(part), np.int64)
                 marks: list[bytes | None] = [None] * len(part)
                 for i in own:
-                    marks[i] = signature(words.grams(hashes[first[i] : first[i + 1]], SHINGLE))
+                    shingles = words.grams(hashes[first[i] : first[i + 1]], SHINGLE)
+                    keys = bucket_keys(shingles, sketches, depth, similarity, *recurring.value)
+                    flat.append(keys)
+                    length[i] = len(keys)
+                    marks[i] = signature(shingles)
+                flat = np.concatenate(flat).view(np.int64)
+                lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(length)]), pa.int32()), pa.array(flat))
+                size = np.maximum(np.diff(first) - SHINGLE + 1, 0)
                 columns = [part.column(0), part.column(1), lists, pa.array(size), pa.array(marks, pa.binary())]
                 yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "content", "keys", "size", "mark"])
 
@@ -240,17 +315,18 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def near_duplicates(
-    docs: DataFrame, doc_id: str = "doc_id", text: str = "text", similarity: float = 0.8, sketches: int = 64, depth: int = 10
+    docs: DataFrame, doc_id: str = "doc_id", text: str = "text", similarity: float = 0.8, sketches: int = 64, depth: int = 5
 ) -> DataFrame:
     """doc_id, content (digest of the text) and class_id (smallest doc_id of its near duplicates) of each distinct document."""
     own = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     own = own.select("doc_id", F.unhex(F.md5(F.col("text").cast("binary"))).alias("content"), "text")
     named = own.where("doc_id is not null")
-    rows = named.mapInArrow(_sketch_rows(sketches, depth), "doc_id long, content binary, keys array<long>, size long, mark binary")
+    recurring = docs.sparkSession.sparkContext.broadcast(recurring_grams(named.select("text"), similarity))
+    rows = named.mapInArrow(_sketch_rows(sketches, depth, similarity, recurring), "doc_id long, content binary, keys array<long>, size long, mark binary")
     firsts = [F.min("doc_id").alias("rep"), F.min_by(F.struct("keys", "mark"), "doc_id").alias("own"), F.min("size").alias("size")]
     texts = cut_lineage(rows.groupBy("content").agg(*firsts).select("content", "rep", "own.keys", "own.mark", "size"))
     nodes = texts.where("size > 0").join(texts.groupBy("rep").agg(F.min("content").alias("content")), ["rep", "content"])
-    buckets = nodes.select("rep", F.posexplode("keys").alias("band", "key")).select(F.xxhash64("band", "key").alias("bucket"), "rep")
+    buckets = nodes.select(F.explode("keys").alias("bucket"), "rep")
     leaders = buckets.groupBy("bucket").agg(F.min("rep").alias("lead"), F.max("rep").alias("last")).where("lead < last").select("bucket", "lead")
     shared = cut_lineage(buckets.join(leaders, "bucket").select("bucket", "rep", "lead"))
     wanted = nodes.select("rep", "content").join(shared.select("rep").distinct(), "rep").select(F.col("rep").alias("doc_id"), "content")
@@ -259,13 +335,20 @@ def near_duplicates(
     )
 
     def verified(pairs: DataFrame) -> DataFrame:
-        """Distinct pairs of representatives with the verdict."""
-        texted = (
+        """Distinct pairs of representatives with the verdict; texts are joined only where signatures leave it open."""
+        marked = (
             pairs.select("a", "b").distinct()
+            .join(nodes.select(F.col("rep").alias("b"), F.col("mark").alias("mark_b")), "b")
+            .join(nodes.select(F.col("rep").alias("a"), F.col("mark").alias("mark_a")), "a")
+        )
+        ruled = cut_lineage(marked.select("a", "b", "mark_a", "mark_b").mapInArrow(_ruled(similarity), "a long, b long, open boolean"))
+        texted = (
+            ruled.where("open").select("a", "b")
             .join(bodies.select(F.col("rep").alias("b"), F.col("text").alias("text_b")), "b")
             .join(bodies.select(F.col("rep").alias("a"), F.col("text").alias("text_a")), "a")
         )
-        return cut_lineage(texted.select("a", "b", "text_a", "text_b").mapInArrow(_verified(similarity), "a long, b long, linked boolean"))
+        judged = texted.select("a", "b", "text_a", "text_b").mapInArrow(_verified(similarity), "a long, b long, linked boolean")
+        return cut_lineage(judged.unionByName(ruled.where("not open").select("a", "b", F.lit(False).alias("linked"))))
 
     # Everyone meets the smallest leader of all its buckets.
     seen = verified(shared.groupBy("rep").agg(F.min("lead").alias("a")).where("a < rep").select("a", F.col("rep").alias("b")))

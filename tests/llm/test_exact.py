@@ -195,6 +195,18 @@ def test_leaders_and_classes_of_one_bucket(spark):
     assert got == classes(chain)
 
 
+def test_one_word_edits_of_short_texts(spark):
+    rows = []
+    for n in [*range(5, 41), 90, 103, 110, 128]:
+        w = odd.prose(7_000 + n, n).split()
+        half = n // 2
+        for v in (w, w[:-1], w[1:], [*w[:-1], "other"], [*w[:half], "other", *w[half + 1 :]], [*w, "more"], [*w, "some", "more"]):
+            rows.append((len(rows), " ".join(v)))
+    rows += [(len(rows) + i, f"{odd.prose(1, 20)} {odd.prose(8_000 + i, 4)}") for i in range(60)]
+    got = {r["doc_id"]: r["class_id"] for r in orderminhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == classes(rows)
+
+
 def test_alignment_counts_edits():
     rnd = random.Random(2)
 
