@@ -207,6 +207,16 @@ def test_one_word_edits_of_short_texts(spark):
     assert got == classes(rows)
 
 
+def test_moved_passages_and_repeated_lines(spark):
+    rows = []
+    for i in range(20):
+        w, line = odd.prose(9_000 + i, 300).split(), odd.prose(9_500 + i, 10).split()
+        for v in (w, w[150:] + w[:150], w[:150] + line * 10, w[:150] + line * 60):
+            rows.append((len(rows), " ".join(v)))
+    got = {r["doc_id"]: r["class_id"] for r in orderminhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == classes(rows)
+
+
 def test_alignment_counts_edits():
     rnd = random.Random(2)
 
