@@ -3,7 +3,8 @@
 A line is parsed to a leaf of a tree of fixed depth: its number of tokens, then its leading `depth` tokens, where a token that holds a digit
 is a variable field. Inside a leaf, lines that differ in other fields fall together where most lines agree: at each place the token held
 by more than half of the leaf's documents is constant, every other place is a variable field. A line belongs to the leaf's template if it
-holds enough of the constants (`least_match` of all places); a line that recurs on its own is a template without open fields.
+holds enough of the constants (`least_match` of all places); a line that recurs on its own is a template without open fields. Lines of
+fewer than `least_tokens` tokens, such as "Read more" or a page number, are only judged as they are written: none of their fields is open.
 
 A template is boilerplate if it recurs in at least `least_docs` documents *and in as many different surroundings*: the lines before and
 after it differ in at least `least_spread` of those documents. Lines of copied documents recur with their neighbours and stay; whole
@@ -33,8 +34,10 @@ _VARIABLE = r"(?<![^\x20\n])[^\x20\n0-9]*+[0-9][^\x20\n]*"
 _BLANKS = r"[\x20\x09\x0B-\x0D]{2,}|[\x09\x0B-\x0D]"
 
 
-def parsed(text: Column) -> Column:
-    """Each line's tokens joined by one space, those with a digit opened; as many entries as the text has lines."""
+def parsed(text: Column, least_tokens: int) -> Column:
+    """Each line's tokens joined by one space: masked with those with a digit opened, and exact as they are where a line is too short for
+    a template and has a digit (else null); as many entries as the text has lines.
+    """
     uneven = text.contains("  ")
     for blank in "\t\r\x0b\x0c":
         uneven = uneven | text.contains(blank)
@@ -43,7 +46,10 @@ def parsed(text: Column) -> Column:
     def masked(line: Column) -> Column:
         return F.trim(F.when(line.rlike("[0-9]"), F.regexp_replace(line, _VARIABLE, OPEN)).otherwise(line))
 
-    return F.transform(F.split(even, "\n", -1), masked)
+    def exact(line: Column) -> Column:
+        return F.when(line.rlike("[0-9]") & (tokens_of(F.trim(line)) < least_tokens), F.trim(line))
+
+    return F.transform(F.split(even, "\n", -1), lambda line: F.struct(masked(line).alias("masked"), exact(line).alias("exact")))
 
 
 def tokens_of(masked: Column) -> Column:
@@ -54,19 +60,19 @@ def leaf(masked: Column, depth: int) -> Column:
     return F.xxhash64(tokens_of(masked), F.substring_index(masked, " ", depth))
 
 
-def spelled(docs: DataFrame, doc_id: str, text: str, depth: int) -> DataFrame:
+def spelled(docs: DataFrame, doc_id: str, text: str, depth: int, least_tokens: int) -> DataFrame:
     """One row per line that isn't blank: doc, check, place, masked, line (hash), tokens, leaf, around (hash of both neighbours' leaves).
 
     Neighbours count by their leaves, so the edited copies of a document are one surrounding.
     """
     body = F.coalesce(F.col(text), F.lit(""))
-    own = docs.select(F.col(doc_id).alias("doc"), F.xxhash64(body).alias("check"), parsed(body).alias("parts"))
-    own = own.withColumn("leaves", F.transform("parts", lambda x: leaf(x, depth)))
-    rows = own.select("doc", "check", "leaves", F.posexplode("parts").alias("place", "masked")).where("masked <> ''")
+    own = docs.select(F.col(doc_id).alias("doc"), F.xxhash64(body).alias("check"), parsed(body, least_tokens).alias("parts"))
+    own = own.withColumn("leaves", F.transform("parts", lambda x: leaf(x["masked"], depth)))
+    rows = own.select("doc", "check", "leaves", F.posexplode("parts").alias("place", "part")).select("*", "part.masked", "part.exact").where("masked <> ''")
     # Past either end the neighbour is null, which hashes like any other value.
     before, after = (F.get("leaves", F.col("place") + d) for d in (-1, 1))
     return rows.select(
-        "doc", "check", "place", "masked", F.xxhash64("masked").alias("line"), tokens_of(F.col("masked")).alias("tokens"),
+        "doc", "check", "place", "masked", F.xxhash64(F.coalesce("exact", "masked")).alias("line"), tokens_of(F.col("masked")).alias("tokens"),
         F.get("leaves", F.col("place")).alias("leaf"), F.xxhash64(before, F.lit(0), after).alias("around"),
     )
 
@@ -91,17 +97,16 @@ def boilerplate(
 
     every: spelled() without `masked`, written once; wording_of(doc, check): spelled() of those documents, to read out lines of recurring leaves.
     """
-    known = every.where(F.col("tokens") >= least_tokens)
     # A line that a document repeats counts once for each of its surroundings there.
-    counted = cut_lineage(known.groupBy("line", "leaf", "around").agg(F.count("*").alias("docs")))
+    counted = cut_lineage(every.groupBy("line", "leaf", "tokens", "around").agg(F.count("*").alias("docs")))
 
     def in_documents(found: DataFrame, key: str) -> DataFrame:
         """Those found in enough documents; one document may repeat a line in many surroundings."""
-        met = found.join(known.select("line", "doc", "check"), "line").select(key, "doc", "check").distinct()
+        met = found.join(every.select("line", "doc", "check"), "line").select(key, "doc", "check").distinct()
         return met.groupBy(key).agg(F.count("*").alias("n")).where(F.col("n") >= least_docs).select(key)
 
     whole = in_documents(recurring(counted, "line", least_docs, least_spread).select("line"), "line")
-    leaves = recurring(counted, "leaf", least_docs, least_spread).select("leaf")
+    leaves = recurring(counted.where(F.col("tokens") >= least_tokens), "leaf", least_docs, least_spread).select("leaf")
     # Only leaves of several lines can open further fields; only their distinct lines are laid out token by token.
     several = counted.join(leaves, "leaf").groupBy("leaf", "line").agg(F.sum("docs").alias("docs"))
     several = cut_lineage(several.join(several.groupBy("leaf").agg(F.count("*").alias("kinds"), F.sum("docs").alias("all")).where("kinds > 1"), "leaf"))
@@ -129,20 +134,21 @@ def boilerplate(
 
 def drop_lines(
     docs: DataFrame, doc_id: str = "doc_id", text: str = "text", depth: int = 3, least_docs: int = 8, least_spread: float = 0.5, least_match: float = 0.7,
-    length: str | None = None, counts: bool = True,
+    length: str | None = None, counts: bool = True, least_tokens: int = 3,
 ) -> DataFrame:
     """Every row and column of `docs`, its text without boilerplate lines; `length` names a column that holds the text's length.
 
-    With `counts`, n_lines and n_dropped follow (and replace columns of these names).
+    With `counts`, n_lines and n_dropped follow (and replace columns of these names). Lines of fewer than `least_tokens` tokens are judged
+    by their exact wording only.
     """
-    every = cut_lineage(spelled(docs, doc_id, text, depth).drop("masked"))
+    every = cut_lineage(spelled(docs, doc_id, text, depth, least_tokens).drop("masked"))
 
     def wording_of(holders: DataFrame) -> DataFrame:
         own = docs.select(F.col(doc_id).alias("d"), F.col(text).alias("t"))
         met = own.join(holders, F.col("d").eqNullSafe(F.col("doc")) & (F.xxhash64(F.coalesce("t", F.lit(""))) == F.col("check")), "left_semi")
-        return spelled(met, "d", "t", depth)
+        return spelled(met, "d", "t", depth, least_tokens)
 
-    dropped = boilerplate(every, wording_of, least_docs, least_spread, least_match)
+    dropped = boilerplate(every, wording_of, least_docs, least_spread, least_match, least_tokens)
     gone = (
         every.select("doc", "check", "place", "line").join(dropped, "line", "left_semi")
         .groupBy("doc", "check").agg(F.collect_set("place").alias("places"))

@@ -53,6 +53,13 @@ def test_lines_of_copies_stay_and_open_fields_are_found(spark):
     assert got[200]["n_dropped"] == 0
 
 
+def test_short_lines_are_judged_by_their_wording(spark):
+    rows = [(i, f"{odd.prose(600 + i, 10)}\nRead more\n{odd.prose(700 + i, 10)}\nShare\n{odd.prose(800 + i, 10)}\n{1000 + i}\n{odd.prose(900 + i, 10)}\n 2024 \n{odd.prose(950 + i, 10)}") for i in range(12)]
+    rows += [(100 + i, "Solo line") for i in range(12)]
+    got = {r["doc_id"]: r["text"] for r in templates.drop_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {d: t.replace("\nRead more\n", "\n").replace("\nShare\n", "\n").replace("\n 2024 \n", "\n") for d, t in rows}
+
+
 # Benchmark copies
 
 
