@@ -35,6 +35,14 @@ INLINE = {
     "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "br", "img", "wbr",
 }
 HIDDEN = {"script", "style", "noscript", "template", "head", "title", "svg", "iframe", "object", "select", "textarea", "button"}
+#: What may stand in a head; anything else ends it, as in browsers.
+IN_HEAD = {"html", "head", "base", "basefont", "bgsound", "link", "meta", "noframes", "noscript", "script", "style", "template", "title"}
+#: Hidden elements that can't hold these blocks end where one opens.
+PHRASES = {"button", "select", "svg"}
+BREAKS = {
+    "address", "article", "aside", "blockquote", "body", "dl", "figure", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6", "header", "main", "nav", "ol", "p",
+    "pre", "section", "table", "ul",
+}
 #: An opening tag closes these, up to the nearest element that may hold it.
 CLOSES = {
     "li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "td": ({"td", "th"}, {"tr", "table"}),
@@ -112,7 +120,22 @@ class Page(HTMLParser):
             elif tag == "a":
                 self.links -= 1
 
+    def _end_hidden(self, tag: str) -> None:
+        """Close a head or another hidden element that was left open and can't hold this tag."""
+        if self.open[-1][0] == "head":
+            if tag not in IN_HEAD:
+                self._close_to(len(self.open) - 1)
+        elif tag in BREAKS:
+            for depth in range(len(self.open) - 1, -1, -1):
+                name = self.open[depth][0]
+                if name in PHRASES:
+                    self._close_to(depth)
+                elif name in HIDDEN or name == "foreignobject":
+                    break
+
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
+        if self.hidden:
+            self._end_hidden(tag)
         if tag == "br":
             self.run.append(" ")
             return
@@ -171,6 +194,8 @@ class Page(HTMLParser):
                 return
 
     def handle_data(self, data: str) -> None:
+        if self.hidden and self.open[-1][0] == "head" and data.strip():
+            self._close_to(len(self.open) - 1)
         if not self.hidden:
             self.run.append(data)
             if self.links:

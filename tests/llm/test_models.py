@@ -208,6 +208,15 @@ def test_main_text(model, wrap):
     assert pages.main_text(AROUND.format(wrap.format(ARTICLE)), model) == EXPECTED
 
 
+@pytest.mark.parametrize("before", [
+    "<head><title>t</title><body><div>", "<head><meta charset=utf-8><title>t</title><script>x</script><div>", "<head><link rel=x><style>y</style></head><body><div>",
+    "<body><div><button>Go", "<body><div><select><option>one<option>two", "<body><div><svg><path d='x'>", "<div><div><button>Go</div>",
+])
+def test_hidden_elements_left_open(before):
+    assert [t for t in pages.parse(f"<html>{before}{ARTICLE}</div></html>").text if t] == EXPECTED.split("\n\n")
+    assert [t for t in pages.parse("<head><title>t</title>Text alone").text if t] == ["Text alone"]
+
+
 def test_pages_table(spark, model):
     folder = "/root/testdata/sf0.001"
     table = spark.read.parquet(f"{folder}/pages.parquet")
