@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sessionloom.llm import ann, decontam, mixing, negatives, orderminhash, pages, pii, substrings, templates, tokens, toxicity, vectorcodes
+from sessionloom.llm import ann, archives, decontam, mixing, negatives, orderminhash, pages, pii, substrings, templates, tokens, toxicity, vectorcodes
+from sessionloom.session import checkpoint_dir, cut_lineage
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -150,3 +152,24 @@ def op13_vector_codes(spark: SparkSession, folder: str) -> DataFrame:
     found = vectorcodes.compress(table(spark, folder, "embeddings"))
     rows = vectorcodes.with_label_error(found.rows)
     return rows.select("vec_id", "code", "error", "label_error", F.lit(found.digest()).alias("codebooks_sha256"))
+
+
+ORACLES["op12_warc"] = """
+WITH bodies AS (
+  SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages
+),
+firsts AS (SELECT *, min(page_id) OVER (PARTITION BY payload_digest, payload_bytes) AS first_id FROM bodies)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN payload_bytes >= 100 AND first_id <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN payload_bytes >= 100 AND first_id <> page_id THEN first_id END AS refers_to
+FROM firsts
+"""
+
+
+@query
+def op12_warc(spark: SparkSession, folder: str) -> DataFrame:
+    base = f"{checkpoint_dir(spark).rstrip('/')}/archives/{uuid.uuid4().hex}"
+    archives.write_arc(archives.page_captures(table(spark, folder, "pages")), f"{base}/arc")
+    archives.convert(spark, f"{base}/arc", f"{base}/warc", key=archives.page_id_of(F.col("head")))
+    records = archives.read_warc(spark, f"{base}/warc", payloads=False).where(F.col("record_type").isin("response", "revisit"))
+    records = cut_lineage(records.withColumn("page_id", archives.page_id_of(F.col("head"))))
+    return archives.resolve(records, "page_id").select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
