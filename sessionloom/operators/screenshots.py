@@ -2,16 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from itertools import groupby
+from functools import reduce
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sessionloom.functions import keys
 from sessionloom.functions.timefn import base_name, path_epoch
-from sessionloom.operators.sequence import islands, order_sessions
+from sessionloom.session import cut_lineage
 
 SESSION = "session_id"
 
@@ -54,55 +52,51 @@ def candidates(constituents: DataFrame, shots: DataFrame, tolerance: float = 2.0
     )
 
 
-def _claim(rows: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Give each run its states in order; a screenshot that was taken is gone for everyone after."""
-    chain, taken = None, set()
-
-    def choose(cands, suits: str, latest_first: bool):
-        by_pos: dict[int, list] = {}
-        for c in cands:
-            if c.path not in taken:
-                by_pos.setdefault(c.pos, []).append(c)
-        for pos in sorted(by_pos, reverse=latest_first):
-            best = min(by_pos[pos], key=lambda c: (not getattr(c, suits), c.gap, c.ss_text, c.path))
-            taken.add(best.path)
-            return best.path
-        return None
-
-    def settle(key, cands):
-        nonlocal chain, taken
-        if (key[0], key[1]) != chain:
-            chain, taken = (key[0], key[1]), set()
-        return key[0], key[2], choose(cands, "suits_before", False), choose(cands, "suits_after", True)
-
-    key, held = None, []
-    for part in rows:
-        settled = []
-        for k, cands in groupby(part.itertuples(index=False), key=lambda r: (r.session_id, r.chain_no, r.run_id)):
-            if k != key and held:
-                settled.append(settle(key, held))
-                held = []
-            key = k
-            held.extend(cands)
-        yield pd.DataFrame(settled, columns=[SESSION, "run_id", "before", "after"])
-    if held:
-        yield pd.DataFrame([settle(key, held)], columns=[SESSION, "run_id", "before", "after"])
+ASK = [SESSION, "ask"]
+SHOT = [SESSION, "path"]
+
+
+def claim(pairs: DataFrame) -> tuple[DataFrame, int]:
+    """(session, ask, path) of every ask that gets a screenshot, and the number of rounds it took.
+
+    pairs: session_id, ask (number in the order of claims), wish (a struct, smallest first), path.  In the recorder's order each ask takes its
+    best screenshot that is still free.  The same comes out in rounds over all asks at once: every open ask wants its best screenshot, the
+    smallest ask that wants one holds it, and larger asks can't get it any more, because a holder gives way to smaller asks only.  A
+    screenshot that no smaller ask lists is settled and leaves with its ask.  Each round keys rows by ask, then by screenshot, never by session, and settles
+    the first open ask of every group of rivals; rounds go on with contested rows only and are written, so a lost executor costs one round.
+    """
+    rival = Window.partitionBy(*SHOT)
+    own = Window.partitionBy(*ASK)
+    open_pairs, settled, rounds = pairs.select(*ASK, "wish", "path").withColumn("settled", F.lit(False)), [], 0
+    while True:
+        left = open_pairs.withColumn("_done", F.max("settled").over(own)).where(~F.col("_done")).withColumn("_best", F.min(F.struct("wish", "path")).over(own))
+        wants = F.col("path") == F.col("_best.path")
+        left = left.withColumns({"_holder": F.min(F.when(wants, F.col("ask"))).over(rival), "_first": F.min("ask").over(rival)})
+        left = left.where(F.col("_holder").isNull() | (F.col("ask") <= F.col("_holder")))
+        found = cut_lineage(left.select(*ASK, "wish", "path", (wants & (F.col("_first") == F.col("ask"))).alias("settled")))
+        settled.append(found.where("settled").select(*ASK, "path"))
+        rounds += 1
+        if found.where("not settled").isEmpty():
+            return reduce(DataFrame.unionByName, settled), rounds
+        open_pairs = found
+
+
+def claims(constituents: DataFrame, shots: DataFrame, tolerance: float = 2.0) -> DataFrame:
+    """Wishes of every run: ask 2n is the before of run n, from its first event on, ask 2n + 1 its after, from its last event back."""
+    wanted = candidates(constituents, shots, tolerance)
+    side = lambda ask, pos, suits: F.struct((F.col("run_id") * 2 + ask).alias("ask"), F.struct(pos.alias("pos"), (~F.col(suits)).alias("unfit"), "gap", "ss_text").alias("wish"))
+    sides = F.array(side(0, F.col("pos"), "suits_before"), side(1, -F.col("pos"), "suits_after"))
+    return wanted.withColumn("_side", F.explode(sides)).select(SESSION, "_side.ask", "_side.wish", "path")
 
 
 def match_states(runs: DataFrame, constituents: DataFrame, shots: DataFrame, tolerance: float = 2.0) -> DataFrame:
-    """Before and after screenshot of every run (run_id), claimed in order.
+    """Before and after screenshot of every run (run_id), each screenshot used once, in the order of runs.
 
-    Two runs can want the same screenshot only when they are closer than twice the tolerance, so a
-    session is cut into chains at longer pauses; chains are placed in parallel and streamed, and no
-    more than one chain's claimed paths is held.  runs: session_id, run_id, ts_before, ts_after.
+    runs: session_id, run_id.  constituents: session_id, run_id, pos, ts, action.  shots: session_id, path.
     """
-    so = order_sessions(runs.select(SESSION, "run_id", "ts_before", "ts_after"), SESSION, "run_id")
-    so = so.running(_reach=("max", F.col("ts_after"))).neighbours(prev={"_prev": "_reach"})
-    pause = F.col("_prev").isNull() | (F.col("ts_before") - F.col("_prev") >= 2 * tolerance)
-    chains = islands(so, pause, "chain_no").df.select(SESSION, "run_id", "chain_no")
-    wanted = candidates(constituents, shots, tolerance).join(chains, [SESSION, "run_id"])
-    ordered = wanted.repartition(SESSION, "chain_no").sortWithinPartitions(SESSION, "chain_no", "run_id", "pos")
-    claimed = ordered.mapInPandas(_claim, f"{SESSION} string, run_id bigint, before string, after string")
+    found, _ = claim(claims(constituents, shots, tolerance))
+    side = lambda n: F.min(F.when(F.col("ask") % 2 == n, F.col("path")))
+    claimed = found.groupBy(SESSION, F.floor(F.col("ask") / 2).alias("run_id")).agg(side(0).alias("before"), side(1).alias("after"))
     return runs.join(claimed, [SESSION, "run_id"], "left")
 
 

@@ -11,6 +11,7 @@ from sessionloom.plans import standins
 from sessionloom.plans.base import query, table
 from sessionloom.plans.models import TREE_SQL, tree_nodes
 from sessionloom.plans.standins import ACTIONS_SQL, HOUR, STATES_SQL, with_ctes
+from sessionloom.plans.trace import RUNS_SQL
 
 SESSION = "session_id"
 
@@ -36,22 +37,117 @@ def screenshot_candidates(spark: SparkSession, folder: str) -> DataFrame:
     return pairs.select(SESSION, F.col("run_id").alias("line_no"), "path", F.round("gap", 3).alias("gap"))
 
 
-@query("screenshot_match")
-def screenshot_match(spark: SparkSession, folder: str) -> DataFrame:
-    """States of merged runs, each screenshot used once (tolerance two hours for the sparse log)."""
+CLAIM_SQL = """
+wishes AS (
+  SELECT n.session_id, n.run_id, n.line_no AS pos, n.action, s.path, abs(s.t - n.ts) AS gap,
+    CASE WHEN n.kind = 'key' THEN '_first.jpg' ELSE '_before.jpg' END AS first, CASE WHEN n.kind = 'key' THEN '_final.jpg' ELSE '_after.jpg' END AS final
+  FROM numbered n JOIN shots s ON n.session_id = s.session_id AND s.t > n.ts - {tolerance} - 1 AND s.t < n.ts + {tolerance} + 1 AND contains(s.path, n.action)
+  WHERE abs(s.t - n.ts) < {tolerance}
+),
+asks AS (
+  SELECT session_id, 2 * run_id AS ask, list(path ORDER BY pos, NOT ends_with(path, first), gap, path) AS paths FROM wishes GROUP BY session_id, run_id
+  UNION ALL
+  SELECT session_id, 2 * run_id + 1, list(path ORDER BY -pos, NOT ends_with(path, final), gap, path) FROM wishes GROUP BY session_id, run_id
+),
+in_turn AS (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY ask) AS n FROM asks),
+walk AS (
+  SELECT DISTINCT session_id, CAST(0 AS BIGINT) AS n, CAST(-1 AS BIGINT) AS ask, CAST([] AS VARCHAR[]) AS taken, CAST(NULL AS VARCHAR) AS path FROM in_turn
+  UNION ALL
+  SELECT session_id, n, ask, CASE WHEN path IS NULL THEN taken ELSE list_append(taken, path) END, path FROM (
+    SELECT w.session_id, t.n, CAST(t.ask AS BIGINT) AS ask, w.taken, list_filter(t.paths, lambda p: NOT list_contains(w.taken, p))[1] AS path
+    FROM walk w JOIN in_turn t ON t.session_id = w.session_id AND t.n = w.n + 1)
+),
+claimed AS (
+  SELECT session_id, ask // 2 AS run_id, max(path) FILTER (ask % 2 = 0) AS before, max(path) FILTER (ask % 2 = 1) AS after FROM walk WHERE ask >= 0 GROUP BY ALL
+)
+"""
+
+
+def _claim_sql(hours: int, *more: str) -> str:
+    return with_ctes(ACTIONS_SQL, STATES_SQL, SHOTS_SQL, RUNS_SQL, CLAIM_SQL.format(tolerance=hours * 3600), *more).replace("WITH ", "WITH RECURSIVE ", 1)
+
+
+MATCH_SQL = """SELECT r.session_id, CAST(r.run_id AS BIGINT) AS run_id, r.action, c.before, c.after
+FROM runs r LEFT JOIN claimed c ON c.session_id = r.session_id AND c.run_id = r.run_id"""
+
+
+def _matched(spark: SparkSession, folder: str, hours: int) -> tuple:
     labelled = consolidate.label_runs(standins.actions(spark, folder))
-    runs = consolidate.collapse_runs(labelled).df
+    runs = consolidate.collapse_runs(labelled)
     constituents = labelled.df.select(SESSION, "run_id", F.col("line_no").alias("pos"), "ts", "action")
-    return screenshots.match_states(runs, constituents, standins.screenshots(spark, folder), 2 * HOUR).select(SESSION, "run_id", "action", "before", "after")
+    return runs, screenshots.match_states(runs.rows, constituents, standins.screenshots(spark, folder), hours * HOUR)
 
 
-@query("trajectory")
+@query("screenshot_match", _claim_sql(2) + MATCH_SQL)
+def screenshot_match(spark: SparkSession, folder: str) -> DataFrame:
+    """States of merged runs, each screenshot used once (tolerance two hours for the sparse log)."""
+    return _matched(spark, folder, 2)[1].select(SESSION, "run_id", "action", "before", "after")
+
+
+@query("screenshot_contest", _claim_sql(96) + MATCH_SQL)
+def screenshot_contest(spark: SparkSession, folder: str) -> DataFrame:
+    """As before with four days of tolerance, so that many runs want the same screenshots."""
+    return _matched(spark, folder, 96)[1].select(SESSION, "run_id", "action", "before", "after")
+
+
+# The final rows: states as matched, trimmed, repaired, timed again, double clicks as by default (0.5 s, 10 px).
+TRAJECTORY_SQL = """
+matched AS (
+  SELECT r.*, c.before, c.after, row_number() OVER (PARTITION BY r.session_id ORDER BY r.run_id) AS i
+  FROM runs r LEFT JOIN claimed c ON c.session_id = r.session_id AND c.run_id = r.run_id
+),
+seen_times AS (
+  SELECT *, coalesce(TRY_CAST(split_part(split_part(before, '/', 2), '_', 1) AS DOUBLE), 0) AS b,
+    coalesce(TRY_CAST(split_part(split_part(after, '/', 2), '_', 1) AS DOUBLE), 0) AS a FROM matched
+),
+first_times AS (
+  SELECT *, CASE WHEN b = 0 THEN a ELSE b END AS time_before, CASE WHEN a = 0 THEN b ELSE a END AS time_after,
+    coalesce(lag(CASE WHEN a <> 0 THEN a ELSE b END) OVER (PARTITION BY session_id ORDER BY i), 0) AS last_time FROM seen_times
+),
+trimmed AS (
+  SELECT * FROM (
+    SELECT *, min(i) FILTER (b <> 0 AND a <> 0) OVER (PARTITION BY session_id) AS lo, max(i) FILTER (b <> 0 AND a <> 0) OVER (PARTITION BY session_id) AS hi FROM first_times)
+  WHERE lo IS NULL OR i BETWEEN lo AND hi
+),
+repaired AS (
+  SELECT * EXCLUDE (before, after), CASE WHEN before IS NULL AND NOT contains(action, 'press') THEN lag(after) OVER w ELSE before END AS before,
+    CASE WHEN contains(action, 'drag') THEN after ELSE coalesce(lead(before) OVER w, after) END AS after
+  FROM trimmed WINDOW w AS (PARTITION BY session_id ORDER BY i)
+),
+again AS (
+  SELECT *, CASE WHEN a2 = 0 THEN b2 ELSE a2 END - CASE WHEN b2 = 0 THEN a2 ELSE b2 END AS time_range,
+    CASE WHEN time_before <> 0 AND last_time <> 0 THEN time_before - last_time ELSE 0 END AS time_diff FROM (
+    SELECT *, coalesce(TRY_CAST(split_part(split_part(before, '/', 2), '_', 1) AS DOUBLE), 0) AS b2,
+      coalesce(TRY_CAST(split_part(split_part(after, '/', 2), '_', 1) AS DOUBLE), 0) AS a2 FROM repaired)
+),
+pointed AS (
+  SELECT *, TRY_CAST(regexp_extract(action, '\\(([-0-9.]+), ([-0-9.]+)', 1) AS DOUBLE) AS x, TRY_CAST(regexp_extract(action, '\\(([-0-9.]+), ([-0-9.]+)', 2) AS DOUBLE) AS y FROM again
+),
+paired AS (
+  SELECT *, coalesce(contains(action, 'click') AND contains(lead(action) OVER w, 'click') AND lead(time_diff) OVER w <= 0.5
+    AND sqrt((lead(x) OVER w - x) ** 2 + (lead(y) OVER w - y) ** 2) < 10, false) AS p,
+    lead(after) OVER w AS next_after, lead(time_after) OVER w AS next_time, lead(time_range) OVER w AS next_range
+  FROM pointed WINDOW w AS (PARTITION BY session_id ORDER BY i)
+),
+placed AS (
+  SELECT *, row_number() OVER (PARTITION BY session_id, island ORDER BY i) - 1 AS place FROM (
+    SELECT *, sum(CASE WHEN pp THEN 0 ELSE 1 END) OVER (PARTITION BY session_id ORDER BY i ROWS UNBOUNDED PRECEDING) AS island FROM (
+      SELECT *, coalesce(lag(p) OVER (PARTITION BY session_id ORDER BY i), false) AS pp FROM paired))
+),
+rows_left AS (SELECT *, p AND place % 2 = 0 AS d FROM placed WHERE NOT (pp AND place % 2 = 1))
+"""
+
+
+@query(
+    "trajectory",
+    _claim_sql(2, TRAJECTORY_SQL)
+    + """SELECT session_id, concat('n', row_number() OVER (PARTITION BY session_id ORDER BY i)) AS id, CASE WHEN d THEN concat('double_click(', split_part(action, '(', 2)) ELSE action END AS action,
+  before, CASE WHEN d THEN next_after ELSE after END AS after, round(time_before, 3) AS time_before, round(CASE WHEN d THEN next_time ELSE time_after END, 3) AS time_after,
+  round(CASE WHEN d THEN time_range + next_range ELSE time_range END, 3) AS time_range FROM rows_left""",
+)
 def trajectory(spark: SparkSession, folder: str) -> DataFrame:
     """Raw events to final action rows: merge, match, time, trim, repair, double clicks, dense ids."""
-    labelled = consolidate.label_runs(standins.actions(spark, folder))
-    runs = consolidate.collapse_runs(labelled)
-    constituents = labelled.df.select(SESSION, "run_id", F.col("line_no").alias("pos"), "ts", "action")
-    matched = screenshots.match_states(runs.rows, constituents, standins.screenshots(spark, folder), 2 * HOUR)
+    runs, matched = _matched(spark, folder, 2)
     rows = consolidate.trajectory(runs.derive(matched)).index("_n", start=1).df
     times = [F.round(c, 3).alias(c) for c in ("time_before", "time_after", "time_range")]
     return rows.select(SESSION, F.concat(F.lit("n"), F.col("_n").cast("string")).alias("id"), "action", "before", "after", *times)

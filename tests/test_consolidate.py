@@ -79,3 +79,39 @@ def test_tolerance_is_strict(spark):
     acts = spark.createDataFrame([("s", 1, 0, 10.0, "click(1)")], "session_id string, run_id bigint, pos bigint, ts double, action string")
     shots = spark.createDataFrame([("s", "12.0_click(1)_before.jpg")], "session_id string, path string")
     assert screenshots.candidates(acts, shots).count() == 0
+
+
+def _served(rows):
+    """Asks in order, each the best screenshot that is left."""
+    taken, out = set(), {}
+    for ask in sorted({(s, a) for s, a, _, _ in rows}):
+        free = sorted((w, p) for s, a, w, p in rows if (s, a) == ask and (s, p) not in taken)
+        if free:
+            taken.add((ask[0], free[0][1]))
+            out[ask] = free[0][1]
+    return out
+
+
+def test_claims_in_rounds_agree_with_one_after_another(spark):
+    rnd = random.Random(6)
+    rows = {}
+    for session in ("a", "b", "c"):
+        for ask in range(150):
+            near = rnd.sample(range(max(0, ask - 4), ask + 4), rnd.randint(0, 4))
+            rows |= {(session, ask, f"p{n // 2}"): rnd.randint(0, 2) for n in near}
+    rows = [(s, a, w, p) for (s, a, p), w in rows.items()]
+    pairs = spark.createDataFrame(rows, "session_id string, ask long, w int, path string").select("session_id", "ask", F.struct("w").alias("wish"), "path")
+    found, rounds = screenshots.claim(pairs)
+    assert {(r.session_id, r.ask): r.path for r in found.collect()} == _served(rows)
+    assert rounds <= 15
+
+
+def test_rounds_follow_rivals_not_rows(spark):
+    apart = [("s", a, w, f"p{a // 2}_{w ^ a % 2}") for a in range(2_000) for w in (0, 1)]
+    pairs = lambda rows: spark.createDataFrame(rows, "session_id string, ask long, w int, path string").select("session_id", "ask", F.struct("w").alias("wish"), "path")
+    found, rounds = screenshots.claim(pairs(apart))
+    assert found.count() == 2_000 and rounds <= 2
+    rivals = [("s", a, w, f"p{w}") for a in range(6) for w in range(4)]
+    found, rounds = screenshots.claim(pairs(rivals))
+    assert {r.ask: r.path for r in found.collect()} == {a: f"p{a}" for a in range(4)} and rounds <= 6
+    assert screenshots.claim(pairs([]))[0].count() == 0
