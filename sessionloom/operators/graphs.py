@@ -6,39 +6,70 @@ once; every round is written to the shared folder, so the plan stays short and a
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from sessionloom.functions import ids
 from sessionloom.operators.rules import findings, union_all
 from sessionloom.operators.trees import MODEL
 from sessionloom.session import cut_lineage
 
 
+def contract(edges: DataFrame, starts: DataFrame | None = None) -> tuple[DataFrame, DataFrame, int]:
+    """Shorten all paths at once by doubling, until nothing moves: edges that are left, models in which a loop was met, number of rounds.
+
+    In each round a node with one parent points to that parent's parent if it has but one in turn, so a chain of n nodes takes about log2(n)
+    rounds. Edges from nodes that nothing leads to are dropped, unless they are starts; of a node with an edge from a start only
+    that edge is kept. A loop of such nodes shows as an edge to itself, or as a walk longer than the model has edges. What is
+    left ends at a start (`rooted`), or lies in or behind a loop of nodes with several parents. Only nodes with several parents, which V38 forbids, are
+    taken one layer a round.
+    """
+    child = Window.partitionBy(*MODEL, "child_id")
+    left = edges.select(*MODEL, "parent_id", "child_id").distinct()
+    left = left.join(left.groupBy(*MODEL).agg(F.count(F.lit(1)).alias("most")), MODEL)
+    if starts is None:
+        left = left.withColumn("rooted", F.lit(False))
+    else:
+        start = starts.select(*MODEL, "node_id").distinct()
+        left = left.join(start.withColumnRenamed("node_id", "child_id"), [*MODEL, "child_id"], "left_anti")
+        left = left.join(start.select(*MODEL, F.col("node_id").alias("parent_id"), F.lit(True).alias("rooted")), [*MODEL, "parent_id"], "left")
+        left = left.withColumn("rooted", F.coalesce("rooted", F.lit(False)))
+    left = cut_lineage(left.withColumns({"hops": F.lit(1).cast("bigint"), "looped": F.lit(False)}))
+    loops, rounds, size = left.where(F.lit(False)).select(*MODEL), 0, -1
+    while True:
+        one = left.repartition(*MODEL, "child_id").groupBy(*MODEL, "child_id", "parent_id")
+        one = one.agg(F.min("hops").alias("hops"), F.min("most").alias("most"), F.max("rooted").alias("rooted")).withColumn("_any", F.max("rooted").over(child))
+        one = one.where(~F.col("_any") | F.col("rooted"))
+        above = one.groupBy(*MODEL, F.col("child_id").alias("parent_id")).agg(
+            F.count(F.lit(1)).alias("_n"), F.min("parent_id").alias("_p"), F.min("hops").alias("_h"), F.max("rooted").alias("_r")
+        )
+        met = one.join(above, [*MODEL, "parent_id"], "left").where(F.col("rooted") | F.col("_n").isNotNull())
+        jumps = ~F.col("rooted") & ((F.col("_n") == 1) | F.col("_r"))
+        moved = met.select(
+            *MODEL, F.when(jumps, F.col("_p")).otherwise(F.col("parent_id")).alias("parent_id"), "child_id", "most",
+            (F.col("rooted") | (jumps & F.col("_r"))).alias("rooted"), (F.col("hops") + F.when(jumps, F.col("_h")).otherwise(0)).alias("hops"), jumps.alias("moved"),
+        )
+        found = cut_lineage(moved.withColumn("looped", (F.col("parent_id") == F.col("child_id")) | (F.col("hops") > F.col("most"))))
+        rounds += 1
+        loops = loops.unionByName(found.where("looped").select(*MODEL))
+        left = found.where("not looped").drop("moved")
+        counts = found.agg(F.count_if("moved").alias("moved"), F.count_if(~F.col("rooted")).alias("open"), F.count(F.lit(1)).alias("n")).first()
+        if not counts["open"] or (not counts["moved"] and counts["n"] == size):
+            return left, loops.distinct(), rounds
+        size = counts["n"]
+
+
 def reachable(edges: DataFrame, starts: DataFrame) -> DataFrame:
     """(session, root, node): everything reachable from the start nodes, cycles included."""
-    steps = edges.select(*MODEL, F.col("parent_id").alias("node_id"), "child_id").distinct()
-    visited = frontier = cut_lineage(starts.select(*MODEL, "node_id").distinct())
-    while True:
-        following = frontier.join(steps, [*MODEL, "node_id"]).select(*MODEL, F.col("child_id").alias("node_id")).distinct()
-        frontier = cut_lineage(following.join(visited, [*MODEL, "node_id"], "left_anti"))
-        if frontier.isEmpty():
-            return visited
-        visited = visited.unionByName(frontier)
-
-
-def cyclic_edges(edges: DataFrame) -> DataFrame:
-    """Edges left after removing, again and again, those from sources and into sinks: empty without a cycle."""
-    left = cut_lineage(edges.select(*MODEL, "parent_id", "child_id").distinct())
-    size = left.count()
-    while size:
-        heads = left.select(*MODEL, F.col("child_id").alias("parent_id")).distinct()
-        tails = left.select(*MODEL, F.col("parent_id").alias("child_id")).distinct()
-        left = cut_lineage(left.join(heads, [*MODEL, "parent_id"], "left_semi").join(tails, [*MODEL, "child_id"], "left_semi"))
-        now = left.count()
-        if now == size:
-            break
-        size = now
-    return left
+    left, _, _ = contract(edges, starts)
+    below = left.where("rooted").select(*MODEL, F.col("child_id").alias("node_id"))
+    return starts.select(*MODEL, "node_id").unionByName(below).distinct()
+
+
+def cyclic_models(edges: DataFrame) -> DataFrame:
+    """Models whose graph has a cycle."""
+    left, loops, _ = contract(edges)
+    return loops.unionByName(left.select(*MODEL)).distinct()
 
 
 def node_table_rules(nodes: DataFrame, roots: DataFrame) -> DataFrame:
@@ -69,10 +100,23 @@ def parent_rules(edges: DataFrame, starts: DataFrame) -> DataFrame:
 
 def cycle_rules(edges: DataFrame) -> DataFrame:
     """Models whose graph has a cycle."""
-    return findings(cyclic_edges(edges).select(*MODEL).distinct(), "V39", F.lit("cycle"))
+    return findings(cyclic_models(edges), "V39", F.lit("cycle"))
 
 
 def reach_rules(edges: DataFrame, nodes: DataFrame, starts: DataFrame) -> DataFrame:
-    """Nodes that the root does not reach."""
-    lost = nodes.select(*MODEL, "node_id").distinct().join(reachable(edges, starts), [*MODEL, "node_id"], "left_anti")
-    return findings(lost, "V40", F.col("node_id"))
+    """Nodes that the root does not reach.
+
+    With references (nodes: activity_refs), also activities that reached nodes name and the root does not.
+    """
+    reached = reachable(edges, starts)
+    lost = nodes.select(*MODEL, "node_id").distinct().join(reached, [*MODEL, "node_id"], "left_anti")
+    out = findings(lost, "V40", F.col("node_id"))
+    if "activity_refs" not in nodes.columns:
+        return out
+    named = nodes.select(*MODEL, "node_id", F.explode("activity_refs").alias("_r"))
+    named = named.select(*MODEL, "node_id", F.explode(ids.expand_range(F.col("_r"), ids.ACTIVITY)).alias("activity_id"))
+    own = named.join(starts.select(*MODEL, "node_id"), [*MODEL, "node_id"], "left_semi").select(*MODEL, "activity_id")
+    # A model without its root node has nothing to compare with.
+    judged = nodes.join(starts.select(*MODEL, "node_id"), [*MODEL, "node_id"], "left_semi").select(*MODEL).distinct()
+    below = named.join(reached, [*MODEL, "node_id"], "left_semi").select(*MODEL, "activity_id").distinct().join(judged, MODEL, "left_semi")
+    return out.unionByName(findings(below.join(own, [*MODEL, "activity_id"], "left_anti"), "V40", F.col("activity_id")))

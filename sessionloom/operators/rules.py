@@ -353,6 +353,17 @@ def expression_rules(exprs: DataFrame) -> DataFrame:
     return row_rules(exprs, tests)
 
 
+def known_leaf_rules(exprs: DataFrame, activities: DataFrame) -> DataFrame:
+    """Well-formed activity leaves name an activity of the source (V46); a model without a source has no such rule.
+
+    activities: session_id, root_id, activity_id.
+    """
+    leaves = exprs.where((F.col("kind") == "activity") & F.col("activity_id").rlike(r"^activity_\d{4,}$"))
+    known = activities.select(*MODEL, "activity_id").distinct()
+    unknown = leaves.join(known, [*MODEL, "activity_id"], "left_anti").join(known.select(*MODEL).distinct(), MODEL, "left_semi")
+    return findings(unknown.withColumn("path", F.concat_ws("/", "node_id", "expr_path")), "V46", F.col("activity_id"))
+
+
 def expression_coverage(exprs: DataFrame) -> DataFrame:
     """(expression, activity): an expression covers what it and everything below it names.
 

@@ -442,6 +442,66 @@ def rule_graph_cycle(spark: SparkSession, folder: str) -> DataFrame:
     return graphs.cycle_rules(edges).select(FINDING)
 
 
+SCOPE_SQL = """
+scope AS (SELECT *, CASE WHEN i = 1 THEN 'activity_0000-activity_0039' ELSE concat(printf('activity_%04d', ok % 50), CASE WHEN ok % 9 = 4 THEN printf('-activity_%04d', ok % 50 + 1) ELSE '' END) END AS ref FROM gnodes),
+seen AS (SELECT root, 1::BIGINT AS n FROM gnodes WHERE i = 1 UNION SELECT e.root, e.c FROM seen s JOIN gedges e ON e.root = s.root AND e.p = s.n)
+"""
+
+
+@query(
+    "rule_graph_scope",
+    with_ctes(GRAPH_SQL, SCOPE_SQL).replace("WITH ", "WITH RECURSIVE ", 1)
+    + """SELECT CAST(g.root AS VARCHAR) AS root_id, '$' AS path, 'V40' AS rule_id, 'error' AS severity, CAST(g.i AS VARCHAR) AS detail FROM gnodes g LEFT JOIN seen s ON g.root = s.root AND g.i = s.n WHERE s.n IS NULL
+UNION ALL SELECT DISTINCT CAST(g.root AS VARCHAR), '$', 'V40', 'error', printf('activity_%04d', a) FROM (
+  SELECT g.root, g.i, unnest(range(CAST(regexp_extract(ref, '^activity_([0-9]+)', 1) AS BIGINT), 1 + CAST(regexp_extract(ref, 'activity_([0-9]+)$', 1) AS BIGINT))) AS a FROM scope g) g
+  JOIN seen s ON g.root = s.root AND g.i = s.n WHERE a > 39""",
+)
+def rule_graph_scope(spark: SparkSession, folder: str) -> DataFrame:
+    """Reached nodes may name no activity that the root does not name."""
+    nodes, edges, starts = _graph(spark, folder)
+    number = F.col("ok") % 50
+    own = F.when(F.col("ok") % 9 == 4, ids.range_text("activity", number, number + 1)).otherwise(ids.padded("activity_", number))
+    nodes = nodes.withColumn("activity_refs", F.array(F.when(F.col("i") == 1, "activity_0000-activity_0039").otherwise(own)))
+    return graphs.reach_rules(edges, nodes, starts).select(FINDING)
+
+
+@query(
+    "rule_root_node",
+    with_ctes(GRAPH_SQL)
+    + """SELECT CAST(root AS VARCHAR) AS root_id, '$' AS path, 'V24' AS rule_id, 'error' AS severity, '1' AS detail FROM gnodes WHERE i = 1 AND ok % 3 = 0
+UNION ALL SELECT CAST(root AS VARCHAR), '$', 'V24', 'error', CAST(i AS VARCHAR) FROM gnodes WHERE i > 1 AND ok % 8 = 5""",
+)
+def rule_root_node(spark: SparkSession, folder: str) -> DataFrame:
+    """Some models lack their root node, some nodes are there twice."""
+    nodes, _, starts = _graph(spark, folder)
+    ok, i = F.col("ok"), F.col("i")
+    kept = nodes.where(~((i == 1) & (ok % 3 == 0)))
+    kept = kept.unionByName(kept.where((i > 1) & (ok % 8 == 5)))
+    return graphs.node_table_rules(kept, starts.withColumnRenamed("node_id", "root_procedure_id")).select(FINDING)
+
+
+@query(
+    "rule_known_leaves",
+    """SELECT CAST(l_orderkey AS VARCHAR) AS root_id, concat('p/body.', l_linenumber) AS path, 'V46' AS rule_id, 'error' AS severity, printf('activity_%04d', l_partkey) AS detail
+FROM lineitem JOIN orders ON o_orderkey = l_orderkey WHERE o_orderstatus <> 'P' AND l_suppkey % 5 <> 0 AND NOT EXISTS (SELECT 1 FROM part WHERE p_partkey = l_partkey AND p_size % 4 <> 0)""",
+)
+def rule_known_leaves(spark: SparkSession, folder: str) -> DataFrame:
+    """Line items are activity leaves; the parts of some sizes are no activities of the source, and orders in status P have no source."""
+    order = F.col("l_orderkey").cast("string").alias("root_id")
+    leaf_id = F.when(F.col("l_suppkey") % 5 == 0, "activity_1").otherwise(ids.padded("activity_", F.col("l_partkey")))
+    lines = table(spark, folder, "lineitem").select(
+        F.lit("s").alias("session_id"), order, F.lit("p").alias("node_id"), F.concat(F.lit("body."), F.col("l_linenumber").cast("string")).alias("expr_path"),
+        F.lit("activity").alias("kind"), leaf_id.alias("activity_id"), "l_partkey", "l_orderkey",
+    )
+    parts = table(spark, folder, "part").where(F.col("p_size") % 4 != 0).select("p_partkey")
+    sources = table(spark, folder, "orders").where(F.col("o_orderstatus") != "P").select(F.col("o_orderkey").alias("l_orderkey"))
+    named = lines.join(sources, "l_orderkey", "left_semi").join(parts, F.col("l_partkey") == F.col("p_partkey"), "left_semi")
+    named = named.select("session_id", "root_id", ids.padded("activity_", F.col("l_partkey")).alias("activity_id"))
+    # Every source has an activity of its own that no line names.
+    own = sources.select(F.lit("s").alias("session_id"), F.col("l_orderkey").cast("string").alias("root_id"), F.lit("activity_0000").alias("activity_id"))
+    return rules.known_leaf_rules(lines, named.unionByName(own)).select(FINDING)
+
+
 # ---- procedure bodies: line items are ordered parts of an order ------------------------------
 
 PARTS_SQL = """

@@ -2,6 +2,7 @@
 
 import json
 import os
+import random
 import tempfile
 
 import pytest
@@ -261,3 +262,48 @@ def test_transient_errors_go_by_type_and_status():
 
     assert provider.is_transient(ReadTimeout()) and provider.is_transient(Slow()) and provider.is_transient(Status(503))
     assert not provider.is_transient(ValueError("row 4290 of 503")) and not provider.is_transient(Status(500))
+
+
+def _graph(spark, rows):
+    return spark.createDataFrame([("s", *r) for r in rows], "session_id string, root_id string, parent_id bigint, child_id bigint")
+
+
+def _start(spark, *names):
+    return spark.createDataFrame([("s", n, 0) for n in names], "session_id string, root_id string, node_id bigint")
+
+
+def test_long_chains_take_few_rounds(spark):
+    chain = [("chain", i, i + 1) for i in range(10_000)]
+    ring = [("ring", i, (i + 1) % 2_001) for i in range(2_001)] + [("ring", 5_000 + i, 5_001 + i) for i in range(3)]
+    edges = _graph(spark, chain + ring).cache()
+    left, _, rounds = graphs.contract(edges, _start(spark, "chain", "ring"))
+    assert rounds <= 15
+    assert left.where("root_id = 'chain' and rooted").count() == 10_000
+    assert left.where("root_id = 'ring' and rooted").count() == 2_000
+    found = {r.root_id for r in graphs.cyclic_models(edges).collect()}
+    assert found == {"ring"}
+
+
+def test_reach_and_cycles_of_random_graphs(spark):
+    rnd = random.Random(12)
+    models = {}
+    for m in range(60):
+        n = rnd.randint(1, 12)
+        models[f"m{m}"] = [(rnd.randrange(n), rnd.randrange(n)) for _ in range(rnd.randint(0, 2 * n))] + [(a, a + 1) for a in range(n, n + 3)]
+    edges = _graph(spark, [(m, *e) for m, es in models.items() for e in es]).cache()
+
+    def seen(es, start):
+        found, todo = set(), [start]
+        while todo:
+            node = todo.pop()
+            for p, c in es:
+                if p == node and c not in found:
+                    found.add(c)
+                    todo.append(c)
+        return found
+
+    got = {(r.root_id, r.node_id) for r in graphs.reachable(edges, _start(spark, *models)).collect()}
+    assert got == {(m, n) for m, es in models.items() for n in {0} | seen(es, 0)}
+    cyclic = {m for m, es in models.items() if any(p in seen(es, p) for p, _ in es)}
+    assert {r.root_id for r in graphs.cyclic_models(edges).collect()} == cyclic
+    assert 0 < len(cyclic) < len(models)
