@@ -196,9 +196,9 @@ def representative_samples(items: Column, max_items: int) -> Column:
 
 
 def uniq_truncated(items: Column, max_items: int, max_chars: int) -> Column:
-    """Distinct after truncation, first ``max_items``."""
-    short = F.transform(F.coalesce(items, F.array().cast("array<string>")), lambda x: truncate(x, max_chars))
-    return F.slice(F.array_distinct(F.filter(short, lambda x: x != "")), 1, max_items)
+    """First ``max_items`` distinct texts, white space collapsed, each truncated."""
+    whole = F.transform(F.coalesce(items, F.array().cast("array<string>")), lambda x: collapse(or_empty(x)))
+    return F.transform(F.slice(F.array_distinct(F.filter(whole, lambda x: x != "")), 1, max_items), lambda x: truncate(x, max_chars))
 
 
 def ends(items: Column, repeat: bool) -> Column:

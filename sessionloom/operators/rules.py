@@ -268,6 +268,12 @@ def verdicts(all_findings: DataFrame, models: DataFrame) -> DataFrame:
     return out.withColumn("valid", F.col("errors") == 0)
 
 
+def accepted(models: DataFrame, found: DataFrame) -> DataFrame:
+    """Stored models that pass today's rules (R10), whatever their kind; the others are made again."""
+    wrong = found.where(F.col("severity") == "error").select(*MODEL).distinct()
+    return models.join(wrong, MODEL, "left_anti")
+
+
 def gated(shape: DataFrame, deeper: DataFrame) -> DataFrame:
     """Deeper findings only for models without a shape error."""
     broken = shape.where(F.col("severity") == "error").select(*MODEL).distinct()
@@ -395,3 +401,8 @@ def node_body_rules(nodes: DataFrame, exprs: DataFrame, edges: DataFrame) -> Dat
     body = expression_coverage(exprs).select(*MODEL, F.col("node_id").alias("path"), "activity_id")
     child = own.withColumnRenamed("path", "child_id").join(edges, [*MODEL, "child_id"]).select(*MODEL, F.col("parent_id").alias("path"), "activity_id")
     return two_sided(body.unionByName(child), own, NODE, "activity_id", "V36")
+
+
+def procedure_findings(nodes: DataFrame, exprs: DataFrame, activities: DataFrame) -> DataFrame:
+    """Rules of the nodes and bodies of a procedure model: operators, expressions, known leaves, coverage; graph rules are in `graphs`."""
+    return union_all(operator_rules(nodes), expression_rules(exprs), known_leaf_rules(exprs, activities), inline_operator_rules(exprs))

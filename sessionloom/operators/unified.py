@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sessionloom.operators.rules import MODEL, NODE, blank, findings, gated, row_rules, union_all, verdicts
+from sessionloom.operators import rules
+from sessionloom.operators.rules import MODEL, NODE, blank, findings, gated, row_rules, union_all
 from sessionloom.operators.sequence import order_sessions
 
 # The accepted version and the only keys of the outer object.
@@ -66,6 +67,5 @@ def unified_rules(models: DataFrame, nodes: DataFrame, steps: DataFrame) -> Data
 
 
 def accepted(models: DataFrame, nodes: DataFrame, steps: DataFrame) -> DataFrame:
-    """Stored models that pass today's rules; the others are made again."""
-    judged = verdicts(unified_rules(models, nodes, steps), models)
-    return models.join(judged.where("valid").select(*MODEL), MODEL, "left_semi")
+    """Stored models that pass today's rules."""
+    return rules.accepted(models, unified_rules(models, nodes, steps))
