@@ -51,18 +51,6 @@ def _duplicates(refs: Column) -> Column:
     return F.size(refs) != F.size(F.array_distinct(refs))
 
 
-def key_rules(documents: DataFrame, json: str, required: list[str], rule: str = "V1") -> DataFrame:
-    """Missing and extra keys of a JSON object column, one finding per key."""
-    keys = F.json_object_keys(json)
-    want = F.array(*[F.lit(k) for k in required])
-    missing = F.transform(F.array_except(want, keys), lambda k: F.concat(F.lit("missing "), k))
-    extra = F.transform(F.array_except(keys, want), lambda k: F.concat(F.lit("extra "), k))
-    path = [c for c in ("path",) if c in documents.columns]
-    problems = F.when(keys.isNull(), F.array(F.lit("not an object"))).otherwise(F.concat(missing, extra))
-    rows = documents.select(*MODEL, *path, F.explode(problems).alias("_d"))
-    return findings(rows, rule, F.col("_d"))
-
-
 # ---- shape of objective nodes (V2 - V6) ------------------------------------------------------
 
 

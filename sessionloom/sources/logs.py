@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from sessionloom import schemas
 from sessionloom.functions.text import filled, text_or_null
 from sessionloom.functions.timefn import coerce_epoch
+from sessionloom.operators import keyset
 from sessionloom.operators.resume import last_wins
 
 SESSION = "session_id"
@@ -102,9 +103,15 @@ def list_screenshots(spark: SparkSession, folder: str) -> DataFrame:
     return files.select("path").withColumn(SESSION, F.element_at(F.split("path", "/"), -3))
 
 
-def read_trajectory(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    """Typed action rows; ``value`` is kept so that unknown fields can be reported (rule V1)."""
+def read_trajectory(spark: SparkSession, paths: str | list[str], strict: bool = True) -> DataFrame:
+    """Typed action rows. Strict: a row with an unknown field, or without id or action, fails the read and names its place.
+
+    Otherwise ``value`` tells what the row held, for `keyset.key_findings`.
+    """
     objects = json_objects(read_lines(spark, paths))[0]
+    if strict:
+        where = F.concat(F.col("file"), F.lit(" at "), F.concat_ws("+", F.col("split_start").cast("string"), F.col("split_row").cast("string")))
+        objects = keyset.strict(objects, keyset.TRAJECTORY, where)
     return objects.withColumn("_o", F.from_json("value", schemas.TRAJECTORY)).select("*", "_o.*").drop("_o")
 
 

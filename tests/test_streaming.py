@@ -4,6 +4,8 @@ import json
 import os
 import tempfile
 
+import pytest
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import functions as F
 
 from sessionloom.operators import consolidate
@@ -100,3 +102,76 @@ def test_late_rows_go_to_their_own_table(spark):
     drain()
     assert sorted(r.ts for r in spark.read.parquet(f"{path}/main/rows").collect()) == [1000.0, 1500.0, 2000.0, 2100.0]
     assert [r.ts for r in spark.read.parquet(f"{path}/late").collect()] == [1300.0]
+
+
+def _drain(spark, path, sink, name="cp", per_trigger=1):
+    stream = ingest.read_log(spark, f"{path}/in", per_trigger)
+    query = stream.writeStream.foreachBatch(sink).option("checkpointLocation", f"{path}/{name}").trigger(availableNow=True).start()
+    query.awaitTermination(120)
+
+
+def _put(path, name, rows):
+    os.makedirs(f"{path}/in", exist_ok=True)
+    with open(f"{path}/in/{name}.json", "w") as handle:
+        handle.writelines(json.dumps({"session_id": s, "content": c, "ts": t, "line_no": n}) + "\n" for n, (s, c, t) in enumerate(rows))
+
+
+def test_enrichment_stopped_in_mid_batch_restarts(spark):
+    path = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    rows = {f"f{i}": [("s", f"c{i * 4 + j}", 1000.0 + i) for j in range(6)] for i in range(4)}  # files overlap by two keys
+    for i, (name, part) in enumerate(rows.items()):
+        _put(path, name, part)
+        os.utime(f"{path}/in/{name}.json", (10_000 + i, 10_000 + i))
+    asked = []
+
+    def ask(open_rows):
+        asked.extend(r.content for r in open_rows.select("content").collect())
+        failed = F.col("content") == "c5"
+        return open_rows.select("session_id", "content", F.when(failed, "error").otherwise("success").alias("status"), F.concat(F.lit("seen "), "content").alias("goal"))
+
+    whole = ingest.enrich_once(f"{path}/one_go", ["session_id", "content"], ask)
+    _drain(spark, path, whole, "cp_one_go")
+    once = sorted(asked)
+    asked.clear()
+    sink = ingest.enrich_once(f"{path}/stopped", ["session_id", "content"], ask)
+    stops = [2, 3]
+
+    def stopping(batch, batch_id):
+        sink(batch, batch_id)
+        if batch_id in stops:
+            stops.remove(batch_id)
+            raise RuntimeError("stopped after the write, before the commit")
+
+    for _ in range(2):
+        with pytest.raises(StreamingQueryException):
+            _drain(spark, path, stopping)
+    _drain(spark, path, stopping)
+    _drain(spark, path, stopping)
+    read = lambda name: sorted((r.content, r.status, r.goal, r.batch_id) for r in spark.read.parquet(f"{path}/{name}").collect())
+    assert read("stopped") == read("one_go")
+    assert [c for c, *_ in read("stopped")].count("c4") == 1 and [c for c, *_ in read("stopped")].count("c5") == 2
+    assert len(once) == len(read("one_go")) and len(asked) > len(once)  # the two stopped batches were asked again
+
+
+def test_repeats_inside_and_outside_the_watermark(spark):
+    path = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    files = [[("s", "a", 1000.0), ("s", "a", 1001.0), ("s", "b", 1500.0)], [("s", "a", 1400.0), ("t", "a", 1600.0)], [("s", "c", 2200.0)], [("s", "a", 2300.0), ("s", "b", 2300.0), ("s", "c", 2301.0)]]
+    sink = ingest.split_repeats(f"{path}/main", f"{path}/again", ["session_id", "content"], 600.0)
+    state = {"stopped": False}
+
+    def stopping(batch, batch_id):
+        sink(batch, batch_id)
+        if batch_id == 1 and not state["stopped"]:
+            state["stopped"] = True
+            raise RuntimeError("stopped")
+
+    for i, rows in enumerate(files):
+        _put(path, f"f{i}", rows)
+        if i == 1:
+            with pytest.raises(StreamingQueryException):
+                _drain(spark, path, stopping)
+        _drain(spark, path, stopping)
+    read = lambda p: sorted((r.session_id, r.content, r.ts) for r in spark.read.parquet(p).collect())
+    # By 2300 the first a (1000) and b (1500) lie more than 600 s before 2200 and are forgotten, c isn't.
+    assert read(f"{path}/again") == [("s", "a", 1001.0), ("s", "a", 1400.0), ("s", "c", 2301.0)]
+    assert read(f"{path}/main/rows") == [("s", "a", 1000.0), ("s", "a", 2300.0), ("s", "b", 1500.0), ("s", "b", 2300.0), ("s", "c", 2200.0), ("t", "a", 1600.0)]
