@@ -37,6 +37,25 @@ def normalize_boxes(df: DataFrame, raw: Column, width: int, height: int, name: s
     return df.withColumn(name, F.when(usable, box)).drop(*[f"_{c}" for c in corners], "_sx", "_sy", "_left", "_right", "_top", "_bottom")
 
 
+def layout_items(answers: DataFrame, width: int, height: int) -> DataFrame:
+    """Items of a layout recogniser's answers: index, label, box, content, native_label; items that are no objects or have no usable box are left out.
+
+    answers: any columns and `value`, a JSON object with the list parsed_content. Content that is no text stays as JSON; anything but text is an image.
+    """
+    rest = [c for c in answers.columns if c != "value"]
+    items = F.try_variant_get(F.try_parse_json("value"), "$.parsed_content", "array<variant>")
+    rows = answers.select(*rest, F.posexplode(items).alias("index", "_v")).where(F.schema_of_variant("_v").startswith("OBJECT"))
+    part = lambda name, kind: F.try_variant_get("_v", f"$.{name}", kind)
+    content = part("content", "variant")
+    kind = F.schema_of_variant(content)
+    native = F.coalesce(part("type", "string"), F.lit("unknown"))
+    rows = rows.withColumns({
+        "native_label": native, "label": F.when(native == "text", "text").otherwise("image"), "_raw": geometry.box_from_json(F.to_json(part("bbox", "variant"))),
+        "content": F.when(kind == "VOID", F.lit(None)).when(kind == "STRING", part("content", "string")).otherwise(F.to_json(content)),
+    })
+    return normalize_boxes(rows, F.col("_raw"), width, height).where(F.col("box").isNotNull()).drop("_v", "_raw")
+
+
 def smallest_box(points: DataFrame, candidates: DataFrame, key: str, width: int, height: int) -> DataFrame:
     """Each point with the smallest sensible box of its image that contains it, or null.
 

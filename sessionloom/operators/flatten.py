@@ -99,6 +99,37 @@ def body_expressions(documents: DataFrame) -> DataFrame:
     return _walk(documents, EXPRESSIONS, rows_of)
 
 
+STEPS = "session_id string, root_id string, node_id string, places array<int>, label string, is_step boolean"
+
+
+def _step_rows(head: tuple, node: dict) -> Iterator[tuple]:
+    stack = [(node.get("body"), [])]
+    while stack:
+        body, above = stack.pop()
+        if not isinstance(body, dict):
+            continue
+        steps = [s for s in body.get("steps") or [] if isinstance(s, dict)] if isinstance(body.get("steps"), list) else []
+        for i, step in enumerate(steps, 1):
+            yield (*head, node.get("id"), [*above, i], str(step.get("name") or step.get("operator") or f"step {i}").strip(), True)
+            stack.append((step.get("body"), [*above, i]))
+        if not steps and body.get("operator"):
+            yield (*head, node.get("id"), [*above, 1], str(body["operator"]).strip(), False)
+
+
+def body_steps(documents: DataFrame) -> DataFrame:
+    """Steps of the bodies of all procedure nodes at any depth, with their places from the outside in.
+
+    A body without steps shows its operator (not a step).
+    """
+
+    def rows_of(head, document):
+        for node in document.get("procedure_nodes") or []:
+            if isinstance(node, dict):
+                yield from _step_rows(head, node)
+
+    return _walk(documents, STEPS, rows_of)
+
+
 def _usage_objects(value) -> Iterator[dict]:
     stack = [value]
     while stack:

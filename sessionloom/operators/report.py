@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sessionloom.functions import text
+from sessionloom.operators import trees
 from sessionloom.operators.trees import MODEL
 
 
@@ -68,6 +69,50 @@ def procedure_table(nodes: DataFrame) -> DataFrame:
     return nodes.select(*MODEL, F.col("node_id").alias("sort_key"), table_line(cells).alias("line"))
 
 
+def objective_lines(nodes: DataFrame) -> DataFrame:
+    """Report of an objective tree in reading order: a line per node, and below it summary, deliverables, criteria and outcome where there are any.
+
+    nodes: path, node_id, depth, objective, summary, refs, deliverables, success_criteria, observed_outcome. The places in the path, padded, sort as the tree
+    reads; the line's own number comes last.
+    """
+    indent = F.repeat(F.lit("  "), F.col("depth"))
+    more = lambda word, cell: F.when(~cell.isin("", "-"), F.concat(indent, F.lit(f"  - {word}"), cell))
+    name = F.coalesce(text.text_or_null(F.col("node_id")), F.lit("?"))
+    lines = F.array(
+        F.concat(indent, F.lit("- **"), name, F.lit("** "), text.or_empty(F.col("objective")), F.lit(" _("), refs_cell(F.col("refs")), F.lit(")_")),
+        more("", F.trim(text.or_empty(F.col("summary")))), more("Deliverables: ", deliverables_cell(F.col("deliverables"))), more("Success: ", criteria_cell(F.col("success_criteria"))),
+        more("Observed outcome: ", outcome_cell(F.col("observed_outcome"))),
+    )
+    rows = nodes.select(*MODEL, path_key(F.col("path")).alias("_key"), F.posexplode(lines).alias("_n", "line")).where(F.col("line").isNotNull())
+    return rows.select(*MODEL, F.concat_ws(":", "_key", F.col("_n").cast("string")).alias("sort_key"), "line")
+
+
+def path_key(path: Column) -> Column:
+    """Places along a path, padded, so that keys sort as the tree reads; the root's is empty."""
+    return F.array_join(F.transform(F.regexp_extract_all(path, F.lit(r"\[(\d+)\]"), F.lit(1)), lambda n: F.lpad(n, 8, "0")), ".")
+
+
+def leaf_table(nodes: DataFrame) -> DataFrame:
+    """Table of the leaf objectives, in reading order below its two heading lines."""
+    leaves = trees.leaves(nodes)
+    cells = [
+        F.coalesce(text.text_or_null(F.col("node_id")), F.lit("?")), refs_cell(F.col("refs")), F.col("objective"), deliverables_cell(F.col("deliverables")),
+        criteria_cell(F.col("success_criteria")), outcome_cell(F.col("observed_outcome")), F.col("summary"),
+    ]
+    heads = ["ID", "Local objectives", "Objective", "Deliverables", "Success criteria", "Observed outcome", "Evidence summary"]
+    top = F.array(F.struct(F.lit("0").alias("k"), table_line([F.lit(h) for h in heads]).alias("l")), F.struct(F.lit("1").alias("k"), F.lit("|" + " --- |" * len(heads)).alias("l")))
+    above = leaves.select(*MODEL).distinct().select("*", F.explode(top).alias("_t")).select(*MODEL, F.col("_t.k").alias("sort_key"), F.col("_t.l").alias("line"))
+    return above.unionByName(leaves.select(*MODEL, F.concat(F.lit("2:"), path_key(F.col("path"))).alias("sort_key"), table_line(cells).alias("line")))
+
+
+def body_lines(steps: DataFrame) -> DataFrame:
+    """Numbered steps of a body, steps of nested bodies indented below their own. steps: `flatten.body_steps`."""
+    places = F.transform("places", lambda n: F.lpad(n.cast("string"), 8, "0"))
+    number = F.when(F.col("is_step"), F.concat(F.element_at("places", -1).cast("string"), F.lit(". "))).otherwise(F.lit("- "))
+    line = F.concat(F.repeat(F.lit("  "), F.size("places") - 1), number, F.col("label"))
+    return steps.select(*MODEL, "node_id", F.array_join(places, ".").alias("sort_key"), line.alias("line"))
+
+
 def procedure_flow(expressions: DataFrame, nodes: DataFrame) -> DataFrame:
     """Numbered flow of the root's body: each node reference with the name and operator of its node.
 

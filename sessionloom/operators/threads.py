@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sessionloom.functions import text
+from sessionloom.operators.profiles import first_distinct
 from sessionloom.operators.segments import first_seen, top_ranked
 from sessionloom.operators.sequence import islands, order_sessions
 
@@ -126,6 +129,40 @@ def roll_up(leaves: DataFrame, assigned: DataFrame) -> DataFrame:
     return base.withColumns({c: F.coalesce(c, empty) for c in ("apps_used", "entities", "sample_leaf_objectives")})
 
 
+# How much of a thread its summary shows.
+SHOWN = {"anchor": 5, "apps_used": 4, "entities": 6, "ocr_texts": 3}
+SCREEN_CHARS = 240
+
+
+def root_summaries(leaves: DataFrame, assigned: DataFrame) -> DataFrame:
+    """One bounded row per thread for a prompt: span, counts, first applications, entities, anchors, screen texts, samples, first and last wording.
+
+    Every list is the first few distinct values in leaf order (`profiles.first_distinct`), so no thread is collected; its episodes are rows of `episodes`.
+    leaves: leaf_idx, objective, procedure_summary, apps_used, entities, ocr_texts.
+    """
+    keys = [SESSION, ROOT]
+    own = assigned.where(F.col(ROOT) != "").select(*keys, "leaf_idx")
+    rows = own.join(leaves, [SESSION, "leaf_idx"]).withColumn("anchor", text.infer_anchors(F.col("objective"), F.col("procedure_summary"), F.col("entities"), F.col("ocr_texts")))
+    told = F.coalesce(text.text_or_null(F.col("procedure_summary")), F.col("objective"))
+    first = F.concat(text.or_empty(F.col("objective")), F.lit(". "), text.or_empty(told))
+    out = rows.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("leaf_count"), F.min("leaf_idx").alias("first_leaf_idx"), F.max("leaf_idx").alias("last_leaf_idx"),
+        text.limit_sentences(F.min_by(first, "leaf_idx"), 2, 320).alias("summary"), text.limit_sentences(F.max_by(told, "leaf_idx"), 1, 180).alias("last_update"),
+    )
+    spread = [rows.select(*keys, "leaf_idx", F.lit(c).alias("_list"), F.posexplode(c).alias("_p", "_value")) for c in SHOWN]
+    values = reduce(DataFrame.unionByName, spread).where(text.filled(F.col("_value")))
+    most = max(SHOWN.values())
+    firsts = first_distinct(values, [*keys, "_list"], "_value", F.struct("leaf_idx", "_p"), most, "_values")
+    packed = firsts.groupBy(*keys).agg(*(F.max(F.when(F.col("_list") == c, F.slice("_values", 1, k))).alias(c) for c, k in SHOWN.items()))
+    samples = sample_texts(rows, keys, F.col("objective"), "leaf_idx", 8).withColumnRenamed("samples", "sample_leaf_objectives")
+    count = episodes(assigned).groupBy(*keys).agg(F.count(F.lit(1)).alias("n_episodes"))
+    for part in (packed, samples, count):
+        out = out.join(part, keys, "left")
+    empty = F.array().cast("array<string>")
+    out = out.withColumns({c: F.coalesce(c, empty) for c in (*SHOWN, "sample_leaf_objectives")})
+    return out.withColumn("ocr_texts", F.transform("ocr_texts", lambda t: text.truncate(t, SCREEN_CHARS)))
+
+
 def outputs(leaves: DataFrame, assigned: DataFrame) -> DataFrame:
     """Thread output counts: activities, distinct semantic actions, distinct raw actions, events."""
     keys = [SESSION, ROOT]

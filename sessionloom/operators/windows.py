@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sessionloom.operators.alignment import route
+
 SESSION = "session_id"
 
 
@@ -72,6 +74,28 @@ def expected_merge_batches(total: Column, size: int, overlap: int, skip_single:
     return F.when(total <= 1, F.lit(0)).otherwise(count).cast("bigint")
 
 
+def preflight(rows: DataFrame, threads: DataFrame, sizes: dict[str, tuple[int, int]]) -> DataFrame:
+    """What a run over each session would ask for, without a call: one row per session.
+
+    rows: session_id, md_results, before_missing, cached, one per action; threads: session_id, n_activities, doc_bytes, one per task thread. sizes: (batch, overlap) of
+    backward and merge. Segments aren't known before a run, so merge batches are an upper bound: one segment an action.
+    """
+    screen = F.length(F.trim(F.coalesce("md_results", F.lit("")))) > 0
+    counted = rows.groupBy(SESSION).agg(
+        F.count(F.lit(1)).alias("actions"), F.count_if(screen).alias("enrichments"), F.count_if(screen & F.col("cached")).alias("enrichments_cached"),
+        F.count_if(~F.col("before_missing")).alias("grounding_requests"),
+    )
+    n = F.col("actions")
+    counted = counted.withColumns({
+        "backward_windows": window_total(n, *sizes["backward"]), "most_merge_batches": expected_merge_batches(n, *sizes["merge"], skip_single=False),
+    })
+    routed = route(threads, inclusive=True).groupBy(SESSION).agg(
+        F.count(F.lit(1)).alias("threads"), F.count_if(F.col("route") == "direct").alias("direct_calls"), F.count_if(F.col("route") == "agent").alias("agent_runs")
+    )
+    out = counted.join(routed, SESSION, "full")
+    return out.select(SESSION, *(F.coalesce(c, F.lit(0)).cast("bigint").alias(c) for c in out.columns if c != SESSION))
+
+
 def prior_context(segments: DataFrame, batch_size: int, keep: int, index: str = "seg_idx", label: str = "label") -> DataFrame:
     """For every forward batch, the text of up to ``keep`` segments before it (older first)."""
     rows = segments.withColumn("_batch", F.floor(F.col(index) / F.lit(batch_size)))

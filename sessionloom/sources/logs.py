@@ -228,6 +228,24 @@ def complete_evidence(activities: DataFrame) -> DataFrame:
 # ---- files of threads and models -------------------------------------------------------------
 
 
+def resolve_inputs(sessions: DataFrame, listing: DataFrame, names: list[str]) -> DataFrame:
+    """The first of several file names that each session's folder has: session_id, path, name, found.
+
+    A session without any of them gets the first name in its own folder and found = false. An absolute first name (with a slash in front or a scheme) is looked up as it
+    is. sessions: session_id, folder. listing: path, without contents.
+    """
+    turns = F.array(*(F.struct(F.lit(i).alias("turn"), F.lit(n).alias("name")) for i, n in enumerate(names)))
+    wanted = sessions.select(SESSION, "folder", F.explode(turns).alias("_w")).select(SESSION, "_w.turn", "_w.name", in_folder(F.col("folder"), F.col("_w.name")).alias("path"))
+    there = wanted.join(listing.select("path").distinct().withColumn("_there", F.lit(True)), "path", "left")
+    best = there.groupBy(SESSION).agg(F.min(F.struct(F.col("_there").isNull().alias("absent"), "turn", "path", "name")).alias("_b"))
+    return best.select(SESSION, "_b.path", "_b.name", (~F.col("_b.absent")).alias("found"))
+
+
+def in_folder(folder: Column, name: Column) -> Column:
+    """A file of a folder, unless the name is absolute."""
+    return F.when(name.startswith("/") | name.contains("://"), name).otherwise(F.concat(F.regexp_replace(folder, "/+$", ""), F.lit("/"), name))
+
+
 def manifest_inputs(manifests: DataFrame, listing: DataFrame) -> DataFrame:
     """Thread files named by the session's manifest; sessions without one use every plain document listed.
 
