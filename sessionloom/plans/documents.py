@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from sessionloom.operators import flatten, normalize, online, reassign, report, rules, threads, trees
 from sessionloom.plans import standins
-from sessionloom.plans.base import query, table
+from sessionloom.plans.base import ORACLES, query, table
 from sessionloom.plans.models import TREE_SQL, source_activities, tree_nodes
 from sessionloom.plans.standins import ACTIONS_SQL, with_ctes
 from sessionloom.plans.thread_queries import assigned, leaves
@@ -281,7 +281,12 @@ def merged_output(spark: SparkSession, folder: str) -> DataFrame:
     return sinks.merged_output(results, unique_roots=True)
 
 
-@query("root_profiles")
+# White space is one space in the comparison text, and a list without members leaves its label alone.
+PROFILE_SQL = """SELECT session_id, canonical_root_id, leaf_count, trim(regexp_replace(lower(concat('label: objective: deliverable: success_criteria: summary: last_update: anchor: apps_used: ', replace(apps, '|', ', '),
+  ' entities: ', replace(entities, '|', ', '), ' sample_leaf_objectives: ', replace(samples, '|', ' | '))), ' +', ' ', 'g')) AS text, lower(apps) AS apps, lower(entities) AS entities FROM ({rollup})"""
+
+
+@query("root_profiles", PROFILE_SQL.format(rollup=ORACLES["thread_rollup"]))
 def root_profiles(spark: SparkSession, folder: str) -> DataFrame:
     """Comparison text of every finished thread."""
     rows = cut_lineage(leaves(spark, folder))
