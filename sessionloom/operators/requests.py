@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sessionloom.functions import text
+from sessionloom.operators.sequence import order_sessions
 
 # The messages of rejected requests and the context of a session's last batch.
 NO_ACTION = "activity entry is missing action"
@@ -62,8 +63,10 @@ def following_context(batches: DataFrame, segments: DataFrame, most: int = 8, se
     marks = batches.select(session, F.col("end").alias("at"), "batch", F.lit(None).cast("long").alias("seg")).unionByName(
         segments.select(session, F.col("start_action_idx").alias("at"), F.lit(None).cast("long").alias("batch"), F.col("seg_idx").cast("long").alias("seg"))
     )
-    ahead = Window.partitionBy(session).orderBy("at").rangeBetween(Window.currentRow, Window.unboundedFollowing)
-    first = marks.withColumn("next", F.min("seg").over(ahead)).where(F.col("batch").isNotNull()).select(session, "batch", "next")
+    # Read from the end: at one place, segments come before the batch that they follow.
+    placed = marks.withColumns({"_back": -F.col("at"), "_kind": F.col("batch").isNotNull().cast("int")})
+    so = order_sessions(placed, session, ("_back", "_kind")).running(next=("min", F.col("seg")))
+    first = so.df.where(F.col("batch").isNotNull()).select(session, "batch", "next")
     wanted = first.where(F.col("next").isNotNull()).select(session, "batch", F.explode(F.sequence(F.col("next"), F.col("next") + most - 1)).alias("seg_idx"))
     found = wanted.join(segments.select(session, F.col("seg_idx").cast("long").alias("seg_idx"), "label"), [session, "seg_idx"])
     lines = found.groupBy(session, "batch").agg(F.sort_array(F.collect_list(F.struct("seg_idx", "label"))).alias("rows"))

@@ -17,7 +17,7 @@ def test_entry(spark):
     assert entry(spark).limit(1).count() == 1
 
 
-SLICED = ["trace_run_merge", "trace_double_click", "trace_state_repair", "merge_labels", "thread_episodes", "rule_seq_order", "press_release"]
+SLICED = ["trace_run_merge", "trace_double_click", "trace_state_repair", "merge_labels", "thread_episodes", "rule_seq_order", "press_release", "backward_context", "trajectory"]
 
 
 @pytest.mark.parametrize("name", SLICED)
