@@ -26,6 +26,14 @@ OBJECTIVE_NODE: Schema = {
     **dict.fromkeys(["id", "objective", "summary", "evidence_refs", "subgoal_segments", "decomposition?"]),
     "deliverables": [DELIVERABLE], "success_criteria": [CRITERION], "observed_outcome": OUTCOME,
 }
+UNIFIED_STEP: Schema = dict.fromkeys(["name", "activity_refs", "description?"])
+UNIFIED_PROCEDURE: Schema = {
+    **dict.fromkeys(["operator", "name", "description?", "condition?", "condition_grounding?", "bindings?", "evidence_summary?"]), "body": [UNIFIED_STEP],
+}
+UNIFIED_NODE: Schema = {
+    **dict.fromkeys(["id", "objective", "evidence_refs", "activity_refs", "decomposition?", "summary?"]),
+    "deliverables": [DELIVERABLE], "success_criteria": [CRITERION], "observed_outcome": OUTCOME, "procedure": UNIFIED_PROCEDURE,
+}
 FOR_BINDINGS: Schema = dict.fromkeys(["iteration_variable", "collection"])
 WHILE_GROUNDING: Schema = dict.fromkeys(["predicate", "verifier", "observed_status", "evidence_refs"])
 
@@ -75,6 +83,16 @@ def key_findings(documents: DataFrame, schema: Schema, rule: str = "V1", value:
     return findings(rows.select(*MODEL, place.alias("path"), F.explode(problems).alias("_d")), rule, F.col("_d"))
 
 
+def type_findings(documents: DataFrame, types: dict[str, tuple[str, ...]], rule: str, value: str = "value") -> DataFrame:
+    """Values of another type than allowed, by their place in the document; absent ones pass. types: place to names of variant types (STRING, VOID, BOOLEAN ...)."""
+    parsed = documents.withColumn("_v", F.try_parse_json(value))
+    kind = lambda at: F.schema_of_variant(F.try_variant_get("_v", f"$.{at}", "variant"))
+    wrong = F.filter(F.array(*(F.when(~kind(at).isin(*allowed), F.lit(at)) for at, allowed in types.items())), lambda x: x.isNotNull())
+    path = F.col("path") if "path" in documents.columns else F.lit("$")
+    rows = parsed.select(*MODEL, path.alias("path"), F.explode(wrong).alias("_d"))
+    return findings(rows, rule, F.concat(F.lit("type of "), "_d"))
+
+
 def strict(rows: DataFrame, schema: Schema, where: Column, value: str = "value") -> DataFrame:
     """The rows as they are; the read fails at the first one with a missing or an extra key, and names its place (`where`)."""
     checked = rows.withColumn("_o", _places(F.try_parse_json(value), schema, F.lit("$")))

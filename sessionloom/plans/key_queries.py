@@ -74,3 +74,32 @@ def rule_operator_keys(spark: SparkSession, folder: str) -> DataFrame:
     )
     loops = keyset.key_findings(part(0, "b", "bindings"), keyset.FOR_BINDINGS, "V26")
     return loops.unionByName(keyset.key_findings(part(1, "g", "condition_grounding"), keyset.WHILE_GROUNDING, "V29")).select(FINDING)
+
+
+@query(
+    "rule_unified_keys",
+    """WITH n AS (SELECT o_orderkey AS k, CAST(o_orderkey AS VARCHAR) AS root_id FROM orders)
+SELECT root_id, path, rule_id, 'error' AS severity, detail FROM (
+  SELECT root_id, '$' AS path, 'V42' AS rule_id, 'type of summary' AS detail FROM n WHERE k % 5 IN (1, 2)
+  UNION ALL SELECT root_id, '$', 'V41', 'extra label' FROM n WHERE k % 7 = 3 UNION ALL SELECT root_id, '$', 'V41', 'missing procedure' FROM n WHERE k % 11 = 5
+  UNION ALL SELECT root_id, '$.procedure.body[0]', 'V41', 'extra operator' FROM n WHERE k % 10 = 7 AND k % 11 <> 5
+  UNION ALL SELECT root_id, '$.procedure', 'V41', 'extra steps' FROM n WHERE k % 6 = 1 AND k % 11 <> 5 UNION ALL SELECT root_id, '$.procedure', 'V41', 'missing name' FROM n WHERE k % 4 = 3 AND k % 11 <> 5)""",
+)
+def rule_unified_keys(spark: SparkSession, folder: str) -> DataFrame:
+    """Nodes of unified models, their procedures and body steps: keys, and a summary that is text, null or absent."""
+    k = F.col("o_orderkey")
+    ref = F.array(F.lit("e1"))
+    item = F.struct(F.lit("file").alias("kind"), F.lit("t").alias("target"), F.lit("s").alias("expected_state"), ref.alias("evidence_refs"))
+    criterion = F.struct(F.lit("p").alias("predicate"), F.lit("v").alias("verifier"), ref.alias("evidence_refs"), F.lit(0.5).alias("confidence"))
+    outcome = F.struct(F.lit("achieved").alias("status"), F.lit("d").alias("description"), ref.alias("evidence_refs"))
+    procedure = F.struct(F.lit("SEQ").alias("operator"), F.when(k % 4 != 3, "n").alias("name"), F.array(F.struct(F.lit("b").alias("name"), ref.alias("activity_refs"), F.when(k % 10 == 7, "SEQ").alias("operator"))).alias("body"), F.when(k % 6 == 1, ref).alias("steps"), F.when(k % 3 == 0, "c").alias("condition"))
+    node = F.struct(
+        F.lit("n").alias("id"), F.lit("o").alias("objective"), ref.alias("evidence_refs"), ref.alias("activity_refs"), F.array(item).alias("deliverables"), F.array(criterion).alias("success_criteria"),
+        outcome.alias("observed_outcome"), F.when(k % 11 != 5, procedure).alias("procedure"), F.when(k % 7 == 3, 1).alias("label"),
+    )
+    summary = F.when(k % 5 == 0, '"text"').when(k % 5 == 1, "7").when(k % 5 == 2, "[1]").when(k % 5 == 3, "null")
+    body = F.to_json(node)
+    text = F.coalesce(F.concat(F.lit('{"summary":'), summary, F.lit(","), F.substr(body, F.lit(2))), body)
+    rows = table(spark, folder, "orders").select(F.lit("s").alias("session_id"), k.cast("string").alias("root_id"), text.alias("value"))
+    found = keyset.key_findings(rows, keyset.UNIFIED_NODE, "V41").unionByName(keyset.type_findings(rows, {"summary": ("STRING", "VOID")}, "V42"))
+    return found.select(FINDING)
