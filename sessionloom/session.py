@@ -41,12 +41,23 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return context.getCheckpointDir()
 
 
+def stage_dir(spark: SparkSession) -> str:
+    """Where this application writes its stage tables."""
+    return f"{checkpoint_dir(spark).rstrip('/')}/stages/{spark.sparkContext.applicationId}"
+
+
+def remove_stages(spark: SparkSession) -> None:
+    """Delete this application's stage tables. Results that were not written anywhere read from them, so call it when the last one is."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(stage_dir(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Write the rows as a table in the shared folder and go on from there.
 
-    Computed once, columnar, and readable after any executor is lost.
+    Computed once, columnar, and readable after any executor is lost. `remove_stages` deletes the tables.
     """
-    path = f"{checkpoint_dir(df.sparkSession).rstrip('/')}/stages/{uuid.uuid4().hex}"
+    path = f"{stage_dir(df.sparkSession)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
