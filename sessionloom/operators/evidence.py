@@ -64,6 +64,14 @@ def known_ids(owners: DataFrame, references: DataFrame | None = None) -> DataFra
     return known.select(*MODEL, F.explode(spread).alias("evidence_id")).distinct()
 
 
+def source_ids(sources: DataFrame) -> DataFrame:
+    """(model, evidence id): everything a source names under known keys and reference lists, at any depth; ranges count with all their members."""
+    fields = [f for f in sources.schema.fields if f.name not in MODEL]
+    named = sources.select(*MODEL, F.explode(nested_ids(fields, F.col, (*LIST_KEYS, *REFERENCE_KEYS))).alias("_e"))
+    rows = named.select(*MODEL, text.text_or_null(F.col("_e")).alias("_r")).where(F.col("_r").isNotNull())
+    return rows.select(*MODEL, F.explode(F.coalesce(ids.expand_range(F.col("_r")), F.array("_r"))).alias("evidence_id")).distinct()
+
+
 def semantic_index(activities: DataFrame) -> DataFrame:
     """(activity, semantic action number): from the listed ids, else from the index range."""
     parsed = F.filter(

@@ -46,6 +46,61 @@ def action_payload(status: Column, goal: Column, app: Column, content: Column, a
     ))
 
 
+def _filled(c: Column) -> Column:
+    return F.when(c.isNotNull() & (c != ""), c)
+
+
+def representative_payload(action: Column, goal: Column, app: Column) -> Column:
+    """The few words of one action among others: cut to 140 and 160 characters, empty parts left out."""
+    return F.struct(
+        text.truncate(action, 140).alias("action"), F.when(_filled(goal).isNotNull(), text.truncate(goal, 160)).alias("grounded_immediate_intent"), _filled(app).alias("active_application"),
+    )
+
+
+def merge_payloads(segments: DataFrame, rows: DataFrame, session: str = "session_id") -> DataFrame:
+    """JSON of each segment for a merge prompt, with its first two and last two actions (a short segment shows them twice).
+
+    Only these rows are joined. segments: session, seg_idx, start_action_idx, end_action_idx, label. rows: session, idx, action, goal, active_application.
+    """
+    start, end = F.col("start_action_idx"), F.col("end_action_idx")
+    head = F.sequence(start, F.least(end, start + 1))
+    tail = F.sequence(F.greatest(start, end - 1), end)
+    picked = segments.select(session, "seg_idx", F.posexplode(F.concat(head, tail)).alias("_n", "idx")).join(rows.select(session, "idx", "action", "goal", "active_application"), [session, "idx"])
+    part = representative_payload(F.col("action"), F.col("goal"), F.col("active_application"))
+    shown = picked.groupBy(session, "seg_idx").agg(F.array_sort(F.collect_list(F.struct("_n", part.alias("p")))).alias("_r"))  # at most four
+    out = segments.select(session, "seg_idx", "start_action_idx", "end_action_idx", "label").join(shown, [session, "seg_idx"], "left")
+    payload = F.struct(
+        F.array(start, end).alias("action_range"), F.col("label").alias("semantic_action"), (end - start + 1).alias("event_count"),
+        F.transform("_r", lambda r: r["p"]).alias("representative_actions"),
+    )
+    return out.select(session, "seg_idx", F.to_json(payload).alias("payload"))
+
+
+def leaf_payload(leaf: dict[str, Column]) -> Column:
+    """JSON of one activity for thread discovery: four applications, six entities, three screen texts of 320 characters, states of 120."""
+    return F.to_json(F.struct(
+        leaf["leaf_idx"].alias("leaf_idx"), F.array(leaf["start"], leaf["end"]).alias("node_range"), leaf["objective"].alias("objective"), leaf["procedure_summary"].alias("procedure_summary"),
+        F.slice(leaf["apps_used"], 1, 4).alias("apps_used"), F.slice(leaf["entities"], 1, 6).alias("entities"),
+        F.transform(F.slice(leaf["ocr_texts"], 1, 3), lambda t: text.truncate(t, 320)).alias("ocr_text"), text.truncate(leaf["pre_state"], 120).alias("pre_state"),
+        text.truncate(leaf["post_state"], 120).alias("post_state"), leaf["num_actions"].alias("num_actions"),
+    ))
+
+
+def patch_texts(rows: DataFrame, found: DataFrame, texts: str, keys: list[str], before: str = "before") -> tuple[DataFrame, DataFrame]:
+    """Rows with the screen texts that a later reading found, and per session how many were asked, patched and still missing.
+
+    Only rows of the work list (`missing_texts`) change, and only where a text was found. found: keys and the text.
+    """
+    open_rows = missing_texts(rows, texts, before).select(*keys).withColumn("_open", F.lit(True))
+    new = found.where(F.col(texts).isNotNull() & ~F.trim(F.col(texts)).isin("", "{}", "[]")).select(*keys, F.col(texts).alias("_new")).dropDuplicates(keys)
+    marked = rows.join(open_rows, keys, "left").join(new, keys, "left")
+    hit = F.col("_open").isNotNull() & F.col("_new").isNotNull()
+    counts = marked.where("_open").groupBy(keys[0]).agg(
+        F.count(F.lit(1)).alias("asked"), F.count_if(hit).alias("patched"), F.count_if(~hit).alias("still_missing")
+    )
+    return marked.withColumn(texts, F.when(hit, F.col("_new")).otherwise(F.col(texts))).drop("_open", "_new"), counts
+
+
 def backward_batches(steps: DataFrame, size: int, session: str = "session_id") -> DataFrame:
     """Batches of `size` steps counted from a session's end: batch 0 is the last; the first may be short. steps: session, idx."""
     counted = steps.groupBy(session).agg((F.max("idx") + 1).alias("n"))

@@ -179,6 +179,25 @@ def outputs(leaves: DataFrame, assigned: DataFrame) -> DataFrame:
     return base.join(semantic, keys, "left").join(raw, keys, "left")
 
 
+def output_ids(leaves: DataFrame, assigned: DataFrame) -> DataFrame:
+    """What a thread's output lists, one row per member: kind (activity, semantic, raw, application), id and its place by first appearance.
+
+    A leaf without raw or semantic ids lists its border ids. Places are running counts of first appearances, so no thread is collected.
+    """
+    keys = [SESSION, ROOT]
+    rows = assigned.where(F.col(ROOT) != "").select(*keys, "leaf_idx").join(leaves, [SESSION, "leaf_idx"])
+    border = F.array_distinct(F.filter(F.array("start_action_id", "end_action_id"), text.filled))
+    listed = {
+        "activity": F.array("activity_id"), "semantic": F.col("semantic_action_ids"), "raw": F.when(F.size("raw_action_ids") > 0, F.col("raw_action_ids")).otherwise(border),
+        "application": F.col("apps_used"),
+    }
+    parts = [rows.select(*keys, "leaf_idx", F.lit(kind).alias("kind"), F.posexplode(c).alias("_p", "id")) for kind, c in listed.items()]
+    spread = reduce(DataFrame.unionByName, parts).where(text.filled(F.trim("id")))
+    first = spread.groupBy(*keys, "kind", "id").agg(F.min(F.struct("leaf_idx", "_p")).alias("_at"))
+    placed = first.select(*keys, "kind", "id", F.col("_at.leaf_idx").alias("_leaf"), F.col("_at._p").alias("_p"))
+    return order_sessions(placed, (*keys, "kind"), ("_leaf", "_p", "id")).index("place", start=1).df.drop("_leaf", "_p")
+
+
 def semantic_assignments(leaves: DataFrame, assigned: DataFrame) -> DataFrame:
     """One row per semantic action; short id lists reuse their first id, short texts the objective."""
     rows = leaves.join(assigned.select(SESSION, "leaf_idx", "provisional_root_id", ROOT, "canonical_root_label"), [SESSION, "leaf_idx"])

@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sessionloom.operators import boxes, flatten, report, threads, windows
+from sessionloom.operators import boxes, evidence, flatten, report, requests, threads, windows
 from sessionloom.plans import models, standins
 from sessionloom.plans.base import query, table
 from sessionloom.plans.models import TREE_SQL
-from sessionloom.plans.standins import ACTIONS_SQL, STATES_SQL, STEPS_SQL, with_ctes
+from sessionloom.plans.standins import ACTIONS_SQL, SEGMENTS_SQL, STATES_SQL, STEPS_SQL, with_ctes
 from sessionloom.plans.thread_queries import BASE, EPISODES_SQL, assigned, leaves
 from sessionloom.session import cut_lineage
 from sessionloom.sources import logs
@@ -98,6 +98,77 @@ def root_summaries(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+@query(
+    "thread_output_ids",
+    with_ctes(*BASE)
+    + """, own AS (SELECT * FROM assigned WHERE canonical_root_id <> ''),
+seen AS (SELECT o.session_id, o.canonical_root_id, o.leaf_idx, s.idx, s.app, s.action_id, s.idx - o.start_action_idx AS j FROM own o JOIN steps s ON o.session_id = s.session_id AND s.idx BETWEEN start_action_idx AND end_action_idx),
+ids AS (
+  SELECT session_id, canonical_root_id, 'activity' AS kind, printf('activity_%04d', leaf_idx) AS id, leaf_idx AS pos FROM own UNION ALL SELECT session_id, canonical_root_id, 'raw', action_id, idx FROM seen
+  UNION ALL SELECT session_id, canonical_root_id, 'semantic', action_id, idx FROM seen WHERE j < 3 UNION ALL SELECT session_id, canonical_root_id, 'application', app, idx FROM seen
+),
+firsts AS (SELECT session_id, canonical_root_id, kind, id, min(pos) AS pos FROM ids GROUP BY ALL)
+SELECT session_id, canonical_root_id, kind, id, row_number() OVER (PARTITION BY session_id, canonical_root_id, kind ORDER BY pos) AS place FROM firsts""",
+)
+def thread_output_ids(spark: SparkSession, folder: str) -> DataFrame:
+    rows = cut_lineage(leaves(spark, folder))
+    return threads.output_ids(rows, cut_lineage(assigned(rows))).select(SESSION, ROOT, "kind", "id", "place")
+
+
+# ---- prompts, patches and known ids ----------------------------------------------------------
+
+
+@query(
+    "merge_payloads",
+    with_ctes(ACTIONS_SQL, STATES_SQL, STEPS_SQL, SEGMENTS_SQL)
+    + """, p AS (
+  SELECT g.session_id, g.seg_idx, g.start_action_idx AS a, g.end_action_idx AS b, g.label, s.idx, concat('{"action":"', s.action, '"', CASE WHEN s.k % 3 = 0 THEN concat(',"grounded_immediate_intent":"goal ', s.k, '"') ELSE '' END, ',"active_application":"', s.app, '"}') AS j
+  FROM segments g JOIN steps s ON s.session_id = g.session_id AND s.idx BETWEEN g.start_action_idx AND g.end_action_idx),
+t AS (SELECT *, 0 AS half FROM p WHERE idx <= a + 1 UNION ALL SELECT *, 1 FROM p WHERE idx >= b - 1)
+SELECT session_id, seg_idx, concat('{"action_range":[', a, ',', b, '],"semantic_action":"', label, '","event_count":', b - a + 1, ',"representative_actions":[', string_agg(j, ',' ORDER BY half, idx), ']}') AS payload FROM t GROUP BY session_id, seg_idx, a, b, label""",
+)
+def merge_payloads(spark: SparkSession, folder: str) -> DataFrame:
+    so = standins.steps(spark, folder)
+    goal = F.when(F.col("k") % 3 == 0, F.concat(F.lit("goal "), F.col("k").cast("string")))
+    rows = so.df.select(SESSION, "idx", "action", goal.alias("goal"), F.col("app").alias("active_application"))
+    return requests.merge_payloads(standins.segments(so).df, rows)
+
+
+@query(
+    "patched_texts",
+    with_ctes(ACTIONS_SQL, STATES_SQL, STEPS_SQL)
+    + """, w AS (SELECT session_id, ocr IS NULL AND before IS NOT NULL AS o, line_no % 4 <> 0 AS f FROM steps)
+SELECT session_id, count(*) AS asked, count(*) FILTER (f) AS patched, count(*) FILTER (NOT f) AS still_missing FROM w WHERE o GROUP BY session_id""",
+)
+def patched_texts(spark: SparkSession, folder: str) -> DataFrame:
+    """A later reading finds text for three lines of four; every row is read, only missing ones change."""
+    rows = standins.steps(spark, folder).df.select(SESSION, "line_no", "before", "ocr")
+    found = rows.select(SESSION, "line_no", F.when(F.col("line_no") % 4 != 0, "read").otherwise("{}").alias("ocr"))
+    return requests.patch_texts(rows, found, "ocr", [SESSION, "line_no"])[1]
+
+
+@query(
+    "source_known_ids",
+    """WITH l AS (SELECT l_orderkey AS k, l_partkey AS p, l_suppkey AS s FROM lineitem),
+i AS (
+  SELECT k, printf('activity_%04d', p % 100) AS e FROM l UNION SELECT k, concat('a', s) FROM l UNION SELECT k, printf('activity_%04d', 100 + k % 7 + unnest([0, 1, 2])) FROM l UNION SELECT k, printf('subgoal_segment_%04d', k % 9) FROM l
+)
+SELECT CAST(k AS VARCHAR) AS root_id, e AS evidence_id FROM i""",
+)
+def source_known_ids(spark: SparkSession, folder: str) -> DataFrame:
+    """Sources nested three deep, with reference lists that hold ranges."""
+    k = F.col("l_orderkey")
+    padded = lambda word, n: F.format_string(f"{word}_%04d", n.cast("bigint"))
+    member = F.struct(padded("activity", F.col("l_partkey") % 100).alias("activity_id"), F.struct(F.array(F.concat(F.lit("a"), F.col("l_suppkey").cast("string")), F.lit(" ")).alias("raw_action_ids")).alias("evidence"))
+    packed = table(spark, folder, "lineitem").groupBy("l_orderkey").agg(F.collect_list(member).alias("members"))
+    span = F.concat(padded("activity", 100 + k % 7), F.lit("-"), padded("activity", 102 + k % 7))
+    sources = packed.select(
+        F.lit("s").alias(SESSION), k.cast("string").alias("root_id"), F.struct("members", F.array(span).alias("source_activity_ids")).alias("root_objective"),
+        F.array(padded("subgoal_segment", k % 9)).alias("subgoal_segments"), F.lit("activity_9999").alias("title"),
+    )
+    return evidence.source_ids(sources).select("root_id", "evidence_id")
+
+
 # ---- reports ---------------------------------------------------------------------------------
 
 
