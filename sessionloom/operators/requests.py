@@ -146,11 +146,20 @@ def related_only(trace: DataFrame, related: DataFrame, session: str = "session_i
     return marked.where(F.col("_some").isNull() | F.col("_hit")).drop("_some", "_hit")
 
 
-def thread_results(threads: DataFrame, folder: str) -> DataFrame:
-    """One result row per thread: paths, ok, mode, activities, usage and cost. threads: session_id, root_id, activities, tokens, usd."""
+def thread_results(threads: DataFrame, folder: str, outcomes: DataFrame | None = None) -> DataFrame:
+    """One result row per thread: paths, ok, mode, activities, usage and cost. threads: session_id, root_id, activities, tokens, usd.
+
+    outcomes (session_id, root_id, ok, execution_mode, model) tells how each thread's run ended; a thread without one has not run and isn't ok. Without
+    that table, threads with activities count as run one by one.
+    """
     name = F.concat_ws("/", F.lit(folder), "session_id", "root_id")
-    return threads.select(
-        "session_id", "root_id", F.concat(name, F.lit(".json")).alias("input_file"), F.concat(name, F.lit(".hierarchy.json")).alias("output_file"),
-        (F.col("activities") > 0).alias("ok"), F.lit("per_thread").alias("execution_mode"), F.col("activities").alias("activity_count"),
-        F.col("tokens").alias("total_tokens"), F.round("usd", 8).alias("estimated_usd"),
+    paths = [F.concat(name, F.lit(".json")).alias("input_file"), F.concat(name, F.lit(".hierarchy.json")).alias("output_file")]
+    if outcomes is None:
+        rows, end = threads, [(F.col("activities") > 0).alias("ok"), F.lit("per_thread").alias("execution_mode")]
+    else:
+        told = outcomes.select("session_id", "root_id", F.col("ok").alias("_ok"), F.col("execution_mode").alias("_mode"), F.col("model").alias("_model"))
+        rows = threads.join(told, ["session_id", "root_id"], "left")
+        end = [F.coalesce("_ok", F.lit(False)).alias("ok"), F.col("_mode").alias("execution_mode"), F.col("_model").alias("model")]
+    return rows.select(
+        "session_id", "root_id", *paths, *end, F.col("activities").alias("activity_count"), F.col("tokens").alias("total_tokens"), F.round("usd", 8).alias("estimated_usd")
     )

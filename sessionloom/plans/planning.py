@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sessionloom.operators import boxes, evidence, flatten, report, requests, threads, windows
+from sessionloom.operators import boxes, evidence, flatten, report, requests, segments, threads, windows
+from sessionloom.operators.sequence import order_sessions
 from sessionloom.plans import models, standins
 from sessionloom.plans.base import query, table
 from sessionloom.plans.models import TREE_SQL
@@ -59,6 +60,55 @@ def input_files(spark: SparkSession, folder: str) -> DataFrame:
     return logs.resolve_inputs(sessions, listing, ["grounded.jsonl", "raw.jsonl", "activities.jsonl"])
 
 
+@query(
+    "thread_outcomes",
+    """SELECT CAST(o_custkey AS VARCHAR) AS session_id, CAST(o_orderkey AS VARCHAR) AS root_id, concat('runs/', o_custkey, '/', o_orderkey, '.json') AS input_file, concat('runs/', o_custkey, '/', o_orderkey, '.hierarchy.json') AS output_file,
+  o_orderstatus = 'F' AND o_orderkey % 5 <> 0 AS ok, CASE WHEN o_orderkey % 5 = 0 THEN '' WHEN o_totalprice < 150000 THEN 'direct' ELSE 'agent' END AS execution_mode, CASE WHEN o_orderkey % 5 = 0 THEN '' ELSE concat('m', o_orderkey % 3) END AS model,
+  o_orderkey % 101 AS activity_count, o_orderkey * 10 AS total_tokens FROM orders""",
+)
+def thread_outcomes(spark: SparkSession, folder: str) -> DataFrame:
+    """Result rows of threads whose runs succeeded, failed, or are still to come."""
+    k = F.col("o_orderkey")
+    rows = table(spark, folder, "orders").withColumns({SESSION: F.col("o_custkey").cast("string"), "root_id": k.cast("string")})
+    outcomes = rows.where(k % 5 != 0).select(
+        SESSION, "root_id", (F.col("o_orderstatus") == "F").alias("ok"), F.when(F.col("o_totalprice") < 150000, "direct").otherwise("agent").alias("execution_mode"),
+        F.concat(F.lit("m"), (k % 3).cast("string")).alias("model"),
+    )
+    asked = rows.select(SESSION, "root_id", (k % 101).alias("activities"), (k * 10).alias("tokens"), F.lit(0.0).alias("usd"))
+    out = requests.thread_results(asked, "runs", outcomes).drop("estimated_usd")
+    return out.withColumns({c: F.coalesce(c, F.lit("")) for c in ("execution_mode", "model")})
+
+
+@query(
+    "activity_rehydrate",
+    with_ctes(ACTIONS_SQL, STATES_SQL, STEPS_SQL, SEGMENTS_SQL)
+    + """, a AS (SELECT session_id, seg_idx // 3 AS act_idx, min(seg_idx) AS s, max(seg_idx) AS e, arg_min(k0, seg_idx) AS k0, sum(end_action_idx - start_action_idx + 1) AS n FROM segments GROUP BY ALL),
+bad AS (SELECT session_id FROM a WHERE (k0 % 40 = 13 AND act_idx = 1) OR (k0 % 50 = 7 AND act_idx = 0))
+SELECT session_id, act_idx, CAST(n AS BIGINT) AS event_count FROM a WHERE CAST(session_id AS BIGINT) % 7 <> 0 AND session_id NOT IN (SELECT session_id FROM bad)""",
+)
+def activity_rehydrate(spark: SparkSession, folder: str) -> DataFrame:
+    """Stored activities over semantic actions: borders, ids and fingerprint are judged, and evidence is rebuilt from today's semantic actions."""
+    so = standins.segments(standins.steps(spark, folder))
+    semantic = so.df.withColumn("semantic_action_id", F.format_string("semantic_action_%04d", "seg_idx"))
+    current = standins.totals(semantic).withColumnRenamed("n", "n_rows").join(segments.fingerprint(semantic, ["semantic_action_id", "label", "context"], "seg_idx"), SESSION)
+    stale = F.col(SESSION).cast("bigint") % 7 == 0
+    stored = current.withColumn("input_fingerprint", F.when(stale, "old").otherwise(F.col("input_fingerprint")))
+    act = F.floor(F.col("seg_idx") / 3).alias("act_idx")
+    activities = semantic.groupBy(SESSION, act).agg(
+        F.min("seg_idx").alias("start_idx"), F.max("seg_idx").alias("end_idx"), F.min_by("k0", "seg_idx").alias("k0"),
+        F.min_by("semantic_action_id", "seg_idx").alias("start_id"), F.max_by("semantic_action_id", "seg_idx").alias("end_id"),
+    )
+    k0 = F.col("k0")
+    activities = activities.withColumns({
+        "segment_id": F.format_string("activity_%04d", "act_idx"), "end_idx": F.col("end_idx") + F.when((k0 % 40 == 13) & (F.col("act_idx") == 1), 1).otherwise(0),
+        "start_id": F.when((k0 % 50 == 7) & (F.col("act_idx") == 0), "someone else").otherwise(F.col("start_id")),
+    })
+    judged = segments.cache_verdict(order_sessions(activities, SESSION, "start_idx"), semantic.select(SESSION, "seg_idx", "semantic_action_id"), stored, current, "seg_idx", "semantic_action_id")
+    kept = activities.join(judged.where("reusable").select(SESSION), SESSION, "left_semi")
+    rebuilt = segments.rows_of_segments(kept.select(SESSION, "act_idx", "start_idx", "end_idx"), semantic, "seg_idx")
+    return rebuilt.groupBy(SESSION, "act_idx").agg(F.sum(F.col("end_action_idx") - F.col("start_action_idx") + 1).alias("event_count"))
+
+
 # ---- thread summaries ------------------------------------------------------------------------
 
 FIRSTS_SQL = """
