@@ -130,6 +130,22 @@ def body_steps(documents: DataFrame) -> DataFrame:
     return _walk(documents, STEPS, rows_of)
 
 
+def procedure_nodes(documents: DataFrame) -> DataFrame:
+    """Nodes of procedure models with the parts that their rules look at: one row per node that is an object."""
+    nodes = F.try_variant_get(F.try_parse_json("value"), "$.procedure_nodes", "array<variant>")
+    rows = documents.select("session_id", "root_id", F.posexplode(nodes).alias("ordinal", "_v")).where(F.schema_of_variant("_v").startswith("OBJECT"))
+    get = lambda at, kind="string": F.try_variant_get("_v", f"$.{at}", kind)
+    part = lambda at, fields: F.when(get(at, "variant").isNotNull(), F.struct(*(get(f"{at}.{name}", kind).alias(alias) for name, alias, kind in fields)))
+    bindings = [("iteration_variable", "iteration_variable", "string"), ("collection", "collection", "array<string>")]
+    grounding = [("predicate", "predicate", "string"), ("verifier", "verifier", "string"), ("observed_status", "status", "string"), ("evidence_refs", "evidence_refs", "array<string>")]
+    texts = ("name", "operator", "description", "evidence_summary", "condition")
+    body = F.coalesce(*(get(slot, "variant") for slot in ("body", "steps", "branches")))
+    return rows.select(
+        "session_id", "root_id", "ordinal", get("id").alias("node_id"), *(get(t).alias(t) for t in texts), F.coalesce(get("activity_refs", "array<string>"), F.array().cast("array<string>")).alias("activity_refs"),
+        part("bindings", bindings).alias("bindings"), part("condition_grounding", grounding).alias("grounding"), body.isNotNull().alias("has_body"),
+    )
+
+
 def _usage_objects(value) -> Iterator[dict]:
     stack = [value]
     while stack:

@@ -1,7 +1,8 @@
 """Exactly the keys of a schema, at every depth of a JSON document.
 
 A schema is a nested dictionary: key to None (a value), a dictionary (an object) or a list of one dictionary (objects). Each object of a document that the schema
-names becomes a row with its place and its keys; rules compare these with the keys that the schema has there. Keys ending in ``?`` may be absent.
+names becomes a row with its place and its keys; rules compare these with the keys that the schema has there. Keys ending in ``?`` may be absent; a
+schema with the key ``*`` allows any other key.
 A tree that nests itself is flattened to one document a node first (`flatten.tree_nodes`).
 """
 
@@ -37,15 +38,19 @@ UNIFIED_NODE: Schema = {
 FOR_BINDINGS: Schema = dict.fromkeys(["iteration_variable", "collection"])
 WHILE_GROUNDING: Schema = dict.fromkeys(["predicate", "verifier", "observed_status", "evidence_refs"])
 
+PROCEDURE_NODE: Schema = dict.fromkeys(["id", "name", "operator", "description", "activity_refs", "evidence_summary", "*"])
+PROCEDURE_MODEL: Schema = {**dict.fromkeys(["version", "root_procedure_id"]), "procedure_nodes": [PROCEDURE_NODE]}
+
 _PLACE = "array<struct<place: string, found: array<string>, required: array<string>, allowed: array<string>>>"
 
 
 def _places(value: Column, schema: Schema, place: Column) -> Column:
     """Every object that the schema names, with its keys; null keys mean that something else stands there."""
-    names = {key.rstrip("?"): (part, not key.endswith("?")) for key, part in schema.items()}
+    names = {key.rstrip("?"): (part, not key.endswith("?")) for key, part in schema.items() if key != "*"}
+    found = F.json_object_keys(F.to_json(value))
     own = F.struct(
-        place.alias("place"), F.json_object_keys(F.to_json(value)).alias("found"), F.array(*(F.lit(k) for k, (_, must) in names.items() if must)).cast("array<string>").alias("required"),
-        F.array(*(F.lit(k) for k in names)).cast("array<string>").alias("allowed"),
+        place.alias("place"), found.alias("found"), F.array(*(F.lit(k) for k, (_, must) in names.items() if must)).cast("array<string>").alias("required"),
+        (found if "*" in schema else F.array(*(F.lit(k) for k in names)).cast("array<string>")).alias("allowed"),
     )
     out = F.array(own).cast(_PLACE)
     none = F.array().cast(_PLACE)

@@ -389,8 +389,3 @@ def node_body_rules(nodes: DataFrame, exprs: DataFrame, edges: DataFrame) -> Dat
     body = expression_coverage(exprs).select(*MODEL, F.col("node_id").alias("path"), "activity_id")
     child = own.withColumnRenamed("path", "child_id").join(edges, [*MODEL, "child_id"]).select(*MODEL, F.col("parent_id").alias("path"), "activity_id")
     return two_sided(body.unionByName(child), own, NODE, "activity_id", "V36")
-
-
-def procedure_findings(nodes: DataFrame, exprs: DataFrame, activities: DataFrame) -> DataFrame:
-    """Rules of the nodes and bodies of a procedure model: operators, expressions, known leaves, coverage; graph rules are in `graphs`."""
-    return union_all(operator_rules(nodes), expression_rules(exprs), known_leaf_rules(exprs, activities), inline_operator_rules(exprs))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sessionloom.operators import keyset
+from sessionloom.operators import keyset, procedures
 from sessionloom.plans.base import query, table
 
 FINDING = ["root_id", "path", "rule_id", "severity", "detail"]
@@ -103,3 +103,41 @@ def rule_unified_keys(spark: SparkSession, folder: str) -> DataFrame:
     rows = table(spark, folder, "orders").select(F.lit("s").alias("session_id"), k.cast("string").alias("root_id"), text.alias("value"))
     found = keyset.key_findings(rows, keyset.UNIFIED_NODE, "V41").unionByName(keyset.type_findings(rows, {"summary": ("STRING", "VOID")}, "V42"))
     return found.select(FINDING)
+
+
+@query(
+    "rule_procedure",
+    """WITH m AS (SELECT l_orderkey AS k, CAST(l_orderkey AS VARCHAR) AS root_id, count(*) AS n FROM lineitem GROUP BY l_orderkey), d AS (SELECT * FROM m WHERE k % 19 <> 7)
+SELECT root_id, path, rule_id, 'error' AS severity, detail FROM (
+  SELECT root_id, '$.procedure_nodes[1]' AS path, 'V1' AS rule_id, 'missing evidence_summary' AS detail FROM m WHERE k % 19 = 7 UNION ALL SELECT root_id, 'q', 'V2', 'evidence_summary' FROM m WHERE k % 19 = 7
+  UNION ALL SELECT root_id, 'p', 'V36', concat('missing ', printf('activity_%04d', n)) FROM d WHERE k % 7 = 3 AND n > 1
+  UNION ALL SELECT root_id, concat('p/body.0/steps.', n - 1), 'V46', printf('activity_%04d', n) FROM d WHERE k % 13 = 5 AND n > 1
+  UNION ALL SELECT root_id, '$', 'V24', 'r' FROM d WHERE k % 17 = 6 UNION ALL SELECT root_id, '$', 'V40', 'p' FROM d WHERE k % 17 = 6 UNION ALL SELECT root_id, '$', 'V40', 'q' FROM d WHERE k % 17 = 6 OR k % 11 = 4
+  UNION ALL SELECT root_id, 'q', 'V25', 'PARALLEL' FROM d WHERE k % 5 = 2)""",
+)
+def rule_procedure(spark: SparkSession, folder: str) -> DataFrame:
+    """A procedure model for every order: a leaf for every line and a second node; every rule over the documents, deeper ones only for sound models."""
+    k, n = F.col("l_orderkey"), F.col("n").cast("int")
+    padded = lambda i: F.format_string("activity_%04d", i)
+    rows = table(spark, folder, "lineitem").groupBy("l_orderkey").agg(F.count("*").alias("n"))
+    none = F.lit(None).cast("string")
+    leaf = lambda activity, node: F.struct(activity.alias("activity_id"), node.alias("procedure_node_id"))
+    steps = F.transform(F.sequence(F.lit(1), n), lambda i: leaf(padded(i), none))
+    steps = F.concat(steps, F.when(k % 11 != 4, F.array(leaf(none, F.lit("q")))).otherwise(F.slice(F.array(leaf(none, F.lit("q"))), 1, 0)))
+    last = F.greatest(F.lit(1), n - F.when(k % 7 == 3, 1).otherwise(0))
+    common = [F.lit("d").alias("description")]
+    head = F.struct(
+        F.lit("p").alias("id"), F.lit("all").alias("name"), F.lit("SEQ").alias("operator"), *common, F.array(F.concat(padded(F.lit(1)), F.lit("-"), padded(last))).alias("activity_refs"),
+        F.lit("e").alias("evidence_summary"), F.struct(F.lit("SEQ").alias("operator"), steps.alias("steps")).alias("body"),
+    )
+    first = F.array(padded(F.lit(1)))
+    tail = F.struct(
+        F.lit("q").alias("id"), F.lit("part").alias("name"), F.when(k % 5 == 2, "PARALLEL").otherwise("SEQ").alias("operator"), *common, first.alias("activity_refs"),
+        F.when(k % 19 != 7, "e").alias("evidence_summary"), F.struct(F.lit("SEQ").alias("operator"), F.array(F.struct(F.lit("one").alias("name"), first.alias("activity_refs"))).alias("steps")).alias("body"),
+    )
+    nodes = F.concat(F.lit("["), F.to_json(head), F.lit(","), F.to_json(tail), F.lit("]"))
+    value = F.concat(F.lit('{"version":"1","root_procedure_id":"'), F.when(k % 17 == 6, "r").otherwise("p"), F.lit('","procedure_nodes":'), nodes, F.lit("}"))
+    known = rows.select(k, F.explode(F.sequence(F.lit(0), n - F.when((k % 13 == 5) & (n > 1), 1).otherwise(0))).alias("i")).where("i > 0")
+    known = known.select(F.lit("s").alias("session_id"), k.cast("string").alias("root_id"), padded(F.col("i")).alias("activity_id"))
+    documents = rows.select(F.lit("s").alias("session_id"), k.cast("string").alias("root_id"), value.alias("value"))
+    return procedures.procedure_findings(documents, known).select(FINDING)
