@@ -497,8 +497,8 @@ def rule_known_leaves(spark: SparkSession, folder: str) -> DataFrame:
     sources = table(spark, folder, "orders").where(F.col("o_orderstatus") != "P").select(F.col("o_orderkey").alias("l_orderkey"))
     named = lines.join(sources, "l_orderkey", "left_semi").join(parts, F.col("l_partkey") == F.col("p_partkey"), "left_semi")
     named = named.select("session_id", "root_id", ids.padded("activity_", F.col("l_partkey")).alias("activity_id"))
-    # Every source has an activity of its own that no line names.
-    own = sources.select(F.lit("s").alias("session_id"), F.col("l_orderkey").cast("string").alias("root_id"), F.lit("activity_0000").alias("activity_id"))
+    # Every source has one more activity, which no line names.
+    own = sources.select(F.lit("s").alias("session_id"), F.col("l_orderkey").cast("string").alias("root_id"), F.lit("own").alias("activity_id"))
     return rules.known_leaf_rules(lines, named.unionByName(own)).select(FINDING)
 
 
