@@ -18,7 +18,7 @@ many records share is `salts` keys.
 
 Defined results: a header line that can't be parsed, and all after it up to the next line that can, is one row with `problem` set to header; a
 record shorter than declared keeps what is there and has problem truncated; bytes that can't be unpacked end their file with problem packing. None of
-these drops a whole file. Null urls are written as `unknown:`; white space in urls is percent-encoded, and so is the colon of a url that would be taken for a version record. Null payloads are empty. Repeated rows are records of
+these drops a whole file. Null urls are written as `unknown:`; white space in urls is percent-encoded, and so is the colon of a url that would be taken for a version record. Null payloads are empty. Dates that aren't 4 to 17 digits, nulls too, are written as the epoch. Repeated rows are records of
 their own. Records of equal payloads are ordered by key (nulls last), then identifier. Empty folders and tables give no rows.
 """
 
@@ -277,7 +277,8 @@ def write_arc(captures: DataFrame, folder: str, version: int = 1, per_file: int
     url = F.regexp_replace(url, "^filedesc:", "filedesc%3A")
     plain = lambda c: F.coalesce(F.when(F.col(c) != "", F.regexp_replace(c, r"\s+", "")), F.lit("-"))
     content = F.coalesce("content", F.lit("").cast("binary"))
-    fields = [url, plain("ip"), F.col("date"), plain("mime")]
+    date = F.coalesce(F.when(F.col("date").rlike("^[0-9]{4,17}$"), F.col("date")), F.lit("19700101000000"))
+    fields = [url, plain("ip"), date, plain("mime")]
     if version == 2:
         fields += [F.coalesce(F.col("status").cast("string"), F.lit("-")), F.lit("-"), F.lit("-"), F.lit("0"), F.lit("records")]
     line = F.concat_ws(" ", *fields, F.octet_length(content).cast("string"))

@@ -231,6 +231,20 @@ def test_no_pages(spark, tmp_path):
     assert archives.read_warc(spark, f"{tmp_path}/warc").count() == 0
 
 
+def test_captures_without_fields(spark, tmp_path):
+    """Null and empty fields still make lines that parse."""
+    rows = [(None, None, None, None, None, None), ("http://a/ b", "", "yesterday", "text / html", 404, bytearray(b"HTTP/1.0 404 No\r\n\r\n\x80")), ("http://c", "1.1.1.1", "1999", "a/b", 200, bytearray())]
+    captures = spark.createDataFrame(rows, "url string, ip string, date string, mime string, status int, content binary")
+    for version in (1, 2):
+        archives.write_arc(captures, f"{tmp_path}/{version}", version=version)
+        got = archives.read_arc(spark, f"{tmp_path}/{version}").where("url not like 'filedesc%'")
+        found = sorted((r["url"], r["date"], r["mime"], r["status"], bytes(r["payload"]), r["problem"]) for r in got.collect())
+        status = (lambda n: n) if version == 2 else (lambda n: None)
+        assert found == [
+            ("http://a/%20b", "19700101000000", "text/html", status(404), b"\x80", None), ("http://c", "1999", "a/b", status(200), b"", None), ("unknown:", "19700101000000", "-", None, b"", None),
+        ]
+
+
 def legacy(version: int) -> bytes:
     """A hand-written archive: replies, a name look-up, a page without a head, bytes that aren't UTF-8, junk and a short last record."""
     names = " ".join(archives.FIELDS[version])
