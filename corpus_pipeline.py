@@ -49,7 +49,7 @@ STAGES = [
     ("mixing", mix_sources),
 ]
 
-#: Iterative fits and alignment have no SQL form; tests/llm compares every stage with a brute-force version.
+#: Iterative fits and alignment have no SQL form; tests/llm looks at what each stage keeps, and compares most of their operators with brute force.
 ORACLE_SQL = None
 
 
