@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from sessionloom.functions.bind import let
+
 ACTIVITY = ("activity",)
 ACTIVITY_AND_SEGMENT = ("activity", "subgoal_segment")
 
@@ -25,14 +27,20 @@ def expand_range(ref: Column, prefixes: tuple[str, ...] = ACTIVITY_AND_SEGMENT,
     the number: ids are padded to four digits, past 9999 they grow ("+" accepts any width and pads to the width of the left number).
     """
     pattern = rf"^({'|'.join(prefixes)})_(\d{digits})(?:-\1_(\d{digits}))?$"
-    prefix, first, second = (F.regexp_extract(ref, pattern, i) for i in (1, 2, 3))
-    start = first.try_cast("int")
-    end = F.when(second == "", start).otherwise(second.try_cast("int"))
-    width = F.length(first)
-    ids = F.transform(
-        F.sequence(start, end), lambda n: F.concat(prefix, F.lit("_"), F.lpad(n.cast("string"), F.greatest(width, F.length(n.cast("string"))), F.lit("0")))
-    )
-    return F.when(ref.rlike(pattern) & (start <= end), ids)
+    # One regular expression a reference, none an id: a reference that fits is cut at its hyphen and its last underscores.
+    # Like the pattern's end, it allows one line break.
+    whole = F.rtrim(ref, F.lit("\r\n\u0085\u2028\u2029"))
+    left = F.substring_index(whole, "-", 1)
+    first, last = F.substring_index(left, "_", -1), F.substring_index(whole, "_", -1)
+    start, end = first.try_cast("int"), last.try_cast("int")
+    parts = F.struct(F.left(left, F.length(left) - F.length(first)).alias("head"), F.length(first).alias("width"), start.alias("start"), end.alias("end"))
+
+    def spread(p: Column) -> Column:
+        text = lambda n: n.cast("string")
+        one = lambda n: F.concat(p["head"], F.lpad(text(n), F.greatest(p["width"], F.length(text(n))), F.lit("0")))
+        return F.when(p["start"] <= p["end"], F.transform(F.sequence(p["start"], p["end"]), one))
+
+    return F.when(ref.rlike(pattern), let(parts, spread))
 
 
 def range_text(prefix: Column | str, start: Column, end: Column) -> Column:

@@ -93,12 +93,12 @@ def fill_references(nodes: DataFrame, source_activities: DataFrame) -> DataFrame
 
     The path prefix names the ancestors, so one aggregate replaces a bottom-up walk.
     """
-    covered = coverage(nodes).select(*NODE, "activity_id")
-    up = covered.withColumn("_a", F.explode(_ancestor_paths(F.col("path")))).select(*MODEL, F.col("_a").alias("path"), "activity_id")
-    root = nodes.where(F.col("parent_path").isNull()).select(*NODE).join(source_activities.select(*MODEL, "activity_id"), MODEL).select(*NODE, "activity_id")
-    numbers = up.unionByName(root).distinct().withColumn("n", ids.id_number(F.col("activity_id")))
-    empty = nodes.where(F.size("refs") == 0).select(*NODE)
-    ranges = compact_ranges(numbers.where(F.col("n").isNotNull()).join(empty, NODE, "left_semi"), NODE)
+    empty = nodes.where(F.size("refs") == 0).select(*NODE, "parent_path")
+    number = ids.id_number(F.col("activity_id")).alias("n")
+    above = F.explode(F.slice(_ancestor_paths(F.col("path")), F.lit(1), F.size(F.split("path", r"\.")) - 1)).alias("path")
+    up = coverage(nodes).select(*NODE, number).select(*MODEL, above, "n").join(empty, NODE, "left_semi")
+    root = empty.where(F.col("parent_path").isNull()).select(*NODE).join(source_activities.select(*MODEL, number), MODEL).select(*NODE, "n")
+    ranges = compact_ranges(up.unionByName(root).where(F.col("n").isNotNull()), NODE)
     filled = ranges.groupBy(*NODE).agg(text.ordered_collect("range_no", "ref").alias("_refs"))
     out = nodes.join(filled, NODE, "left")
     return out.withColumn("refs", F.when(F.size("refs") == 0, F.coalesce("_refs", "refs")).otherwise(F.col("refs"))).drop("_refs")

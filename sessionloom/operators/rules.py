@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from sessionloom.functions import ids, text
 from sessionloom.operators.sequence import order_sessions
 from sessionloom.operators.trees import MODEL, NODE, coverage
+from sessionloom.session import cut_lineage
 
 # Fixed values of the rules.
 OUTCOME_STATUSES = ["achieved", "partial", "failed", "abandoned", "unknown"]
@@ -179,29 +180,24 @@ def partition_rules(nodes: DataFrame) -> DataFrame:
     """
     spread = F.flatten(F.transform("refs", lambda r: F.coalesce(ids.expand_range(r), F.array().cast("array<string>"))))
     held = nodes.select(*NODE, "parent_path", F.array_distinct(spread).alias("items"))
-    roles = F.array(
-        F.struct(F.col("path").alias("at"), F.lit(None).cast("string").alias("child")), F.struct(F.col("parent_path").alias("at"), F.col("path").alias("child"))
+    parents = held.where(F.col("parent_path").isNotNull() & (F.size("items") > 0)).select(*MODEL, F.col("parent_path").alias("path")).distinct()
+    marked = held.join(parents.withColumn("_split", F.lit(True)), NODE, "left")
+    role = lambda at, own, split: F.struct(at.alias("at"), own.alias("own"), split.alias("split"))
+    no = F.lit(False)
+    at_node, at_parent = role(F.col("path"), F.lit(True), F.coalesce("_split", no)), role(F.col("parent_path"), no, no)
+    roles = F.when(F.col("parent_path").isNull(), F.array(at_node)).otherwise(F.array(at_node, at_parent))
+    rows = marked.select(*MODEL, F.explode("items").alias("activity_id"), roles.alias("roles")).select(*MODEL, "activity_id", F.explode("roles").alias("_r"))
+    # A node names an activity once, so the rows that are not the place's own count its children. Flags and counts aggregate without sorting.
+    grouped = rows.groupBy(*MODEL, F.col("_r.at").alias("at"), "activity_id").agg(
+        F.max("_r.own").alias("own"), F.max("_r.split").alias("split"), F.count_if(~F.col("_r.own")).alias("many")
     )
-    rows = held.select(*MODEL, F.explode("items").alias("activity_id"), roles.alias("roles")).select(*MODEL, "activity_id", F.explode("roles").alias("_r"))
-    rows = rows.select(*MODEL, "_r.at", "_r.child", "activity_id").where(F.col("at").isNotNull())
-    grouped = rows.groupBy(*MODEL, "at", "activity_id").agg(F.max(F.col("child").isNull()).alias("own"), F.collect_set("child").alias("children"))
-    split = held.where(F.col("parent_path").isNotNull() & (F.size("items") > 0)).select(*MODEL, F.col("parent_path").alias("at")).distinct()
-    judged = grouped.join(split.withColumn("_split", F.lit(True)), [*MODEL, "at"], "left")
-    many, item = F.size("children"), F.col("activity_id")
-
-    def hit(bad: Column, rule: str, detail: Column) -> Column:
-        return F.when(bad, F.array(F.struct(F.col("at").alias("path"), F.lit(rule).alias("rule_id"), detail.alias("detail"))))
-
-    none = F.array().cast("array<struct<path: string, rule_id: string, detail: string>>")
-    outside = F.transform("children", lambda c: F.struct(c.alias("path"), F.lit("V19").alias("rule_id"), item.alias("detail")))
-    hits = F.concat(
-        F.when(~F.col("own"), outside).otherwise(none),
-        F.coalesce(hit(many > 1, "V20", item), none),
-        F.coalesce(hit(F.col("own") & (many == 0) & F.coalesce("_split", F.lit(False)), "V21", F.concat(F.lit("missing "), item)), none),
-        F.coalesce(hit(~F.col("own") & (many > 0), "V21", F.concat(F.lit("extra "), item)), none),
-    )
-    found = judged.select(*MODEL, F.explode(hits).alias("_h"))
-    return found.select(*MODEL, "_h.path", "_h.rule_id", F.lit("error").alias("severity"), "_h.detail")
+    several, missing, extra = F.col("many") > 1, F.col("own") & (F.col("many") == 0) & F.col("split"), ~F.col("own")
+    wrong = cut_lineage(grouped.select(*MODEL, "at", "activity_id", several.alias("several"), missing.alias("missing"), extra.alias("extra")).where("several OR missing OR extra"))
+    item = F.col("activity_id")
+    outside = held.where(F.col("parent_path").isNotNull()).select(*NODE, F.col("parent_path").alias("at"), F.explode("items").alias("activity_id"))
+    outside = outside.join(wrong.where("extra").select(*MODEL, "at", "activity_id"), [*MODEL, "at", "activity_id"], "left_semi")
+    tests = [("V20", F.col("several"), item), ("V21", F.col("missing"), F.concat(F.lit("missing "), item)), ("V21", F.col("extra"), F.concat(F.lit("extra "), item))]
+    return findings(outside, "V19", item).unionByName(row_rules(wrong.withColumnRenamed("at", "path"), tests))
 
 
 def two_sided(left: DataFrame, right: DataFrame, keys: list[str], item: str, rule: str) -> DataFrame:
@@ -214,17 +210,24 @@ def two_sided(left: DataFrame, right: DataFrame, keys: list[str], item: str, rul
 
 
 def root_cover_rules(nodes: DataFrame, source_activities: DataFrame, semantic: DataFrame) -> DataFrame:
-    """The root covers the source's activities (V22) and semantic actions, and so does the tree."""
-    covered = coverage(nodes)
-    root = covered.join(nodes.where(F.col("parent_path").isNull()).select(*NODE), NODE, "left_semi")
-    sourced = source_activities.select(*MODEL).distinct()
-    activities = two_sided(source_activities, root.join(sourced, MODEL, "left_semi"), MODEL, "activity_id", "V22")
-    actions = lambda part: part.select(*MODEL, "activity_id").distinct().join(semantic, [*MODEL, "activity_id"]).select(*MODEL, "semantic_action_idx")
-    tree_missing = semantic.select(*MODEL, "semantic_action_idx").distinct().join(actions(covered), [*MODEL, "semantic_action_idx"], "left_anti")
+    """The root covers the source's activities (V22) and semantic actions, and so does the tree.
+
+    One aggregate by activity holds who names it, one by semantic action what that comes to.
+    """
+    refs = nodes.select(*MODEL, F.col("parent_path").isNull().alias("root"), F.explode("refs").alias("ref"))
+    named = refs.select(*MODEL, "root", F.explode(ids.expand_range(F.col("ref"))).alias("activity_id")).withColumns({"source": F.lit(False), "tree": F.lit(True)})
+    listed = source_activities.select(*MODEL, F.lit(False).alias("root"), "activity_id", F.lit(True).alias("source"), F.lit(False).alias("tree"))
+    by_id = named.unionByName(listed).groupBy(*MODEL, "activity_id").agg(*(F.max(c).alias(c) for c in ("source", "root", "tree")))
+    missing = by_id.where("source AND NOT root")
+    extra = by_id.where("root AND NOT source").join(source_activities.select(*MODEL).distinct(), MODEL, "left_semi")
+    actions = semantic.select(*MODEL, "activity_id", "semantic_action_idx").join(by_id.where("tree").drop("source"), [*MODEL, "activity_id"], "left")
+    covers = lambda c: F.max(F.coalesce(F.col(c) & F.col("semantic_action_idx").isNotNull(), F.lit(False))).alias(c)
+    by_action = actions.groupBy(*MODEL, "semantic_action_idx").agg(covers("root"), covers("tree"))
+    number = F.col("semantic_action_idx")
+    tests = [("V23", ~F.col("root"), F.concat(F.lit("missing "), number.cast("string"))), ("V23t", ~F.col("tree"), number)]
     return union_all(
-        activities,
-        two_sided(semantic, actions(root), MODEL, "semantic_action_idx", "V23"),
-        findings(tree_missing, "V23t", F.col("semantic_action_idx")),
+        findings(missing, "V22", F.concat(F.lit("missing "), F.col("activity_id"))), findings(extra, "V22", F.concat(F.lit("extra "), F.col("activity_id"))),
+        row_rules(by_action, tests),
     )
 
 

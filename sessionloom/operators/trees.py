@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from sessionloom.functions import ids
 from sessionloom.operators.sequence import islands, order_sessions
+from sessionloom.session import cut_lineage
 
 MODEL = ["session_id", "root_id"]
 NODE = [*MODEL, "path"]
@@ -48,11 +49,20 @@ def ref_counts(nodes: DataFrame) -> DataFrame:
 
 
 def compact_ranges(rows: DataFrame, keys: list[str], prefix: str = "activity", number: str = "n") -> DataFrame:
-    """Maximal runs of consecutive numbers per group, as id ranges (one row per run, in order)."""
-    so = order_sessions(rows.select(*keys, F.col(number).cast("bigint").alias("n")).distinct(), keys, "n")
+    """Maximal runs of consecutive numbers per group, as id ranges (one row per run, in order).
+
+    A group with as many numbers as there are from its first to its last is one run; only the others are put in order.
+    """
+    numbers = cut_lineage(rows.select(*keys, F.col(number).cast("bigint").alias("n")).distinct())
+    spans = numbers.groupBy(*keys).agg(F.min("n").alias("start_no"), F.max("n").alias("end_no"), F.count(F.lit(1)).alias("_n"))
+    one_run = F.coalesce(F.col("end_no") - F.col("start_no") + 1 == F.col("_n"), F.lit(False))
+    gaps = spans.where(~one_run).select(*(F.col(c).alias(f"_of_{c}") for c in keys))
+    rest = numbers.join(gaps, [F.col(c).eqNullSafe(F.col(f"_of_{c}")) for c in keys], "left_semi")
+    so = order_sessions(rest, keys, "n")
     so = so.neighbours(prev={"_prev": "n"})
     so = islands(so, F.coalesce(F.col("_prev") + 1 != F.col("n"), F.lit(True)), "range_no")
     out = so.rows.groupBy(*keys, "range_no").agg(F.min("n").alias("start_no"), F.max("n").alias("end_no"))
+    out = out.unionByName(spans.where(one_run).select(*keys, F.lit(1).cast("bigint").alias("range_no"), "start_no", "end_no"))
     return out.withColumn("ref", ids.range_text(prefix, F.col("start_no"), F.col("end_no")))
 
 
