@@ -202,11 +202,13 @@ def partition_rules(nodes: DataFrame) -> DataFrame:
 
 def two_sided(left: DataFrame, right: DataFrame, keys: list[str], item: str, rule: str) -> DataFrame:
     """What ``right`` lacks (missing) and what it has too much (extra), as findings."""
-    a = left.select(*keys, item).distinct().withColumn("_l", F.lit(1))
-    b = right.select(*keys, item).distinct().withColumn("_r", F.lit(1))
-    both = a.join(b, [*keys, item], "full").where(F.col("_l").isNull() | F.col("_r").isNull())
-    word = F.when(F.col("_r").isNull(), "missing ").otherwise("extra ")
-    return findings(both, rule, F.concat(word, F.col(item).cast("string")))
+    sides = lambda l, r: [F.lit(l).alias("_l"), F.lit(r).alias("_r")]
+    rows = left.select(*keys, item, *sides(True, False)).unionByName(right.select(*keys, item, *sides(False, True)))
+    both = rows.groupBy(*keys, item).agg(F.max("_l").alias("_l"), F.max("_r").alias("_r"))
+    meet = F.col("_l") & F.col("_r") & reduce(Column.__and__, (F.col(c).isNotNull() for c in [*keys, item]))  # nothing equals a null
+    words = F.filter(F.array(F.when(F.col("_l"), "missing "), F.when(F.col("_r"), "extra ")), lambda w: w.isNotNull())
+    told = both.where(~meet).select(*keys, item, F.explode(words).alias("_w"))
+    return findings(told, rule, F.concat("_w", F.col(item).cast("string")))
 
 
 def root_cover_rules(nodes: DataFrame, source_activities: DataFrame, semantic: DataFrame) -> DataFrame:
@@ -361,15 +363,20 @@ def known_leaf_rules(exprs: DataFrame, activities: DataFrame) -> DataFrame:
     return findings(unknown.withColumn("path", F.concat_ws("/", "node_id", "expr_path")), "V46", F.col("activity_id"))
 
 
+def named_activities(exprs: DataFrame) -> DataFrame:
+    """(expression, activity): what an expression itself names; an inline operator's stated references only repeat its body."""
+    refs = F.when(F.col("kind") == "activity", F.array("activity_id")).otherwise(F.col("activity_refs"))
+    inner = (F.col("kind") == "operator") & F.col("activity_refs").isNotNull()
+    spread = F.flatten(F.transform(refs, lambda r: F.coalesce(ids.expand_range(r, ids.ACTIVITY), F.array().cast("array<string>"))))
+    return exprs.where(~inner).select(*MODEL, "node_id", "expr_path", F.explode(spread).alias("activity_id"))
+
+
 def expression_coverage(exprs: DataFrame) -> DataFrame:
     """(expression, activity): an expression covers what it and everything below it names.
 
     expr_path is slash-separated, so ancestors are its prefixes; no recursion is needed.
     """
-    refs = F.when(F.col("kind") == "activity", F.array("activity_id")).otherwise(F.col("activity_refs"))
-    inner = (F.col("kind") == "operator") & F.col("activity_refs").isNotNull()
-    spread = F.flatten(F.transform(refs, lambda r: F.coalesce(ids.expand_range(r, ids.ACTIVITY), F.array().cast("array<string>"))))
-    rows = exprs.where(~inner).select(*MODEL, "node_id", "expr_path", F.explode(spread).alias("activity_id"))
+    rows = named_activities(exprs)
     parts = F.split("expr_path", "/")
     up = rows.select(*MODEL, "node_id", "activity_id", parts.alias("_p"), F.explode(F.sequence(F.lit(1), F.size(parts))).alias("_d"))
     return up.select(*MODEL, "node_id", F.array_join(F.slice("_p", F.lit(1), F.col("_d")), "/").alias("expr_path"), "activity_id").distinct()
@@ -388,7 +395,8 @@ def inline_operator_rules(exprs: DataFrame) -> DataFrame:
 def node_body_rules(nodes: DataFrame, exprs: DataFrame, edges: DataFrame) -> DataFrame:
     """References of a node equal those of its body and its child nodes together."""
     own = nodes.select(*MODEL, F.col("node_id").alias("path"), F.explode("activity_refs").alias("_r"))
-    own = own.select(*NODE, F.explode(ids.expand_range(F.col("_r"), ids.ACTIVITY)).alias("activity_id")).distinct()
-    body = expression_coverage(exprs).select(*MODEL, F.col("node_id").alias("path"), "activity_id")
+    own = own.select(*NODE, F.explode(ids.expand_range(F.col("_r"), ids.ACTIVITY)).alias("activity_id"))
+    # The node stands above all its expressions, so their own activities are enough.
+    body = named_activities(exprs).select(*MODEL, F.col("node_id").alias("path"), "activity_id")
     child = own.withColumnRenamed("path", "child_id").join(edges, [*MODEL, "child_id"]).select(*MODEL, F.col("parent_id").alias("path"), "activity_id")
     return two_sided(body.unionByName(child), own, NODE, "activity_id", "V36")

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from sessionloom.functions import ids
 from sessionloom.operators import rules, trees
+from sessionloom.plans import models
 
 FOLDER = "/root/testdata/sf0.001"
 NODE = "session_id string, root_id string, path string, parent_path string, node_id string, ordinal bigint, refs array<string>"
@@ -51,3 +52,11 @@ def test_ranges_of_whole_runs_are_not_put_in_order(spark):
     rows = spark.createDataFrame([("a", n) for n in (3, 1, 2, 2)] + [("b", n) for n in (1, 2, 9, 4, 5)] + [(None, 7)], "k string, n bigint")
     got = sorted((r["k"] or "", r["range_no"], r["ref"]) for r in trees.compact_ranges(rows, ["k"]).collect())
     assert got == [("", 1, "activity_0007"), ("a", 1, "activity_0001-activity_0003"), ("b", 1, "activity_0001-activity_0002"), ("b", 2, "activity_0004-activity_0005"), ("b", 3, "activity_0009")]
+
+
+def test_two_sides_are_compared_by_one_aggregate(spark):
+    left, right = (spark.createDataFrame([("s", "r", x) for x in items], "session_id string, root_id string, item string") for items in (["a", "b", "b", None], ["b", "c", None]))
+    found = rules.two_sided(left, right, ["session_id", "root_id"], "item", "V0")
+    assert sorted(str(r["detail"]) for r in found.collect()) == ["None", "None", "extra c", "missing a"]
+    assert "Join" not in plan(found)
+    assert "Join" not in plan(models.rule_body_union(spark, FOLDER))
