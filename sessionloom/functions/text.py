@@ -43,18 +43,19 @@ def filled(c: Column) -> Column:
     return c.isNotNull() & (c != "")
 
 
-# The limits below name the text once, so a long text is cleaned once however it is used.
+# The limits below name the text once, so a long text is cleaned once however it is used. What shows is decided on the clean text's first characters,
+# so the expressions that cut never walk through the rest.
 
 
 def truncate(c: Column, max_chars: int = 180) -> Column:
     text = strip(F.replace(or_empty(c), F.lit("\n"), F.lit(" ")))
-    return F.regexp_replace(text, rf"(?s)^(.{{{max_chars - 3}}}).{{4,}}$", "$1...")
+    return F.regexp_replace(F.substring(text, 1, max_chars + 1), rf"(?s)^(.{{{max_chars - 3}}}).{{4}}$", "$1...")
 
 
 def clip(c: Column, max_chars: int) -> Column:
     """Collapsed text; when cut, the part before the dots ends in no space."""
     keep = max(1, max_chars - 3)
-    return F.regexp_replace(collapse(or_empty(c)), rf"^(?=.{{{max_chars + 1}}})((?:.{{0,{keep - 1}}}[^ ])?).*$", "$1...")
+    return F.regexp_replace(F.substring(collapse(or_empty(c)), 1, max_chars + 1), rf"^(?=.{{{max_chars + 1}}})((?:.{{0,{keep - 1}}}[^ ])?).*$", "$1...")
 
 
 def limit_sentences(c: Column, max_sentences: int, max_chars: int) -> Column:
@@ -69,7 +70,9 @@ def normalize(c: Column) -> Column:
 
 
 def slug(c: Column, fallback: Column) -> Column:
-    cleaned = F.regexp_replace(F.regexp_replace(F.lower(strip(c)), "[^A-Za-z0-9]+", "_"), "^_+|_+$", "")
+    # 81 letters or digits decide the first 80 places.
+    head = F.regexp_extract(F.lower(strip(c)), "^(?:[^A-Za-z0-9]*+[A-Za-z0-9]){0,81}+", 0)
+    cleaned = F.regexp_replace(F.regexp_replace(head, "[^A-Za-z0-9]+", "_"), "^_+|_+$", "")
     cut = F.substring(cleaned, 1, 80)
     return F.when(cut == "", fallback).otherwise(cut)
 

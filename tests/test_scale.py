@@ -1,8 +1,9 @@
 """What keeps the cost of the rules down: plans without sorts of whole tables, and the results that the cheaper forms must still give."""
 
+import pytest
 from pyspark.sql import functions as F
 
-from sessionloom.functions import ids
+from sessionloom.functions import ids, text
 from sessionloom.operators import rules, trees
 from sessionloom.plans import models
 
@@ -60,3 +61,19 @@ def test_two_sides_are_compared_by_one_aggregate(spark):
     assert sorted(str(r["detail"]) for r in found.collect()) == ["None", "None", "extra c", "missing a"]
     assert "Join" not in plan(found)
     assert "Join" not in plan(models.rule_body_union(spark, FOLDER))
+
+
+@pytest.mark.parametrize("size", [1, 79, 80, 81, 82, 177, 178, 180, 181, 182, 4000])
+def test_limits_look_at_the_head_only(spark, size):
+    values = ["x" * size, "-" * size, ("ab, " * size)[:size], " \n" * size + "y" * size, "--" + "a-" * size, "\u00e4" * size + "b"]
+    rows = spark.createDataFrame([(v,) for v in values], "t string")
+    got = rows.select(text.truncate(F.col("t")), text.clip(F.col("t"), 160), text.slug(F.col("t"), F.lit("none")))
+    import re
+
+    def want(v):
+        line, flat = v.replace("\n", " ").strip(), re.sub(r"\s+", " ", v).strip()
+        slug = re.sub("[^A-Za-z0-9]+", "_", v.lower().strip()).strip("_")[:80]
+        return (line if len(line) <= 180 else line[:177] + "...", flat if len(flat) <= 160 else flat[:157].rstrip() + "...", slug or "none")
+
+    assert [tuple(r) for r in got.collect()] == [want(v) for v in values]
+    assert "substring" in plan(rows.select(text.truncate(F.col("t"))))
