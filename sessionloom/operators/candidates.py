@@ -25,6 +25,7 @@ def first_valid(models: DataFrame, stages: list[Stage], check: Callable[[DataFra
     other columns, and gives keys, valid and feedback. A model that no stage settles keeps the last candidate that there was, not valid, with its feedback.
     """
     own = models.columns
+    models = cut_lineage(models)  # every stage's judgement reads them
     state, settled, kind = models, [], None
     for number, (name, build) in enumerate(stages):
         given = state if kind else state.withColumn("feedback", F.lit(None).cast("string"))

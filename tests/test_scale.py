@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sessionloom.functions import ids, text
-from sessionloom.operators import rules, trees
+from sessionloom.operators import candidates, rules, trees
 from sessionloom.plans import models
 
 FOLDER = "/root/testdata/sf0.001"
@@ -55,6 +55,19 @@ def test_ranges_of_whole_runs_are_not_put_in_order(spark):
     assert got == [("", 1, "activity_0007"), ("a", 1, "activity_0001-activity_0003"), ("b", 1, "activity_0001-activity_0002"), ("b", 2, "activity_0004-activity_0005"), ("b", 3, "activity_0009")]
 
 
+def test_candidate_stages_read_stored_models(spark):
+    seen = []
+
+    def check(made):
+        seen.append(plan(made))
+        return made.select("id", (F.col("id") > 1).alias("valid"), F.lit("low").alias("feedback"))
+
+    stage = lambda rows: rows.withColumn("candidate", F.lit("c"))
+    out = candidates.first_valid(spark.range(4), [("one", stage), ("two", stage)], check, ["id"])
+    assert sorted((r["id"], r["origin"], r["valid"]) for r in out.collect()) == [(0, "two", False), (1, "two", False), (2, "one", True), (3, "one", True)]
+    assert len(seen) == 2 and not any("Range" in p for p in seen)
+
+
 def test_two_sides_are_compared_by_one_aggregate(spark):
     left, right = (spark.createDataFrame([("s", "r", x) for x in items], "session_id string, root_id string, item string") for items in (["a", "b", "b", None], ["b", "c", None]))
     found = rules.two_sided(left, right, ["session_id", "root_id"], "item", "V0")
