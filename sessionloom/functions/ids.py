@@ -40,7 +40,9 @@ def expand_range(ref: Column, prefixes: tuple[str, ...] = ACTIVITY_AND_SEGMENT,
         one = lambda n: F.concat(p["head"], F.lpad(text(n), F.greatest(p["width"], F.length(text(n))), F.lit("0")))
         return F.when(p["start"] <= p["end"], F.transform(F.sequence(p["start"], p["end"]), one))
 
-    return F.when(ref.rlike(pattern), let(parts, spread))
+    # A single id stands for itself.
+    alone = F.when(last.try_cast("int").isNotNull(), F.array(whole))
+    return F.when(ref.rlike(pattern), F.when(whole.contains("-"), let(parts, spread)).otherwise(alone))
 
 
 def range_text(prefix: Column | str, start: Column, end: Column) -> Column:

@@ -21,15 +21,17 @@ def shape_rules(documents: DataFrame, nodes: DataFrame) -> DataFrame:
 def procedure_findings(documents: DataFrame, activities: DataFrame) -> DataFrame:
     """Findings of every rule; a model with a shape error gets no deeper ones.
 
-    documents: session_id, root_id, value. activities: session_id, root_id, activity_id, of the models' sources. Documents are parsed once; node and
-    expression tables are written, as each rule reads them.
+    documents: session_id, root_id, value. activities: session_id, root_id, activity_id, of the models' sources. Documents, and the node and
+    expression tables parsed from them, are written, as each rule reads them.
     """
+    documents = cut_lineage(documents.select(*MODEL, "value", F.get_json_object("value", "$.root_procedure_id").alias("root_procedure_id")))
     nodes = cut_lineage(flatten.procedure_nodes(documents))
-    shape = cut_lineage(shape_rules(documents, nodes))
-    sound = documents.join(shape.select(*MODEL).distinct(), MODEL, "left_anti")
+    shape = cut_lineage(shape_rules(documents.select(*MODEL, "value"), nodes))
+    broken = cut_lineage(shape.select(*MODEL).distinct())
+    sound = documents.join(broken, MODEL, "left_anti")
     exprs = cut_lineage(flatten.body_expressions(sound))
-    starts = sound.select(*MODEL, F.get_json_object("value", "$.root_procedure_id").alias("node_id"))
-    own = nodes.join(sound.select(*MODEL), MODEL, "left_semi")
+    starts = sound.select(*MODEL, F.col("root_procedure_id").alias("node_id"))
+    own = cut_lineage(nodes.join(broken, MODEL, "left_anti"))
     edges = exprs.where(F.col("kind") == "node").select(*MODEL, F.col("node_id").alias("parent_id"), F.col("procedure_node_id").alias("child_id"))
     placed = exprs.withColumn("path", F.concat_ws("/", "node_id", "expr_path"))
     deeper = rules.union_all(

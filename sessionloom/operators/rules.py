@@ -40,7 +40,9 @@ def row_rules(rows: DataFrame, tests: list[tuple[str, Column, Column]], severity
         lambda h: h.isNotNull(),
     )
     path = F.col("path") if "path" in rows.columns else F.lit("$")
-    out = rows.select(*MODEL, path.alias("path"), F.explode(hits).alias("_h"))
+    # Most rows break no rule; only the others get an array.
+    broken = rows.where(reduce(Column.__or__, (F.coalesce(bad, F.lit(False)) for _, bad, _ in tests)))
+    out = broken.select(*MODEL, path.alias("path"), F.explode(hits).alias("_h"))
     return out.select(*MODEL, "path", "_h.rule_id", F.lit(severity).alias("severity"), "_h.detail")
 
 
@@ -387,7 +389,9 @@ def inline_operator_rules(exprs: DataFrame) -> DataFrame:
     stated = exprs.where((F.col("kind") == "operator") & F.col("activity_refs").isNotNull())
     spread = F.flatten(F.transform("activity_refs", lambda r: F.coalesce(ids.expand_range(r, ids.ACTIVITY), F.array().cast("array<string>"))))
     place = F.concat_ws("/", "node_id", "expr_path").alias("path")
-    left = expression_coverage(exprs).join(stated.select(*MODEL, "node_id", "expr_path"), [*MODEL, "node_id", "expr_path"], "left_semi")
+    # Coverage is spread only in nodes that state something.
+    holding = exprs.join(stated.select(*MODEL, "node_id").distinct(), [*MODEL, "node_id"], "left_semi")
+    left = expression_coverage(holding).join(stated.select(*MODEL, "node_id", "expr_path"), [*MODEL, "node_id", "expr_path"], "left_semi")
     right = stated.select(*MODEL, place, F.explode(spread).alias("activity_id"))
     return two_sided(left.select(*MODEL, place, "activity_id"), right, NODE, "activity_id", "V35")
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from sessionloom import provider
 from sessionloom.functions import answers, cost, geometry, ids, text, timefn
-from sessionloom.operators import boxes, graphs, online, resume, rules, screenshots, segments, threads, windows
+from sessionloom.operators import boxes, graphs, online, procedures, resume, rules, screenshots, segments, threads, windows
 from sessionloom.operators.sequence import order_sessions
 from sessionloom.sources import logs, sinks
 
@@ -307,3 +307,23 @@ def test_reach_and_cycles_of_random_graphs(spark):
     cyclic = {m for m, es in models.items() if any(p in seen(es, p) for p, _ in es)}
     assert {r.root_id for r in graphs.cyclic_models(edges).collect()} == cyclic
     assert 0 < len(cyclic) < len(models)
+
+
+def test_procedure_documents_are_made_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def made(root):
+        seen.add(1)
+        return json.dumps({"version": "1", "root_procedure_id": "p", "procedure_nodes": [{
+            "id": "p", "name": "n", "operator": "SEQ", "description": "d", "activity_refs": ["activity_0001"], "evidence_summary": "e",
+            "body": {"operator": "SEQ", "activity_refs": ["activity_0002"], "steps": [{"activity_id": f"activity_000{root}"}]},
+        }]})
+
+    documents = spark.range(1, 3).select(F.lit("s").alias("session_id"), F.col("id").cast("string").alias("root_id"))
+    documents = documents.withColumn("value", F.udf(made)("root_id"))
+    known = documents.select("session_id", "root_id", F.lit("activity_0001").alias("activity_id"))
+    found = procedures.procedure_findings(documents, known)
+    assert sorted((r.root_id, r.rule_id, r.detail) for r in found.collect()) == [
+        ("1", "V35", "extra activity_0002"), ("1", "V35", "missing activity_0001"), ("2", "V36", "extra activity_0001"), ("2", "V36", "missing activity_0002"), ("2", "V46", "activity_0002"),
+    ]
+    assert seen.value == 2
