@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sessionloom.functions import answers
+from sessionloom.functions.bind import let
 from sessionloom.operators.rules import MODEL, findings
 
 Schema = dict
@@ -47,25 +48,27 @@ _PLACE = "array<struct<place: string, found: array<string>, required: array<stri
 def _places(value: Column, schema: Schema, place: Column) -> Column:
     """Every object that the schema names, with its keys; null keys mean that something else stands there."""
     names = {key.rstrip("?"): (part, not key.endswith("?")) for key, part in schema.items() if key != "*"}
-    found = F.json_object_keys(F.to_json(value))
-    own = F.struct(
-        place.alias("place"), found.alias("found"), F.array(*(F.lit(k) for k, (_, must) in names.items() if must)).cast("array<string>").alias("required"),
-        (found if "*" in schema else F.array(*(F.lit(k) for k in names)).cast("array<string>")).alias("allowed"),
-    )
+    required = F.array(*(F.lit(k) for k, (_, must) in names.items() if must)).cast("array<string>").alias("required")
+    allowed = F.array(*(F.lit(k) for k in names)).cast("array<string>")
+    # A map of the fields holds the keys; the object is not written as text to read them.
+    keys = F.map_keys(F.try_variant_get(value, "$", "map<string, variant>"))
+    own = let(keys, lambda found: F.struct(place.alias("place"), found.alias("found"), required, (found if "*" in schema else allowed).alias("allowed")))
     out = F.array(own).cast(_PLACE)
     none = F.array().cast(_PLACE)
     for key, (part, _) in names.items():
         if isinstance(part, dict):
-            inner = F.try_variant_get(value, f"$.{key}", "variant")
-            # An absent or null object is the required key's matter, not its own.
-            more = F.when(inner.isNotNull() & (F.schema_of_variant(inner) != "VOID"), _places(inner, part, F.concat(place, F.lit(f".{key}")))).otherwise(none)
-            out = F.concat(out, more)
+            out = F.concat(out, let(F.try_variant_get(value, f"$.{key}", "variant"), _inner(part, F.concat(place, F.lit(f".{key}")), none)))
         elif isinstance(part, list):
             items = F.try_variant_get(value, f"$.{key}", "array<variant>")
             out = F.concat(out, F.coalesce(F.flatten(F.transform(items, _each(part[0], F.concat(place, F.lit(f".{key}["))))), none))
     return out
 
 
+def _inner(schema: Schema, place: Column, none: Column) -> Callable[[Column], Column]:
+    # An absent or null object is the required key's matter, not its own.
+    return lambda inner: F.when(inner.isNotNull() & ~F.is_variant_null(inner), _places(inner, schema, place)).otherwise(none)
+
+
 def _each(schema: Schema, place: Column) -> Callable[[Column, Column], Column]:
     return lambda item, i: _places(item, schema, F.concat(place, i.cast("string"), F.lit("]")))
 
@@ -79,10 +82,11 @@ def object_keys(documents: DataFrame, schema: Schema, value: str = "value") -> D
 
 def key_findings(documents: DataFrame, schema: Schema, rule: str = "V1", value: str = "value") -> DataFrame:
     """Missing and extra keys of every object, one finding a key. documents: session_id, root_id, value, and path where a document is a part of a model."""
-    rows = object_keys(documents, schema, value)
+    missing, extra = F.array_except("required", "found"), F.array_except("found", "allowed")
+    rows = object_keys(documents, schema, value).where(F.col("found").isNull() | (F.size(missing) > 0) | (F.size(extra) > 0))
     named = lambda word, keys: F.transform(keys, lambda k: F.concat(F.lit(f"{word} "), k))
     problems = F.when(F.col("found").isNull(), F.array(F.lit("not an object"))).otherwise(
-        F.concat(named("missing", F.array_except("required", "found")), named("extra", F.array_except("found", "allowed")))
+        F.concat(named("missing", missing), named("extra", extra))
     )
     place = F.concat(F.col("path"), F.substr("place", F.lit(2))) if "path" in documents.columns else F.col("place")
     return findings(rows.select(*MODEL, place.alias("path"), F.explode(problems).alias("_d")), rule, F.col("_d"))

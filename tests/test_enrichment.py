@@ -122,3 +122,10 @@ def test_layout_items(spark):
     df = spark.createDataFrame([(1, json.dumps({"parsed_content": items})), (2, "{}"), (3, None)], "id int, value string")
     got = [(r.id, r["index"], r.label, r.native_label, r.content, tuple(r.box)) for r in boxes.layout_items(df, 100, 50).collect()]
     assert got == [(1, 0, "text", "text", "a", (10.0, 10.0, 30.0, 20.0)), (1, 1, "image", "unknown", '{"k":1}', (10.0, 10.0, 30.0, 20.0))]
+
+
+def test_keys_are_read_without_writing_objects_as_text(spark):
+    df = spark.createDataFrame([("s", "m", '{"id": 1, "more": {"x": 1}}')], "session_id string, root_id string, value string")
+    rows = keyset.object_keys(df, {"id": None, "more": {"x": None, "y": None}})
+    assert sorted((r.place, sorted(r.found)) for r in rows.collect()) == [("$", ["id", "more"]), ("$.more", ["x"])]
+    assert "to_json" not in rows._jdf.queryExecution().optimizedPlan().toString()
