@@ -5,8 +5,9 @@ from __future__ import annotations
 
 import json
 from collections.abc import Iterator
+from itertools import islice
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -22,6 +23,11 @@ EXPRESSIONS = (
 )
 
 
+#: Rows that a walk hands over at once, so that its memory follows neither the number of documents in a batch nor their size.
+CHUNK = 5_000
+_ARROW = {"string": pa.string(), "bigint": pa.int64(), "int": pa.int32(), "boolean": pa.bool_(), "array<string>": pa.list_(pa.string()), "array<int>": pa.list_(pa.int32())}
+
+
 def _strings(value) -> list[str]:
     return [str(v) for v in value] if isinstance(value, list) else []
 
@@ -73,15 +79,19 @@ def _body_rows(head: tuple, node: dict) -> Iterator[tuple]:
             push(plain, place + "/", place, looped or plain.get("operator") in ("FOR", "WHILE"))
 
 
-def _walk(documents: DataFrame, schema: str, rows_of) -> DataFrame:
-    names = [c.strip().split()[0] for c in schema.split(", ")]
+def _batches(rows: Iterator[tuple], schema: str) -> Iterator[pa.RecordBatch]:
+    fields = [c.strip().split() for c in schema.split(", ")]
+    while held := list(islice(rows, CHUNK)):
+        columns = [pa.array(column, _ARROW[kind]) for column, (_, kind) in zip(zip(*held, strict=True), fields, strict=True)]
+        yield pa.RecordBatch.from_arrays(columns, names=[name for name, _ in fields])
 
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in parts:
-            rows = [row for r in part.itertuples(index=False) for row in rows_of((r.session_id, r.root_id), json.loads(r.value))]
-            yield pd.DataFrame(rows, columns=names)
 
-    return documents.select("session_id", "root_id", "value").mapInPandas(run, schema)
+def _walk(documents: DataFrame, schema: str, rows_of) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        heads = ((session.as_py(), root.as_py(), value.as_py()) for batch in batches for session, root, value in zip(*batch.columns, strict=True))
+        return _batches((row for session, root, value in heads for row in rows_of((session, root), json.loads(value))), schema)
+
+    return documents.select("session_id", "root_id", "value").mapInArrow(run, schema)
 
 
 def tree_nodes(documents: DataFrame) -> DataFrame:
@@ -132,17 +142,22 @@ def body_steps(documents: DataFrame) -> DataFrame:
 
 def procedure_nodes(documents: DataFrame) -> DataFrame:
     """Nodes of procedure models with the parts that their rules look at: one row per node that is an object."""
-    nodes = F.try_variant_get(F.try_parse_json("value"), "$.procedure_nodes", "array<variant>")
-    rows = documents.select("session_id", "root_id", F.posexplode(nodes).alias("ordinal", "_v")).where(F.schema_of_variant("_v").startswith("OBJECT"))
-    get = lambda at, kind="string": F.try_variant_get("_v", f"$.{at}", kind)
-    part = lambda at, fields: F.when(get(at, "variant").isNotNull(), F.struct(*(get(f"{at}.{name}", kind).alias(alias) for name, alias, kind in fields)))
+    items = F.try_variant_get(F.try_parse_json("value"), "$.procedure_nodes", "array<variant>")
+    texts = ("name", "operator", "description", "evidence_summary", "condition")
+    whole = ", ".join(f"{t} string" for t in ("id", *texts)) + ", activity_refs array<string>, bindings variant, condition_grounding variant, body variant, steps variant, branches variant"
+    # A node is taken apart in one look; what is no object has no parts.
+    rows = documents.select("session_id", "root_id", F.posexplode(items).alias("ordinal", "_v"))
+    rows = rows.select("session_id", "root_id", "ordinal", F.try_variant_get("_v", "$", f"struct<{whole}>").alias("_n")).where("_n is not null")
+    n = F.col("_n")
+
+    def part(at, fields):
+        return F.when(n[at].isNotNull(), F.struct(*(F.try_variant_get(n[at], f"$.{name}", kind).alias(alias) for name, alias, kind in fields)))
+
     bindings = [("iteration_variable", "iteration_variable", "string"), ("collection", "collection", "array<string>")]
     grounding = [("predicate", "predicate", "string"), ("verifier", "verifier", "string"), ("observed_status", "status", "string"), ("evidence_refs", "evidence_refs", "array<string>")]
-    texts = ("name", "operator", "description", "evidence_summary", "condition")
-    body = F.coalesce(*(get(slot, "variant") for slot in ("body", "steps", "branches")))
     return rows.select(
-        "session_id", "root_id", "ordinal", get("id").alias("node_id"), *(get(t).alias(t) for t in texts), F.coalesce(get("activity_refs", "array<string>"), F.array().cast("array<string>")).alias("activity_refs"),
-        part("bindings", bindings).alias("bindings"), part("condition_grounding", grounding).alias("grounding"), body.isNotNull().alias("has_body"),
+        "session_id", "root_id", "ordinal", n["id"].alias("node_id"), *(n[t].alias(t) for t in texts), F.coalesce(n["activity_refs"], F.array().cast("array<string>")).alias("activity_refs"),
+        part("bindings", bindings).alias("bindings"), part("condition_grounding", grounding).alias("grounding"), F.coalesce(n["body"], n["steps"], n["branches"]).isNotNull().alias("has_body"),
     )
 
 
@@ -159,22 +174,23 @@ def _usage_objects(value) -> Iterator[dict]:
 
 def usage_objects(events: DataFrame) -> DataFrame:
     """Every ``usage`` object inside JSON event lines: session_id, stream_id, line_no, place, usage (text)."""
-    names = ["session_id", "stream_id", "line_no", "place", "usage"]
-
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in parts:
-            rows = []
-            for r in part.itertuples(index=False):
-                try:
-                    document = json.loads(r.value)
-                except ValueError:
-                    continue
-                found = (o["usage"] for o in _usage_objects(document) if isinstance(o.get("usage"), dict))
-                rows += [(r.session_id, r.stream_id, r.line_no, i, json.dumps(u)) for i, u in enumerate(found)]
-            yield pd.DataFrame(rows, columns=names)
+    schema = "session_id string, stream_id string, line_no bigint, place bigint, usage string"
+
+    def rows_of(session, stream, line_no, value):
+        try:
+            document = json.loads(value)
+        except ValueError:
+            return
+        found = (o["usage"] for o in _usage_objects(document) if isinstance(o.get("usage"), dict))
+        for i, u in enumerate(found):
+            yield session, stream, line_no, i, json.dumps(u)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        heads = ([c.as_py() for c in line] for batch in batches for line in zip(*batch.columns, strict=True))
+        return _batches((row for line in heads for row in rows_of(*line)), schema)
 
     lines = events.where(F.ltrim("value").startswith("{")).select("session_id", "stream_id", "line_no", "value")
-    return lines.mapInPandas(run, "session_id string, stream_id string, line_no bigint, place bigint, usage string")
+    return lines.mapInArrow(run, schema)
 
 
 def largest_usage(events: DataFrame) -> DataFrame:

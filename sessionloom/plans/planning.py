@@ -239,13 +239,13 @@ def report_body(spark: SparkSession, folder: str) -> DataFrame:
     step = F.struct(F.concat(F.lit("part "), part.cast("string")).alias("name"), F.when(part % 3 != 2, nested).alias("body"))
     place = F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice")
     inner = table(spark, folder, "lineitem").withColumnRenamed("l_orderkey", "o_orderkey").groupBy("o_orderkey").agg(
-        F.transform(F.array_sort(F.collect_list(F.struct(place.alias("p"), step.alias("s")))), lambda x: x["s"]).alias("steps")
+        F.transform(F.sort_array(F.collect_list(F.struct(place.alias("p"), step.alias("s")))), lambda x: x["s"]).alias("steps")
     )
     body = F.struct(F.lit("SEQ").alias("operator"), F.when(k % 5 != 0, F.col("steps")).alias("steps"))
     outer = F.struct(F.when(~(k % 4).isin(1, 2), F.col("o_orderpriority")).alias("name"), F.when(k % 4 == 1, "SEQ").alias("operator"), F.when(k % 5 != 0, body).alias("body"))
     rows = table(spark, folder, "orders").join(inner, "o_orderkey", "left")
     documents = rows.groupBy(F.lit("s").alias(SESSION), F.col("o_custkey").cast("string").alias("root_id")).agg(
-        F.transform(F.array_sort(F.collect_list(F.struct(k.alias("k"), outer.alias("s")))), lambda x: x["s"]).alias("steps")
+        F.transform(F.sort_array(F.collect_list(F.struct(k.alias("k"), outer.alias("s")))), lambda x: x["s"]).alias("steps")
     )
     node = F.struct(F.lit("p").alias("id"), F.struct(F.lit("SEQ").alias("operator"), "steps").alias("body"))
     steps = flatten.body_steps(documents.select(SESSION, "root_id", F.to_json(F.struct(F.array(node).alias("procedure_nodes"))).alias("value")))

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sessionloom.functions import text
-from sessionloom.operators import boxes, candidates, enrich, keyset, profiles
+from sessionloom.operators import boxes, candidates, enrich, flatten, keyset, profiles
 from sessionloom.sources import logs
 
 
@@ -129,3 +129,12 @@ def test_keys_are_read_without_writing_objects_as_text(spark):
     rows = keyset.object_keys(df, {"id": None, "more": {"x": None, "y": None}})
     assert sorted((r.place, sorted(r.found)) for r in rows.collect()) == [("$", ["id", "more"]), ("$.more", ["x"])]
     assert "to_json" not in rows._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_walk_hands_over_bounded_pieces(spark):
+    steps = [{"name": f"step {i}"} for i in range(2 * flatten.CHUNK + 1)]
+    rows = list(flatten._step_rows(("s", "m"), {"id": "p", "body": {"operator": "SEQ", "steps": steps}}))
+    assert [len(b) for b in flatten._batches(iter(rows), flatten.STEPS)] == [flatten.CHUNK, flatten.CHUNK, 1]
+    value = json.dumps({"procedure_nodes": [{"id": "p", "body": {"operator": "SEQ", "steps": steps}}]})
+    df = spark.createDataFrame([("s", "m", value)], "session_id string, root_id string, value string")
+    assert flatten.body_steps(df).agg({"places": "count"}).first()[0] == len(steps)
