@@ -12,8 +12,9 @@ partners for certain instead: their keys are the first k-mers in one order for a
 2. Each representative is compared with the smallest one of its buckets. Links make classes. As long as that brings links, every bucket
    that still spans several classes draws a leader, with which the members of other classes are compared; a text in the middle of a
    group leads some of its buckets, so groups close fast. A turn over a bucket of n costs n comparisons, never n * n.
-3. For buckets that then still span several classes, members of different classes are compared by 256-byte min-hash signatures, in
-   groups of at most two blocks of members. Pairs inside a class need no look, and unlikely pairs never leave their task.
+3. The texts of buckets that then still span several classes meet once more by an exact prefix filter: under their first k-mers, rare
+   ones first, in groups of at most two blocks of members. The places of the k-mer that two texts share bound their similarity, so a
+   passage that many texts have makes no pairs of them, and no pair of `similarity` is left out. Pairs inside a class need no look.
 4. A pair that its signatures don't rule out (they do with a chance of one in 30,000 at the bound) is verified by banded alignment of words: the number of edits, found along the diagonals of a band, bounds how many
    k-mers survive. Where that proves a similarity of `similarity` or more the pair is linked; otherwise the exact Jaccard
    similarity of the k-mer sets decides. Nothing is collected; edges and classes are tables.
@@ -39,7 +40,7 @@ from sessionloom.llm import words
 from sessionloom.session import cut_lineage
 
 SHINGLE = 5
-#: Bytes of a signature, and members of a bucket compared in one go.
+#: Bytes of a signature, and members of a k-mer compared in one go.
 BINS = 256
 BLOCK = 1_000
 #: Texts of fewer distinct k-mers find their partners by an exact prefix filter.
@@ -127,10 +128,6 @@ def signature(shingles: np.ndarray) -> bytes:
     return out.tobytes()
 
 
-def likely(signatures: np.ndarray, one: int, others: np.ndarray, similarity: float) -> np.ndarray:
-    return alike(signatures[one], signatures[others], similarity)
-
-
 def alike(a: np.ndarray, b: np.ndarray, similarity: float) -> np.ndarray:
     """Which pairs are not ruled out: four standard errors below the similarity, so one pair in 30,000 at the bound is."""
     bins = ((a | b) != 0).sum(axis=1)
@@ -138,30 +135,68 @@ def alike(a: np.ndarray, b: np.ndarray, similarity: float) -> np.ndarray:
     return same >= similarity * bins - 4 * np.sqrt(similarity * (1 - similarity) * bins)
 
 
-def _likely_pairs(similarity: float):
+def _prefix_rows(similarity: float, recurring):
+    """The first k-mers of each text in the order of prefix_keys, with their place in it and the number of the text's k-mers."""
+
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            left, right = [], []
+            for part in words.slices(batch, "text"):
+                data, offsets = words.text_buffer(part.column(2))
+                starts, ends, first = words.word_bounds(data, offsets)
+                hashes = words.word_hashes(data, starts, ends)
+                sets = [np.unique(words.grams(hashes[a:b], SHINGLE)) for a, b in zip(first[:-1], first[1:], strict=True)]
+                keys = [prefix_keys(x, similarity, *recurring.value) for x in sets]
+                length = np.array([len(x) for x in keys])
+                place = np.concatenate([np.arange(n) for n in length])
+                size = np.repeat([len(x) for x in sets], length)
+                rep, root = (np.repeat(part.column(i).to_numpy(), length) for i in (0, 1))
+                columns = [np.concatenate(keys).view(np.int64), rep, root, place.astype(np.int32), size.astype(np.int32)]
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names=["gram", "rep", "root", "place", "size"])
+
+    return rows
+
+
+def _partners(similarity: float):
+    """Pairs of different classes that can still have `similarity`, if the k-mer of their group is the first one they share."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
             for one_block, members in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                held = members.values
-                rep, root, block = (held.field(i).to_numpy(zero_copy_only=False) for i in range(3))
-                marks = np.frombuffer(b"".join(held.field(3).to_pylist()), np.uint8).reshape(-1, BINS)
+                rep, root, block, place, size = (members.values.field(i).to_numpy(zero_copy_only=False) for i in range(5))
                 for i in range(len(rep) - 1):
-                    others = np.arange(i + 1, len(rep))
-                    wanted = root[i + 1 :] != root[i]
+                    rest = slice(i + 1, len(rep))
+                    most = np.minimum(size[i] - place[i], size[rest] - place[rest])
+                    wanted = (root[rest] != root[i]) & (most >= similarity / (1 + similarity) * (size[i] + size[rest]) - 1e-9)
                     if not one_block:
-                        wanted &= block[i + 1 :] != block[i]
-                    others = others[wanted]
-                    if len(others):
-                        others = others[likely(marks, i, others, similarity)]
-                        left.append(np.minimum(rep[i], rep[others]))
-                        right.append(np.maximum(rep[i], rep[others]))
-            none = np.zeros(0, np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([none, *left])), pa.array(np.concatenate([none, *right]))], names=["a", "b"])
+                        wanted &= block[rest] != block[i]
+                    others = rep[rest][wanted]
+                    left.append(np.minimum(rep[i], others))
+                    right.append(np.maximum(rep[i], others))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(left)), pa.array(np.concatenate(right))], names=["a", "b"])
 
     return rows
 
 
+def partners(texts: DataFrame, similarity: float) -> DataFrame:
+    """a, b: pairs of the texts (rep, root, text) of different roots, among them all of `similarity` or more.
+
+    Texts meet under the first k-mers of an order that puts recurring ones last, which two alike texts must share. The places of the
+    first shared k-mer bound how many can follow, so texts that have a common passage only don't become pairs.
+    """
+    recurring = texts.sparkSession.sparkContext.broadcast(recurring_grams(texts.select("text"), similarity, short=False))
+    held = cut_lineage(texts.select("rep", "root", "text").mapInArrow(_prefix_rows(similarity, recurring), "gram long, rep long, root long, place int, size int"))
+    # Only k-mers that several classes have make pairs.
+    spans = held.groupBy("gram").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("n")).where("low < high")
+    parts = F.ceil(F.col("n") / BLOCK).cast("int")
+    split = held.join(spans.select("gram", parts.alias("parts")), "gram")
+    split = split.withColumn("block", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int"))
+    split = split.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    split = split.withColumns({"low": F.least("block", "other"), "high": F.greatest("block", "other")})
+    groups = split.groupBy("gram", "low", "high").agg(F.collect_list(F.struct("rep", "root", "block", "place", "size")).alias("members"))
+    return groups.select((F.col("low") == F.col("high")).alias("one"), "members").mapInArrow(_partners(similarity), "a long, b long").distinct()
+
+
 def bucket_keys(shingles: np.ndarray, sketches: int, depth: int, bands: int, rows: int, similarity: float, common: np.ndarray, rank: np.ndarray) -> np.ndarray:
     """Keys of one text. All partners of a short text are found by its prefix keys, so it needs no others."""
     distinct = np.unique(shingles)
@@ -184,7 +219,7 @@ def _ruled(similarity: float):
     return rows
 
 
-def _short_grams(similarity: float):
+def _sampled_grams(similarity: float, short: bool):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in words.slices(batch, "text"):
@@ -192,15 +227,15 @@ def _short_grams(similarity: float):
                 starts, ends, first = words.word_bounds(data, offsets)
                 hashes = words.word_hashes(data, starts, ends)
                 sets = [np.unique(words.grams(hashes[a:b], SHINGLE)) for a, b in zip(first[:-1], first[1:], strict=True)]
-                flat = np.concatenate([np.zeros(0, np.uint64), *(x for x in sets if may_be_short(len(x), similarity))])
+                flat = np.concatenate([np.zeros(0, np.uint64), *(x for x in sets if not short or may_be_short(len(x), similarity))])
                 yield pa.RecordBatch.from_arrays([pa.array(flat.view(np.int64))], names=["gram"])
 
     return rows
 
 
-def recurring_grams(texts: DataFrame, similarity: float) -> tuple[np.ndarray, np.ndarray]:
-    """k-mers that recur in a sample of the short texts, sorted, and their places from the rarest on. They set an order only; no result depends on them."""
-    grams = texts.where(F.pmod(F.xxhash64("text"), F.lit(SAMPLED)) == 0).mapInArrow(_short_grams(similarity), "gram long")
+def recurring_grams(texts: DataFrame, similarity: float, short: bool = True) -> tuple[np.ndarray, np.ndarray]:
+    """k-mers that recur in a sample of the texts (of the short ones), sorted, and their places from the rarest on. They set an order only; no result depends on them."""
+    grams = texts.where(F.pmod(F.xxhash64("text"), F.lit(SAMPLED)) == 0).mapInArrow(_sampled_grams(similarity, short), "gram long")
     counted = grams.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1").orderBy(F.desc("n"), "gram").limit(KNOWN).collect()
     common = np.array([r["gram"] for r in counted], np.int64).view(np.uint64)
     order = np.argsort(common)
@@ -381,15 +416,10 @@ def near_duplicates(
         edges = cut_lineage(edges.unionByName(linked))
         roots = components(edges)
     placed = shared.select("bucket", "rep").join(roots.withColumnRenamed("node", "rep"), "rep", "left").select("bucket", "rep", F.coalesce("root", "rep").alias("root"))
-    open_buckets = placed.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("n")).where("low < high")
-    parts = F.ceil(F.col("n") / BLOCK).cast("int")
-    split = placed.join(open_buckets.select("bucket", parts.alias("parts")), "bucket").join(nodes.select("rep", "mark"), "rep")
-    split = split.withColumn("block", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int"))
-    split = split.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    split = split.withColumns({"low": F.least("block", "other"), "high": F.greatest("block", "other")})
-    groups = split.groupBy("bucket", "low", "high").agg(F.collect_list(F.struct("rep", "root", "block", "mark")).alias("members"))
-    cross = groups.select((F.col("low") == F.col("high")).alias("one"), "members").mapInArrow(_likely_pairs(similarity), "a long, b long")
-    third = verified(cross.distinct().join(seen.select("a", "b"), ["a", "b"], "left_anti"))
+    open_buckets = placed.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high")
+    left = cut_lineage(placed.join(open_buckets.select("bucket"), "bucket").select("rep", "root").distinct())
+    cross = partners(left.join(bodies, "rep"), similarity)
+    third = verified(cross.join(seen.select("a", "b"), ["a", "b"], "left_anti"))
     roots = components(edges.unionByName(third.where("linked").select("a", "b")))
     classes = texts.select("content", "rep").join(roots.withColumnRenamed("node", "rep"), "rep", "left").select("content", F.coalesce("root", "rep").alias("class_id"))
     result = named.select("doc_id", "content").distinct().join(classes, "content")

@@ -12,6 +12,7 @@ import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
+from sessionloom import session
 from sessionloom.llm import ann, orderminhash, pii, queries, substrings, tokens
 from sessionloom.session import ship_package
 
@@ -217,6 +218,39 @@ def test_moved_passages_and_repeated_lines(spark):
     assert got == classes(rows)
 
 
+def test_a_common_passage_makes_few_pairs(spark, monkeypatch):
+    passage = odd.prose(5, 300)
+    rows = [(i, f"{passage} {odd.prose(6_000 + i, 52)}") for i in range(160)]
+    # Two more are alike to the third and the fifth.
+    rows += [(1_000 + i, rows[i][1] + " and some more words") for i in (3, 5)]
+    judged = []
+
+    def cut(df):
+        out = session.cut_lineage(df)
+        if out.columns == ["a", "b", "open"]:
+            judged.append(out.count())
+        return out
+
+    monkeypatch.setattr(orderminhash, "cut_lineage", cut)
+    got = {r["doc_id"]: r["class_id"] for r in orderminhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == classes(rows) and got[1_003] == 3 and got[1_005] == 5
+    # Whoever met no leader of its buckets meets by rare k-mers, not by the passage.
+    assert judged[-1] < 300, str(judged)
+
+
+def test_partners_of_other_classes_are_all_found(spark):
+    rnd, rows = random.Random(4), []
+    for i in range(12):
+        w = odd.prose(4_000 + i % 4, 8 + 15 * i).split()
+        for _ in range(8):
+            v = [x if rnd.random() > 0.03 else f"new{rnd.randint(0, 9)}" for x in w]
+            rows.append((len(rows), len(rows), " ".join(v[: len(v) - rnd.randint(0, 2)])))
+    got = {(r["a"], r["b"]) for r in orderminhash.partners(spark.createDataFrame(rows, "rep long, root long, text string"), 0.8).collect()}
+    sets = {i: {tuple(x.split()[j : j + 5]) for j in range(len(x.split()) - 4)} for i, _, x in rows}
+    want = {(a, b) for a in sets for b in sets if a < b and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])}
+    assert want and want <= got
+
+
 def test_alignment_counts_edits():
     rnd = random.Random(2)
 
