@@ -9,9 +9,10 @@ partners for certain instead: their keys are the first k-mers in one order for a
 `similarity` or more share one of them (texts that could be partners of a short one have these keys too).
 
 1. Equal texts collapse first; one representative (smallest id) stands for them.
-2. Each representative is compared with the smallest one of its buckets. Links make classes. As long as that brings links, every bucket
-   that still spans several classes draws a leader, with which the members of other classes are compared; a text in the middle of a
-   group leads some of its buckets, so groups close fast. A turn over a bucket of n costs n comparisons, never n * n.
+2. Each representative is compared with the smallest one of its buckets. Links make classes. Then every bucket that
+   spans several classes draws a leader, with which the members of other classes are compared; a text in the middle of a
+   group leads some of its buckets, so groups close fast. Buckets where that brought a link take another turn, as long as more than one
+   pair in a hundred is a link. A turn over a bucket of n costs n comparisons, never n * n; a bucket of texts that share a passage only has one.
 3. The texts of buckets that then still span several classes meet once more by an exact prefix filter: under their first k-mers, rare
    ones first, in groups of at most two blocks of members. The places of the k-mer that two texts share bound their similarity, so a
    passage that many texts have makes no pairs of them, and no pair of `similarity` is left out. Pairs inside a class need no look.
@@ -48,6 +49,8 @@ SHORT = 100
 #: The filter's order puts k-mers last that recur in one of so many texts; at most so many are known by their count, the rest count as rare.
 SAMPLED = 8
 KNOWN = 100_000
+#: Turns over the buckets end when so few of the pairs are links; the last step finds all that are left.
+CLOSING = 0.01
 _SEEDS = words.mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xA0761D6478BD642F)) | np.uint64(1)
 
 
@@ -400,21 +403,27 @@ def near_duplicates(
     seen = verified(shared.groupBy("rep").agg(F.min("lead").alias("a")).where("a < rep").select("a", F.col("rep").alias("b")))
     edges = cut_lineage(seen.where("linked").select("a", "b"))
     roots = components(edges)
-    turn = 0
+    going, turn = shared.select("bucket", "rep"), 0
     while True:
         # In buckets that still hold several classes, everyone meets a leader drawn anew, unless they are of one class or have met.
         turn += 1
-        placed = shared.select("bucket", "rep").join(roots.withColumnRenamed("node", "rep"), "rep", "left").select("bucket", "rep", F.coalesce("root", "rep").alias("root"))
+        placed = going.join(roots.withColumnRenamed("node", "rep"), "rep", "left").select("bucket", "rep", F.coalesce("root", "rep").alias("root"))
         drawn = F.min_by(F.struct("rep", "root"), F.xxhash64("bucket", "rep", F.lit(turn))).alias("lead")
         leads = placed.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high"), drawn).where("low < high").select("bucket", "lead")
-        pairs = placed.join(leads, "bucket").where("root <> lead.root").select(F.least("rep", "lead.rep").alias("a"), F.greatest("rep", "lead.rep").alias("b")).distinct()
-        fresh = verified(pairs.join(seen.select("a", "b"), ["a", "b"], "left_anti"))
-        linked = fresh.where("linked").select("a", "b")
+        met = placed.join(leads, "bucket").where("root <> lead.root").select("bucket", F.least("rep", "lead.rep").alias("a"), F.greatest("rep", "lead.rep").alias("b"))
+        met = cut_lineage(met)
+        fresh = verified(met.select("a", "b").join(seen.select("a", "b"), ["a", "b"], "left_anti"))
         seen = cut_lineage(seen.unionByName(fresh))
-        if linked.isEmpty():
+        linked = fresh.where("linked").select("a", "b")
+        judged, links = fresh.agg(F.count("*"), F.count_if("linked")).first()
+        if links:
+            edges = cut_lineage(edges.unionByName(linked))
+            roots = components(edges)
+        if links <= judged * CLOSING:
             break
-        edges = cut_lineage(edges.unionByName(linked))
-        roots = components(edges)
+        # A bucket whose members don't link to its leader holds a passage, not a group; it waits for the last step.
+        hit = met.join(linked, ["a", "b"], "left_semi").select("bucket").distinct()
+        going = cut_lineage(going.join(hit, "bucket", "left_semi"))
     placed = shared.select("bucket", "rep").join(roots.withColumnRenamed("node", "rep"), "rep", "left").select("bucket", "rep", F.coalesce("root", "rep").alias("root"))
     open_buckets = placed.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high")
     left = cut_lineage(placed.join(open_buckets.select("bucket"), "bucket").select("rep", "root").distinct())

@@ -238,6 +238,29 @@ def test_a_common_passage_makes_few_pairs(spark, monkeypatch):
     assert judged[-1] < 300, str(judged)
 
 
+def test_a_common_passage_takes_one_turn(spark, monkeypatch):
+    passage, rows = odd.prose(5, 300), []
+    for k in range(12):
+        base = odd.prose(7_500 + k, 300).split()
+        for i in range(12):
+            base = [*base[: i * 20], f"new{i}", *base[i * 20 + 1 :]]
+            rows.append((len(rows), " ".join(base)))
+    rows += [(1_000 + i, f"{passage} {odd.prose(6_000 + i, 80)}") for i in range(30)]
+    judged = []
+
+    def cut(df):
+        out = session.cut_lineage(df)
+        if out.columns == ["a", "b", "open"]:
+            judged.append((out.count(), out.where("a >= 1000 and b >= 1000").count()))
+        return out
+
+    monkeypatch.setattr(orderminhash, "cut_lineage", cut)
+    got = {r["doc_id"]: r["class_id"] for r in orderminhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == classes(rows)
+    # The buckets of the passage bring no link; the others go on.
+    assert judged[1][1] and not any(n for _, n in judged[2:-1]), str(judged)
+
+
 def test_partners_of_other_classes_are_all_found(spark):
     rnd, rows = random.Random(4), []
     for i in range(12):
