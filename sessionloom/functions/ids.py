@@ -45,6 +45,14 @@ def expand_range(ref: Column, prefixes: tuple[str, ...] = ACTIVITY_AND_SEGMENT,
     return F.when(ref.rlike(pattern), F.when(whole.contains("-"), let(parts, spread)).otherwise(alone))
 
 
+def range_size(ref: Column) -> Column:
+    """Number of ids that `expand_range` can make of a reference, without making them; 1 for anything that is no range."""
+    whole = F.rtrim(ref, F.lit("\r\n\u0085\u2028\u2029"))
+    end = F.substring_index(whole, "_", -1).try_cast("bigint")
+    start = F.substring_index(F.substring_index(whole, "-", 1), "_", -1).try_cast("bigint")
+    return F.greatest(F.lit(1).cast("bigint"), F.coalesce(end - start + 1, F.lit(1).cast("bigint")))
+
+
 def range_text(prefix: Column | str, start: Column, end: Column) -> Column:
     prefix = F.lit(prefix) if isinstance(prefix, str) else prefix
     one = lambda n: F.concat(prefix, F.lit("_"), F.lpad(n.cast("string"), F.greatest(F.lit(4), F.length(n.cast("string"))), F.lit("0")))

@@ -5,11 +5,12 @@ from __future__ import annotations
 
 import json
 from collections.abc import Iterator
-from itertools import islice
+from itertools import accumulate, islice
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from sessionloom.functions import cost
 
@@ -32,19 +33,27 @@ def _strings(value) -> list[str]:
     return [str(v) for v in value] if isinstance(value, list) else []
 
 
-def _tree_rows(head: tuple, document: dict) -> Iterator[tuple]:
+def _tree_walk(document: dict) -> Iterator[tuple]:
     stack = [(document, "$", None, 0, 0)]
     while stack:
         node, path, parent, ordinal, depth = stack.pop()
-        children = node.get("decomposition") or []
-        body = {k: v for k, v in node.items() if k != "decomposition"}
-        yield (*head, path, parent, node.get("id"), ordinal, depth, node.get("objective"), node.get("summary"),
-               _strings(node.get("subgoal_segments") or node.get("activity_refs")), _strings(node.get("evidence_refs")), json.dumps(body))
-        for i, child in enumerate(children):
+        yield node, path, parent, ordinal, depth
+        for i, child in enumerate(node.get("decomposition") or []):
             if isinstance(child, dict):
                 stack.append((child, f"{path}.decomposition[{i}]", path, i + 1, depth + 1))
 
 
+def _tree_refs(node: dict) -> list[str]:
+    return _strings(node.get("subgoal_segments") or node.get("activity_refs"))
+
+
+def _tree_rows(head: tuple, document: dict) -> Iterator[tuple]:
+    for node, path, parent, ordinal, depth in _tree_walk(document):
+        body = {k: v for k, v in node.items() if k != "decomposition"}
+        yield (*head, path, parent, node.get("id"), ordinal, depth, node.get("objective"), node.get("summary"),
+               _tree_refs(node), _strings(node.get("evidence_refs")), json.dumps(body))
+
+
 def _kind(expr) -> str:
     if not isinstance(expr, dict):
         return "unknown"
@@ -99,6 +108,37 @@ def tree_nodes(documents: DataFrame) -> DataFrame:
     return _walk(documents, NODES, _tree_rows)
 
 
+#: Documents that `tree_arrays` takes apart at once; as it keeps a bounded number of nodes of each, so is what it holds.
+TREES = 1_000
+
+
+def tree_arrays(documents: DataFrame, most: int) -> DataFrame:
+    """Trees (value) as a column of their row: nodes array<struct<path, parent_path, refs>>, null where a tree has more than `most`. Other columns stay."""
+    rest = documents.drop("value")
+    strings = T.ArrayType(T.StringType())
+    node = T.StructType().add("path", T.StringType()).add("parent_path", T.StringType()).add("refs", strings)
+    schema = T.StructType([*rest.schema.fields, T.StructField("nodes", T.ArrayType(node))])
+
+    def lists(items: list[list]) -> list[int]:
+        return [0, *accumulate(map(len, items))]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a in range(0, len(batch), TREES):
+                part = batch.slice(a, TREES)
+                trees = [list(islice(_tree_walk(json.loads(value)), most + 1)) for value in part.column(len(part.columns) - 1).to_pylist()]
+                large = [len(tree) > most for tree in trees]
+                trees = [[] if wide else tree for tree, wide in zip(trees, large, strict=True)]
+                flat = [at for tree in trees for at in tree]
+                refs = [_tree_refs(at[0]) for at in flat]
+                refs = pa.ListArray.from_arrays(pa.array(lists(refs), pa.int32()), pa.array([r for own in refs for r in own], pa.string()))
+                nodes = pa.StructArray.from_arrays([pa.array([at[1] for at in flat], pa.string()), pa.array([at[2] for at in flat], pa.string()), refs], ["path", "parent_path", "refs"])
+                nodes = pa.ListArray.from_arrays(pa.array(lists(trees), pa.int32()), nodes, mask=pa.array(large, pa.bool_()))
+                yield pa.RecordBatch.from_arrays([*part.columns[:-1], nodes], names=schema.fieldNames())
+
+    return documents.select(*rest.columns, "value").mapInArrow(run, schema)
+
+
 def body_expressions(documents: DataFrame) -> DataFrame:
     """Procedure models to one row per body expression of every node."""
 
