@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sessionloom.operators import unified
 from sessionloom.plans.base import query, table
 from sessionloom.plans.standins import with_ctes
+from sessionloom.session import cut_lineage
 
 UNIFIED_SQL = """
 lines AS (
@@ -38,36 +39,84 @@ deeper AS (
 """
 
 
-def unified_rows(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    order = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice")
+# What orders a model's steps.
+PLACE = ("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice")
+
+
+def _step(ordinal: Column, part: Column, supp: Column) -> tuple[Column, Column]:
+    """Name and references of a step."""
+    at = ordinal * 3
+    refs = F.when(part % 37 == 0, F.array().cast("array<bigint>")).when(part % 5 == 0, F.array(at, at + 1 + supp % 4)).otherwise(F.array(at))
+    return F.when(part % 41 == 0, " ").otherwise(F.concat(F.lit("step "), part.cast("string"))), refs
+
+
+def _claims(body: Column) -> Column:
+    """References of the node over those of its body."""
+    kept = F.filter(body, lambda r: ~((F.col("ok") % 11 == 0) & (r == 3)))
+    return F.when(F.col("ok") % 13 == 0, F.concat(kept, F.array(F.lit(1000).cast("bigint")))).otherwise(kept)
+
+
+def _outer() -> list[Column]:
+    """Version and keys of the outer object."""
+    ok = F.col("ok")
+    keys = F.when(ok % 17 == 2, F.array(F.lit("version"), F.lit("root"), F.lit("cost"))).otherwise(F.array(F.lit("version"), F.lit("root")))
+    return [F.when(ok % 28 == 1, F.lit(None)).when(ok % 14 == 1, "0.1").otherwise("0.2").alias("version"), keys.alias("keys")]
+
+
+def _kind() -> list[Column]:
+    return [(F.col("ok") % 3 != 0).alias("is_leaf"), F.when(F.col("ok") % 2 == 0, "SEQ").otherwise("FOR").alias("operator")]
+
+
+def unified_rows(rows: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Line items as tables of models, nodes and steps."""
+    order = Window.partitionBy("l_orderkey").orderBy(*PLACE)
     ok, part, supp = (F.col(c).cast("bigint") for c in ("l_orderkey", "l_partkey", "l_suppkey"))
-    lines = table(spark, folder, "lineitem").select(
+    lines = rows.select(
         F.lit("s").alias("session_id"), ok.cast("string").alias("root_id"), F.lit("$.root").alias("path"), ok.alias("ok"),
         F.row_number().over(order).cast("bigint").alias("ordinal"), part.alias("part"), supp.alias("supp"),
     )
-    at = F.col("ordinal") * 3
-    refs = F.when(F.col("part") % 37 == 0, F.array().cast("array<bigint>")).when(F.col("part") % 5 == 0, F.array(at, at + 1 + F.col("supp") % 4)).otherwise(F.array(at))
-    name = F.when(F.col("part") % 41 == 0, " ").otherwise(F.concat(F.lit("step "), F.col("part").cast("string")))
+    name, refs = _step(F.col("ordinal"), F.col("part"), F.col("supp"))
     steps = lines.withColumns({"refs": refs, "name": name})
     body = F.array_distinct(F.flatten(F.collect_list("refs")))
     nodes = steps.groupBy("session_id", "root_id", "path", "ok").agg(body.alias("body"))
-    kept = F.filter("body", lambda r: ~((F.col("ok") % 11 == 0) & (r == 3)))
-    held = F.when(F.col("ok") % 13 == 0, F.concat(kept, F.array(F.lit(1000).cast("bigint")))).otherwise(kept)
-    nodes = nodes.select(
-        "session_id", "root_id", "path", "ok", held.alias("refs"), (F.col("ok") % 3 != 0).alias("is_leaf"), F.when(F.col("ok") % 2 == 0, "SEQ").otherwise("FOR").alias("operator")
-    )
-    keys = F.when(F.col("ok") % 17 == 2, F.array(F.lit("version"), F.lit("root"), F.lit("cost"))).otherwise(F.array(F.lit("version"), F.lit("root")))
-    version = F.when(F.col("ok") % 28 == 1, F.lit(None)).when(F.col("ok") % 14 == 1, "0.1").otherwise("0.2")
-    models = nodes.select("session_id", "root_id", version.alias("version"), keys.alias("keys"))
+    models = nodes.select("session_id", "root_id", *_outer())
+    nodes = nodes.select("session_id", "root_id", "path", "ok", _claims(F.col("body")).alias("refs"), *_kind())
     return models, nodes, steps.select("session_id", "root_id", "path", "ordinal", "name", "refs")
 
 
+def unified_models(rows: DataFrame) -> DataFrame:
+    """Line items as models that hold their parts, a row each."""
+    ok = F.col("l_orderkey").cast("bigint")
+    models = rows.select(ok.alias("ok"), F.struct(*PLACE).alias("p")).groupBy("ok").agg(F.array_sort(F.collect_list("p")).alias("lines"))
+
+    def step(line: Column, i: Column) -> Column:
+        ordinal = (i + 1).cast("bigint")
+        name, refs = _step(ordinal, line["l_partkey"].cast("bigint"), line["l_suppkey"].cast("bigint"))
+        return F.struct(ordinal.alias("ordinal"), name.alias("name"), refs.alias("refs"))
+
+    models = models.select("ok", F.transform("lines", step).alias("steps"))
+    body = F.array_distinct(F.flatten(F.transform("steps", lambda s: s["refs"])))
+    node = F.struct(F.lit("$.root").alias("path"), *_kind(), _claims(body).alias("refs"), F.col("steps").alias("steps"))
+    return models.select(F.lit("s").alias("session_id"), F.col("ok").cast("string").alias("root_id"), *_outer(), F.array(node).alias("nodes"))
+
+
+def _by_size(spark: SparkSession, folder: str, small, large) -> DataFrame:
+    """Models of up to `unified.STEPS` steps in their own row, the others, if there are any, over tables."""
+    lines = table(spark, folder, "lineitem")
+    many = lines.groupBy("l_orderkey").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > unified.STEPS).select("l_orderkey")
+    if many.isEmpty():
+        return small(unified_models(lines))
+    many = cut_lineage(many)
+    return small(unified_models(lines.join(many, "l_orderkey", "left_anti"))).unionByName(large(*unified_rows(lines.join(many, "l_orderkey", "left_semi"))))
+
+
 @query(
     "rule_unified",
     with_ctes(UNIFIED_SQL) + "SELECT * FROM shape UNION ALL SELECT * FROM deeper WHERE root_id NOT IN (SELECT root_id FROM shape)",
 )
 def rule_unified(spark: SparkSession, folder: str) -> DataFrame:
-    return unified.unified_rules(*unified_rows(spark, folder)).select("root_id", "rule_id", "detail")
+    found = _by_size(spark, folder, unified.model_rules, unified.unified_rules)
+    return found.select("root_id", "rule_id", "detail")
 
 
 @query(
@@ -76,4 +125,4 @@ def rule_unified(spark: SparkSession, folder: str) -> DataFrame:
     + "SELECT DISTINCT root_id FROM lines WHERE root_id NOT IN (SELECT root_id FROM shape) AND root_id NOT IN (SELECT root_id FROM deeper)",
 )
 def model_cache_accept(spark: SparkSession, folder: str) -> DataFrame:
-    return unified.accepted(*unified_rows(spark, folder)).select("root_id")
+    return _by_size(spark, folder, lambda m: unified.accepted_models(m).select("root_id"), lambda *tables: unified.accepted(*tables).select("root_id"))
