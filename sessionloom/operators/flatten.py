@@ -66,7 +66,7 @@ def _kind(expr) -> str:
     return "step" if expr.get("name") else "unknown"
 
 
-def _body_rows(head: tuple, node: dict) -> Iterator[tuple]:
+def body_rows(head: tuple, node: dict) -> Iterator[tuple]:
     stack = []
 
     def push(holder: dict, place: str, parent: str | None, looped: bool) -> None:
@@ -144,7 +144,7 @@ def body_expressions(documents: DataFrame) -> DataFrame:
 
     def rows_of(head, document):
         for node in document.get("procedure_nodes") or []:
-            yield from _body_rows(head, node)
+            yield from body_rows(head, node)
 
     return _walk(documents, EXPRESSIONS, rows_of)
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sessionloom.operators import flatten, graphs, keyset, rules
+from sessionloom.operators import flatten, graphs, keyset, procedure_rows, rules
 from sessionloom.operators.rules import MODEL
 from sessionloom.session import cut_lineage
 
@@ -40,3 +40,25 @@ def procedure_findings(documents: DataFrame, activities: DataFrame) -> DataFrame
         graphs.parent_rules(edges, starts), graphs.cycle_rules(edges), graphs.reach_rules(edges, own, starts),
     )
     return shape.unionByName(deeper)
+
+
+def model_findings(documents: DataFrame) -> DataFrame:
+    """`procedure_findings` of documents that come with their source's activities: each is judged in its row, odd and large ones over tables.
+
+    documents: session_id, root_id, value, known array<string> (null without a source).
+    """
+    held = procedure_rows.models(documents).withColumn("shape", procedure_rows.shape_findings(TEXTS))
+    sound = F.col("fits") & (F.size("shape") == 0)
+    held = held.withColumn("sound", sound).withColumn("deep", F.when(F.col("sound"), procedure_rows.deep_findings()))
+    when_sound = [F.when(F.col("sound"), F.col(c)).alias(c) for c in ("nodes", "exprs")]
+    held = cut_lineage(held.select(*MODEL, "fits", *when_sound, F.when(F.col("fits"), F.coalesce("deep", "shape")).alias("found")))
+    told = held.select(*MODEL, F.explode("found").alias("_f")).select(*MODEL, "_f.path", "_f.rule_id", F.lit("error").alias("severity"), "_f.detail")
+    nodes = held.select(*MODEL, F.explode("nodes").alias("_n")).select(*MODEL, "_n.*").withColumn("path", F.col("node_id"))
+    exprs = held.select(*MODEL, F.explode("exprs").alias("_e")).select(*MODEL, "_e.*").withColumn("path", F.concat_ws("/", "node_id", "expr_path"))
+    told = rules.union_all(told, rules.operator_rules(nodes), rules.expression_rules(exprs))
+    odd = held.where("not fits").select(*MODEL)
+    if odd.isEmpty():
+        return told
+    rest = cut_lineage(documents.join(odd, MODEL, "left_semi"))
+    activities = rest.select(*MODEL, F.explode("known").alias("activity_id"))
+    return told.unionByName(procedure_findings(rest.select(*MODEL, "value"), activities))
