@@ -49,6 +49,8 @@ SHORT = 100
 #: The filter's order puts k-mers last that recur in one of so many texts; at most so many are known by their count, the rest count as rare.
 SAMPLED = 8
 KNOWN = 100_000
+#: Bytes of text whose k-mers are held at a time.
+SLICE = 500_000
 #: Turns over the buckets end when so few of the pairs are links; the last step finds all that are left.
 CLOSING = 0.01
 _SEEDS = words.mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xA0761D6478BD642F)) | np.uint64(1)
@@ -143,7 +145,7 @@ def _prefix_rows(similarity: float, recurring):
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in words.slices(batch, "text"):
+            for part in words.slices(batch, "text", SLICE):
                 data, offsets = words.text_buffer(part.column(2))
                 starts, ends, first = words.word_bounds(data, offsets)
                 hashes = words.word_hashes(data, starts, ends)
@@ -181,13 +183,13 @@ def _partners(similarity: float):
     return rows
 
 
-def partners(texts: DataFrame, similarity: float) -> DataFrame:
-    """a, b: pairs of the texts (rep, root, text) of different roots, among them all of `similarity` or more.
+def partners(texts: DataFrame, similarity: float, recurring=None) -> DataFrame:
+    """a, b: pairs of the texts (rep, root, text) of different roots, among them all of `similarity` or more. recurring: broadcast of `recurring_grams`.
 
     Texts meet under the first k-mers of an order that puts recurring ones last, which two alike texts must share. The places of the
     first shared k-mer bound how many can follow, so texts that have a common passage only don't become pairs.
     """
-    recurring = texts.sparkSession.sparkContext.broadcast(recurring_grams(texts.select("text"), similarity, short=False))
+    recurring = recurring or texts.sparkSession.sparkContext.broadcast(recurring_grams(texts))
     held = cut_lineage(texts.select("rep", "root", "text").mapInArrow(_prefix_rows(similarity, recurring), "gram long, rep long, root long, place int, size int"))
     # Only k-mers that several classes have make pairs.
     spans = held.groupBy("gram").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("n")).where("low < high")
@@ -222,33 +224,33 @@ def _ruled(similarity: float):
     return rows
 
 
-def _sampled_grams(similarity: float, short: bool):
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in words.slices(batch, "text"):
-                data, offsets = words.text_buffer(part.column(0))
-                starts, ends, first = words.word_bounds(data, offsets)
-                hashes = words.word_hashes(data, starts, ends)
-                sets = [np.unique(words.grams(hashes[a:b], SHINGLE)) for a, b in zip(first[:-1], first[1:], strict=True)]
-                flat = np.concatenate([np.zeros(0, np.uint64), *(x for x in sets if not short or may_be_short(len(x), similarity))])
-                yield pa.RecordBatch.from_arrays([pa.array(flat.view(np.int64))], names=["gram"])
-
-    return rows
-
-
-def recurring_grams(texts: DataFrame, similarity: float, short: bool = True) -> tuple[np.ndarray, np.ndarray]:
-    """k-mers that recur in a sample of the texts (of the short ones), sorted, and their places from the rarest on. They set an order only; no result depends on them."""
-    grams = texts.where(F.pmod(F.xxhash64("text"), F.lit(SAMPLED)) == 0).mapInArrow(_sampled_grams(similarity, short), "gram long")
-    counted = grams.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1").orderBy(F.desc("n"), "gram").limit(KNOWN).collect()
-    common = np.array([r["gram"] for r in counted], np.int64).view(np.uint64)
+def _sampled_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for part in words.slices(batch, "text", SLICE):
+            data, offsets = words.text_buffer(part.column(0))
+            starts, ends, first = words.word_bounds(data, offsets)
+            hashes = words.word_hashes(data, starts, ends)
+            sets = [np.unique(words.grams(hashes[a:b], SHINGLE)) for a, b in zip(first[:-1], first[1:], strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.zeros(0, np.uint64), *sets]).view(np.int64))], names=["gram"])
+
+
+def recurring_grams(texts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """k-mers that recur in a sample of the different texts, sorted, and their places from the rarest on. They set an order only; no result depends on them."""
+    sample = texts.where(F.pmod(F.xxhash64("text"), F.lit(SAMPLED)) == 0).select("text").distinct()
+    grams = sample.mapInArrow(_sampled_grams, "gram long")
+    # As Arrow columns: rows of Python objects would take the driver many times the memory.
+    counted = grams.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1").orderBy(F.desc("n"), "gram").limit(KNOWN).toArrow()
+    common, n = counted["gram"].to_numpy().view(np.uint64), counted["n"].to_numpy()
+    rank = np.empty(len(common), np.int64)
+    rank[np.lexsort((common, -n))] = np.arange(len(common))[::-1]
     order = np.argsort(common)
-    return common[order], (len(common) - 1 - np.arange(len(common)))[order]
+    return common[order], rank[order]
 
 
 def _sketch_rows(sketches: int, depth: int, bands: int, minima: int, similarity: float, recurring):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in words.slices(batch, "text"):
+            for part in words.slices(batch, "text", SLICE):
                 data, offsets = words.text_buffer(part.column(2))
                 starts, ends, first = words.word_bounds(data, offsets)
                 hashes = words.word_hashes(data, starts, ends)
@@ -370,7 +372,8 @@ def near_duplicates(
     own = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     own = own.select("doc_id", F.unhex(F.md5(F.col("text").cast("binary"))).alias("content"), "text")
     named = own.where("doc_id is not null")
-    recurring = docs.sparkSession.sparkContext.broadcast(recurring_grams(named.select("text"), similarity))
+    # One order for short texts and for the last step, so that the sample follows the input and not what is left then.
+    recurring = docs.sparkSession.sparkContext.broadcast(recurring_grams(named))
     keyed = named.mapInArrow(_sketch_rows(sketches, depth, bands, rows, similarity, recurring), "doc_id long, content binary, keys array<long>, size long, mark binary")
     firsts = [F.min("doc_id").alias("rep"), F.min_by(F.struct("keys", "mark"), "doc_id").alias("own"), F.min("size").alias("size")]
     texts = cut_lineage(keyed.groupBy("content").agg(*firsts).select("content", "rep", "own.keys", "own.mark", "size"))
@@ -427,7 +430,7 @@ def near_duplicates(
     placed = shared.select("bucket", "rep").join(roots.withColumnRenamed("node", "rep"), "rep", "left").select("bucket", "rep", F.coalesce("root", "rep").alias("root"))
     open_buckets = placed.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high")
     left = cut_lineage(placed.join(open_buckets.select("bucket"), "bucket").select("rep", "root").distinct())
-    cross = partners(left.join(bodies, "rep"), similarity)
+    cross = partners(left.join(bodies, "rep"), similarity, recurring)
     third = verified(cross.join(seen.select("a", "b"), ["a", "b"], "left_anti"))
     roots = components(edges.unionByName(third.where("linked").select("a", "b")))
     classes = texts.select("content", "rep").join(roots.withColumnRenamed("node", "rep"), "rep", "left").select("content", F.coalesce("root", "rep").alias("class_id"))
